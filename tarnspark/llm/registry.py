@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import common, langid, license_scan, packing, tokens
+from . import common, edit_embedding, embedding_dedup, langid, license_scan, mixing, near_dedup, packing, substring_dedup, tokens
 
 
 def op1_license_scan(spark, sf_dir):
@@ -13,6 +13,26 @@ def op2_language_id(spark, sf_dir):
     return langid.identify(common.documents(spark, sf_dir))
 
 
+def op3_substring_dedup(spark, sf_dir):
+    return substring_dedup.remove_repeats(common.documents(spark, sf_dir))
+
+
+def op4_mixing(spark, sf_dir):
+    return mixing.mix(common.documents(spark, sf_dir))
+
+
+def op5_edit_embedding(spark, sf_dir):
+    return edit_embedding.fingerprints(common.documents(spark, sf_dir))
+
+
+def op6_embedding_dedup(spark, sf_dir):
+    return embedding_dedup.near_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+def op7_near_dedup(spark, sf_dir):
+    return near_dedup.near_duplicates(common.documents(spark, sf_dir), size=4)
+
+
 def op8_token_counts(spark, sf_dir):
     return tokens.token_counts(common.documents(spark, sf_dir))
 
@@ -22,7 +42,8 @@ def op10_packing(spark, sf_dir):
 
 
 def queries():
-    return {f.__name__: f for f in (op1_license_scan, op2_language_id, op8_token_counts, op10_packing)}
+    found = (op1_license_scan, op2_language_id, op3_substring_dedup, op4_mixing, op5_edit_embedding, op6_embedding_dedup, op7_near_dedup, op8_token_counts, op10_packing)
+    return {f.__name__: f for f in found}
 
 
 def oracle_sql():
