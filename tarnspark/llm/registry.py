@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import common, edit_embedding, embedding_dedup, langid, license_scan, mixing, near_dedup, packing, substring_dedup, tokens
+from . import common, edit_embedding, embedding_dedup, langid, license_scan, line_dedup, mixing, near_dedup, packing, substring_dedup, tokens
 
 
 def op1_license_scan(spark, sf_dir):
@@ -37,12 +37,16 @@ def op8_token_counts(spark, sf_dir):
     return tokens.token_counts(common.documents(spark, sf_dir))
 
 
+def op9_line_dedup(spark, sf_dir):
+    return line_dedup.digest(common.documents(spark, sf_dir))
+
+
 def op10_packing(spark, sf_dir):
     return packing.pack_documents(common.documents(spark, sf_dir))
 
 
 def queries():
-    found = (op1_license_scan, op2_language_id, op3_substring_dedup, op4_mixing, op5_edit_embedding, op6_embedding_dedup, op7_near_dedup, op8_token_counts, op10_packing)
+    found = (op1_license_scan, op2_language_id, op3_substring_dedup, op4_mixing, op5_edit_embedding, op6_embedding_dedup, op7_near_dedup, op8_token_counts, op9_line_dedup, op10_packing)
     return {f.__name__: f for f in found}
 
 
