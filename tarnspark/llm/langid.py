@@ -16,6 +16,7 @@ import zlib
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -175,6 +176,58 @@ def _sample(docs: DataFrame) -> pd.DataFrame:
     return chosen.select("lang", "text").mapInPandas(shorten, "lang string, words string").toPandas().sort_values(["lang", "words"])
 
 
+def _model(docs: DataFrame):
+    sample = _sample(docs.select("doc_id", "text", "lang"))
+    split = [w.split() for w in sample["words"]]
+    known = [(w, y) for w, y in zip(split, sample["lang"], strict=True) if w]
+    return docs.sparkSession.sparkContext.broadcast(fit([w for w, _ in known], [y for _, y in known]))
+
+
+class Labeller:
+    """A fitted model with the scores of the words that it has met."""
+
+    def __init__(self, names: list[str], weights: np.ndarray, moves: np.ndarray):
+        self.names, self.weights, self.moves = names, weights, moves
+        self.number: dict[str, int] = {}
+        self.scores = np.zeros((0, len(names)), np.float32)
+
+    def label(self, found: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
+        """Language and score of texts given by their words."""
+        new = set().union(*found) - self.number.keys()
+        if len(self.number) + len(new) > CACHE:
+            self.number, self.scores, new = {}, self.scores[:0], set().union(*found)
+        fresh = list(new)
+        self.number.update(zip(fresh, range(len(self.number), len(self.number) + len(fresh)), strict=True))
+        self.scores = np.concatenate([self.scores, emissions(fresh, self.weights)])
+        lengths = np.array([len(x) for x in found], np.int64)
+        lang, score = np.full(len(found), UNKNOWN, object), np.zeros(len(found))
+        some = np.flatnonzero(lengths)
+        if self.names and len(some):
+            flat = np.fromiter((self.number[w] for x in found for w in x), np.int64, int(lengths.sum()))
+            sums = marginal_sums(flat, lengths[some], self.scores, self.moves)
+            best = sums.argmax(axis=1)
+            lang[some] = np.array(self.names, object)[best]
+            score[some] = np.clip(sums[np.arange(len(some)), best] / lengths[some], 0, 1)
+        return lang, score
+
+    def texts(self, texts) -> tuple[np.ndarray, np.ndarray]:
+        """Language and score of whole texts, by batches of bounded size."""
+        langs, scores, found, size = [], [], [], 0
+        for text in [*texts, None]:
+            found.append(words(text))
+            size += len(text or "")
+            if len(found) >= BATCH_DOCS or size >= BATCH_CHARS:
+                lang, score = self.label(found)
+                langs.append(lang)
+                scores.append(score)
+                found, size = [], 0
+        if found:
+            lang, score = self.label(found)
+            langs.append(lang)
+            scores.append(score)
+        return np.concatenate(langs)[:-1], np.concatenate(scores)[:-1]
+
+
 def identify(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, lang_pred, score of every document.
 
@@ -182,47 +235,32 @@ def identify(docs: DataFrame) -> DataFrame:
     is null or has no letter gives ``und`` with score 0, as does every text if nothing is labelled. A null
     doc_id is not held out and not learned from. Repeated rows stay repeated; other columns are ignored.
     """
-    sample = _sample(docs.select("doc_id", "text", "lang"))
-    split = [w.split() for w in sample["words"]]
-    known = [(w, y) for w, y in zip(split, sample["lang"], strict=True) if w]
-    model = docs.sparkSession.sparkContext.broadcast(fit([w for w, _ in known], [y for _, y in known]))
+    model = _model(docs)
 
     def run(batches):
-        names, weights, moves = model.value
-        number: dict[str, int] = {}
-        scores = np.zeros((0, len(names)), np.float32)
-
-        def label(ids, found):
-            nonlocal number, scores
-            new = set().union(*found) - number.keys()
-            if len(number) + len(new) > CACHE:
-                number, scores, new = {}, scores[:0], set().union(*found)
-            fresh = list(new)
-            number.update(zip(fresh, range(len(number), len(number) + len(fresh)), strict=True))
-            scores = np.concatenate([scores, emissions(fresh, weights)])
-            lengths = np.array([len(x) for x in found])
-            lang, score = np.full(len(found), UNKNOWN, object), np.zeros(len(found))
-            some = np.flatnonzero(lengths)
-            if names and len(some):
-                flat = np.fromiter((number[w] for x in found for w in x), np.int64, int(lengths.sum()))
-                sums = marginal_sums(flat, lengths[some], scores, moves)
-                best = sums.argmax(axis=1)
-                lang[some] = np.array(names, object)[best]
-                score[some] = np.clip(sums[np.arange(len(some)), best] / lengths[some], 0, 1)
-            return pd.DataFrame({"doc_id": ids, "lang_pred": lang, "score": score})
-
-        ids, found, size = [], [], 0
+        labeller = Labeller(*model.value)
         for batch in batches:
-            for doc, text in zip(batch["doc_id"].tolist(), batch["text"].tolist(), strict=True):
-                ids.append(doc)
-                found.append(words(text))
-                size += len(text or "")
-                if len(ids) >= BATCH_DOCS or size >= BATCH_CHARS:
-                    yield label(ids, found)
-                    ids, found, size = [], [], 0
-        if ids:
-            yield label(ids, found)
+            lang, score = labeller.texts(batch["text"].tolist())
+            yield pd.DataFrame({"doc_id": batch["doc_id"].to_numpy(), "lang_pred": lang, "score": score})
 
     out = docs.select(F.col("doc_id").cast("string").alias("doc_id"), "text").mapInPandas(run, "doc_id string, lang_pred string, score double")
     held = F.coalesce(F.crc32("doc_id") % 3 == 1, F.lit(False))
     return out.select(F.col("doc_id").cast(docs.schema["doc_id"].dataType).alias("doc_id"), held.alias("held_out"), "lang_pred", "score")
+
+
+def in_a_language(docs: DataFrame, least: float) -> DataFrame:
+    """The documents, with all their columns, whose text has a language with a score of ``least`` or more.
+
+    If nothing is labelled, no document can be told and all whose text has a letter stay.
+    """
+    model = _model(docs)
+
+    def run(batches):
+        labeller = Labeller(*model.value)
+        for batch in batches:
+            texts = batch.column(batch.schema.get_field_index("text")).to_pylist()
+            lang, score = labeller.texts(texts)
+            keep = (lang != UNKNOWN) & (score >= least) if labeller.names else np.array([bool(words(t)) for t in texts], bool)
+            yield batch.filter(pa.array(keep.tolist(), pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)

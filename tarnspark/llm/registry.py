@@ -45,8 +45,14 @@ def op10_packing(spark, sf_dir):
     return packing.pack_documents(common.documents(spark, sf_dir))
 
 
+def pipeline(spark, sf_dir):
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries():
-    found = (op1_license_scan, op2_language_id, op3_substring_dedup, op4_mixing, op5_edit_embedding, op6_embedding_dedup, op7_near_dedup, op8_token_counts, op9_line_dedup, op10_packing)
+    found = (op1_license_scan, op2_language_id, op3_substring_dedup, op4_mixing, op5_edit_embedding, op6_embedding_dedup, op7_near_dedup, op8_token_counts, op9_line_dedup, op10_packing, pipeline)
     return {f.__name__: f for f in found}
 
 
