@@ -37,6 +37,10 @@ class Windows:
     def of(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         return mix64((self.sums[ends] - self.sums[starts]) * self.down[starts] + (ends - starts).astype(np.uint64))
 
+    def at(self, starts: np.ndarray, n: int) -> np.ndarray:
+        """Of stretches of n bytes, as ``every`` has them."""
+        return mix64((self.sums[starts + n] - self.sums[starts]) * self.down[starts])
+
     def every(self, n: int) -> np.ndarray:
         """Of all stretches of n bytes, by start."""
         m = len(self.sums) - n

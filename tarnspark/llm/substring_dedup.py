@@ -14,7 +14,8 @@ sorting it depends on the content alone, so equal windows sample the same place.
 
 Everything that is exchanged is distinct within a group first, so a passage that a third of all documents
 share costs one tuple for each group. The exchanges sort and spill on disk; a task holds one group of about
-GROUP_BYTES or the tuples of one bucket. Strings are told apart by 64-bit hashes of them and of their name.
+GROUP_BYTES or the tuples of one bucket. All of it is one query, so the packed groups are shuffled once
+and their exchange is read three times. Strings are told apart by 64-bit hashes of them and of their name.
 """
 
 from __future__ import annotations
@@ -26,13 +27,13 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, total_bytes
+from .common import total_bytes
 from .hashing import Windows, mix64
 from .packed import GROUP_BYTES, NO_ID, Group, by_bucket, dense, loose, pack
 
 LENGTH, KEY = 50, 24
 _LEAD = LENGTH - KEY
-_CHUNK = 1 << 20
+_CHUNK, _ROWS = 1 << 20, 1 << 14
 
 
 def sampled(group: Group, with_context: bool):
@@ -87,7 +88,7 @@ def _shared(rows: pd.DataFrame) -> pd.DataFrame:
 
 
 def _tuples(rows: pd.DataFrame, shared: pd.DataFrame, buckets: int) -> pd.DataFrame:
-    columns = ["bucket", "g", "name", "context", "sides", "doc", "text"]
+    columns = ["bucket", "g", "sides", "doc", "text"]
     if not len(rows):
         return pd.DataFrame(columns=columns)
     group, g = Group(rows), int(rows["g"].iloc[0])
@@ -106,38 +107,60 @@ def _tuples(rows: pd.DataFrame, shared: pd.DataFrame, buckets: int) -> pd.DataFr
     order = np.lexsort((owner, context))  # documents stand in the order of their ids
     one = order[np.concatenate([[True], context[order][1:] != context[order][:-1]])] if len(order) else order
     place, name, owner, context, front, onward = (x[one] for x in (place, name, owner, context, front, onward))
-    offset = np.arange(-_LEAD, LENGTH)
-    inside = (offset >= -front[:, None]) & (offset < onward[:, None])
-    text = np.where(inside, group.data[np.clip(place[:, None] + offset, 0, len(group.data) - 1)], 0).astype(np.uint8)
-    sides = np.stack([front, onward], axis=1).astype(np.uint8)
-    doc = group.ids[owner]
-    out = [(k, g, name[at].tobytes(), context[at].tobytes(), dense(sides[at]), dense(doc[at]), dense(text[at])) for k, at in by_bucket((name % np.uint64(buckets)).astype(np.int64), buckets)]
+    doc, offset, out = group.ids[owner], np.arange(-_LEAD, LENGTH), []
+    for k, at in by_bucket((name % np.uint64(buckets)).astype(np.int64), buckets):
+        inside = (offset >= -front[at, None]) & (offset < onward[at, None])
+        text = np.where(inside, group.data[np.clip(place[at, None] + offset, 0, len(group.data) - 1)], np.uint8(0))
+        out.append((k, g, dense(np.stack([front[at], onward[at]], axis=1).astype(np.uint8)), dense(doc[at]), dense(text)))
     return pd.DataFrame(out, columns=columns)
 
 
+def _named(sides: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Names and context hashes of tuples, from their bytes."""
+    names, contexts = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)]
+    for at in range(0, len(text), _ROWS):
+        part, (front, onward) = text[at : at + _ROWS], sides[at : at + _ROWS].T
+        windows = Windows(part.reshape(-1))
+        place = np.arange(len(part)) * (_LEAD + LENGTH) + _LEAD
+        name = windows.at(place, KEY)
+        names.append(name)
+        contexts.append(mix64(windows.of(place - front, place + onward) + (front * 64 + onward).astype(np.uint64)) ^ name)
+    return np.concatenate(names), np.concatenate(contexts)
+
+
 def _induce(rows: pd.DataFrame) -> pd.DataFrame:
     """For each group's tuples the least doc_id of each window around them: one if all windows agree, else all."""
-    sent = [np.frombuffer(b, np.uint64) for b in rows["context"]]
-    context, name = np.concatenate(sent), np.concatenate([np.frombuffer(b, np.uint64) for b in rows["name"]])
-    sides = np.concatenate([loose(b, np.uint8).reshape(-1, 2) for b in rows["sides"]]).astype(np.int64)
-    doc = np.concatenate([loose(b, np.int64) for b in rows["doc"]])
-    text = np.concatenate([loose(b, np.uint8).reshape(-1, _LEAD + LENGTH) for b in rows["text"]])
+    sides = [loose(b, np.uint8).reshape(-1, 2).astype(np.int64) for b in rows["sides"]]
+    texts = [loose(b, np.uint8).reshape(-1, _LEAD + LENGTH) for b in rows["text"]]
+    named = [_named(x, t) for x, t in zip(sides, texts, strict=True)]
+    sent = [c for _, c in named]
+    name, context = (np.concatenate(x) for x in zip(*named, strict=True))
+    sides, doc = np.concatenate(sides), np.concatenate([loose(b, np.int64) for b in rows["doc"]])
     order = np.lexsort((doc, context))
-    head = np.concatenate([[True], context[order][1:] != context[order][:-1]])
-    one = order[head]
-    context, name, sides, doc, text = (x[one] for x in (context, name, sides, doc, text))
+    one = order[np.concatenate([[True], context[order][1:] != context[order][:-1]])]
+    context, name, sides, doc = (x[one] for x in (context, name, sides, doc))
     _, kind, size = np.unique(name, return_inverse=True, return_counts=True)
     mixed = np.flatnonzero(size[kind] > 1)
+    text = np.concatenate(texts)[one[mixed]]
+    del texts
     least = np.full((len(mixed), _LEAD + 1), NO_ID, np.int64)
     if len(mixed):
-        windows = Windows(np.ascontiguousarray(text[mixed]).reshape(-1))
-        row, back = np.nonzero((np.arange(_LEAD + 1) <= sides[mixed, :1]) & (LENGTH - np.arange(_LEAD + 1) <= sides[mixed, 1:]))
-        start = row * (_LEAD + LENGTH) + _LEAD - back
-        value = mix64(windows.of(start, start + LENGTH) ^ mix64(name[mixed][row] + back.astype(np.uint64)))
+        value, row, back = [], [], []
+        for at in range(0, len(mixed), _ROWS):
+            part, own = text[at : at + _ROWS], mixed[at : at + _ROWS]
+            windows = Windows(np.ascontiguousarray(part).reshape(-1))
+            r, b = np.nonzero((np.arange(_LEAD + 1) <= sides[own, :1]) & (LENGTH - np.arange(_LEAD + 1) <= sides[own, 1:]))
+            start = r * (_LEAD + LENGTH) + _LEAD - b
+            value.append(mix64(windows.of(start, start + LENGTH) ^ mix64(name[own][r] + b.astype(np.uint64))))
+            row.append((r + at).astype(np.int32))
+            back.append(b.astype(np.int8))
+        value, row, back = np.concatenate(value), np.concatenate(row), np.concatenate(back)
         order = np.argsort(value, kind="stable")
-        heads = np.flatnonzero(np.concatenate([[True], value[order][1:] != value[order][:-1]])) if len(order) else order
-        best = np.minimum.reduceat(doc[mixed][row[order]], heads) if len(order) else doc[:0]
-        least[row[order], back[order]] = np.repeat(best, np.diff(np.concatenate([heads, [len(order)]])))
+        row, back, value = row[order], back[order], value[order]
+        heads = np.flatnonzero(np.concatenate([[True], value[1:] != value[:-1]])) if len(value) else order
+        if len(heads):
+            best = np.minimum.reduceat(doc[mixed][row], heads)
+            least[row, back] = np.repeat(best, np.diff(np.concatenate([heads, [len(value)]])))
     number = np.full(len(context), -1)
     number[mixed] = np.arange(len(mixed))
     out = []
@@ -201,10 +224,10 @@ def remove_repeats(docs: DataFrame, with_text: bool = False) -> DataFrame:
     groups = max(1, -(-total_bytes(docs) // GROUP_BYTES))
     packed = pack(docs, groups)
     names = packed.groupBy("g").applyInPandas(lambda rows: _names(rows, groups), "bucket int, g int, names binary")
-    shared = cut(names.groupBy("bucket").applyInPandas(_shared, "g int, names binary"))
-    schema = "bucket int, g int, name binary, context binary, sides binary, doc binary, text binary"
+    shared = names.groupBy("bucket").applyInPandas(_shared, "g int, names binary")
+    schema = "bucket int, g int, sides binary, doc binary, text binary"
     tuples = packed.groupBy("g").cogroup(shared.groupBy("g")).applyInPandas(lambda rows, hits: _tuples(rows, hits, groups), schema)
-    answers = cut(tuples.groupBy("bucket").applyInPandas(_induce, "g int, same binary, same_doc binary, mixed binary, mixed_doc binary"))
+    answers = tuples.groupBy("bucket").applyInPandas(_induce, "g int, same binary, same_doc binary, mixed binary, mixed_doc binary")
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
     out = packed.groupBy("g").cogroup(answers.groupBy("g")).applyInPandas(lambda rows, hits: _remove(rows, hits)[_COLUMNS[: 6 if with_text else 5]], schema if with_text else schema.replace(", kept binary", ""))
     return out.withColumn("doc_id", F.when(F.col("doc_id") != NO_ID, F.col("doc_id")))
