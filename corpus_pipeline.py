@@ -10,11 +10,11 @@ from pyspark.sql import functions as F
 from tarnspark.llm import common, langid, line_dedup, mixing, near_dedup, packing
 
 #: A document whose words are in its language by less than this share, on average, is rejected.
-LEAST_SCORE = 0.5
+LEAST_SCORE = 0.4
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a language: those that are null, have no letter or are in no language by half go."""
+    """Documents with a language: those that are null, have no letter or are too little in any one language go."""
     return langid.in_a_language(docs, LEAST_SCORE)
 
 
