@@ -54,14 +54,14 @@ def visit_states(rows: DataFrame) -> DataFrame:
             closed.append((*key, start, last, samples, least))
             state.remove()
         else:
-            for batch in batches:
-                for r in batch.sort_values("t").itertuples():
-                    if r.dist <= r.enter:
-                        start, samples = (r.t, 1) if start is None else (start, samples + 1)
-                        last, least = r.t, r.dist if least is None else min(least, r.dist)
-                    elif start is not None and r.dist >= r.leave and r.t - last >= RESET_SECONDS:
-                        closed.append((*key, start, last, samples, least))
-                        start, last, samples, least = None, None, 0, None
+            rows = [x for batch in batches for x in zip(batch["t"].tolist(), batch["dist"].tolist(), batch["enter"].tolist(), batch["leave"].tolist(), strict=True)]
+            for t, dist, enter, leave in sorted(rows):  # a trigger's rows of a pair may come in several batches
+                if dist <= enter:
+                    start, samples = (t, 1) if start is None else (start, samples + 1)
+                    last, least = t, dist if least is None else min(least, dist)
+                elif start is not None and dist >= leave and t - last >= RESET_SECONDS:
+                    closed.append((*key, start, last, samples, least))
+                    start, last, samples, least = None, None, 0, None
             if start is None:
                 if state.exists:
                     state.remove()

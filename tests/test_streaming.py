@@ -34,7 +34,7 @@ def test_repeated_deliveries(spark, tmp_path):
 
 def test_visits_with_state(spark, tmp_path):
     track = [(0, 10.0), (30, 5.0), (60, 200.0), (300, 300.0), (400, 8.0), (420, 9.0), (2000, 500.0)]
-    rows = spark.createDataFrame([("t", "s", float(t), d, 100.0, 150.0) for t, d in track], "track_id string, site_id string, t double, dist double, enter double, leave double").withColumn("ts", F.timestamp_seconds("t"))
+    rows = spark.createDataFrame([("t", "s", float(t), d, 100.0, 150.0) for t, d in track], "track_id string, site_id string, t double, dist double, enter double, leave double").withColumn("ts", F.timestamp_seconds(F.col("t") + 1700000000))
     rows.coalesce(1).write.parquet(str(tmp_path / "v"))
     stream = spark.readStream.schema(rows.schema).parquet(str(tmp_path / "v"))
     got = sorted((r.start, r.end, r.samples, r.min_dist) for r in drain(events.visit_states(stream), "visits_state").collect())
