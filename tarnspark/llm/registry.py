@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import common, edit_embedding, embedding_dedup, langid, license_scan, line_dedup, mixing, near_dedup, packing, substring_dedup, tokens
+from . import common, edit_embedding, embedding_dedup, langid, license_rules, license_scan, line_dedup, mixing, near_dedup, packing, substring_dedup, tokens
 
 
 def op1_license_scan(spark, sf_dir):
@@ -56,5 +56,44 @@ def queries():
     return {f.__name__: f for f in found}
 
 
+UPPER, LOWER = license_scan.LOWER.upper(), license_scan.LOWER
+
+
+def _license_sql() -> str:
+    quote = lambda x: "'" + x.replace("'", "''") + "'"
+    rows = ", ".join(f"({i}, {quote(r.label)}, {quote(r.keyword)}, {quote(license_scan.pattern(r))}, {r.priority}, {r.weight}e0, {str(r.base).lower()})" for i, r in enumerate(license_rules.rules()))
+    blanks = lambda x: f"(len({x}) - len(replace({x}, ' ', '')))"
+    word = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+    return f"""WITH rules(nth, label, keyword, pattern, priority, weight, base) AS (VALUES {rows}),
+w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '{word}') AS words FROM documents),
+d AS (SELECT doc_id, len(words) AS n_words, ' ' || array_to_string(words, '  ') || ' ' AS norm FROM w),
+m AS (SELECT doc_id, nth, label, priority, weight, base, string_split_regex(norm, pattern) AS gaps, regexp_extract_all(norm, pattern) AS hits FROM d JOIN rules ON contains(norm, keyword)),
+h AS (SELECT * EXCLUDE (gaps, hits), unnest(range(1, len(hits) + 1)) AS i, list_transform(gaps, lambda x: {blanks("x")}) AS g, list_transform(hits, lambda x: {blanks("x")}) AS b FROM m),
+s AS (SELECT doc_id, nth, label, priority, weight, base, CAST((list_sum(list_slice(g, 1, i)) + coalesce(list_sum(list_slice(b, 1, i - 1)), 0)) // 2 AS BIGINT) AS first,
+  CAST((list_sum(list_slice(g, 1, i)) + list_sum(list_slice(b, 1, i))) // 2 - 1 AS BIGINT) AS last FROM h),
+k AS (SELECT * FROM s a WHERE base OR NOT EXISTS (SELECT 1 FROM s b WHERE b.doc_id = a.doc_id AND b.first <= a.first AND b.last >= a.last
+  AND (b.priority > a.priority OR b.priority = a.priority AND (b.first, -b.last, b.nth) < (a.first, -a.last, a.nth)))),
+r AS (SELECT doc_id, count(*) FILTER (WHERE base) AS n_base, min(first) FILTER (WHERE base) AS first_word, max(first) FILTER (WHERE base) AS last_word,
+  string_agg(DISTINCT label, ',' ORDER BY label) FILTER (WHERE base) AS base_labels, string_agg(DISTINCT label, ',' ORDER BY label) AS labels, max(weight) AS score, count(*) AS n_detections FROM k GROUP BY 1)
+SELECT d.doc_id, CAST(n_words AS BIGINT) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels,
+  coalesce(score, 0e0) AS score, coalesce(n_detections, 0) AS n_detections FROM d LEFT JOIN r USING (doc_id)"""
+
+
+_REACH = """reach AS (SELECT id AS d, id AS r FROM nodes UNION SELECT reach.d, both_ways.b FROM reach JOIN both_ways ON both_ways.a = reach.r)"""
+
+_NEAR_SQL = f"""WITH RECURSIVE w AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM documents),
+sets AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')] ELSE list_distinct(list_transform(range(1, len(w) - 2), lambda i: array_to_string(list_slice(w, i, i + 3), ' '))) END AS s FROM w),
+e AS (SELECT doc_id, unnest(s) AS h FROM sets),
+c AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS n FROM e x JOIN e y ON x.h = y.h AND x.doc_id < y.doc_id GROUP BY 1, 2),
+links AS (SELECT a, b FROM c JOIN sets x ON x.doc_id = a JOIN sets y ON y.doc_id = b WHERE 100 * n >= 80 * (len(x.s) + len(y.s) - n)),
+both_ways AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links), nodes AS (SELECT doc_id AS id FROM sets), {_REACH}
+SELECT sets.doc_id, CAST(len(s) AS BIGINT) AS n_shingles, m AS component_id, m = sets.doc_id AS kept FROM sets JOIN (SELECT d, min(r) AS m FROM reach GROUP BY 1) ON d = sets.doc_id"""
+
+_VECTOR_SQL = f"""WITH RECURSIVE v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS x FROM embeddings),
+links AS (SELECT p.vec_id AS a, q.vec_id AS b FROM v p JOIN v q ON p.vec_id < q.vec_id WHERE list_inner_product(p.x, q.x) / (sqrt(list_inner_product(p.x, p.x)) * sqrt(list_inner_product(q.x, q.x))) >= 0.9),
+both_ways AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links), nodes AS (SELECT vec_id AS id FROM v), {_REACH}
+SELECT v.vec_id, (SELECT count(*) FROM both_ways WHERE a = v.vec_id) AS n_links, m AS component_id, m = v.vec_id AS kept FROM v JOIN (SELECT d, min(r) AS m FROM reach GROUP BY 1) ON d = v.vec_id"""
+
+
 def oracle_sql():
-    return {}
+    return {"op1_license_scan": _license_sql(), "op6_embedding_dedup": _VECTOR_SQL, "op7_near_dedup": _NEAR_SQL}
