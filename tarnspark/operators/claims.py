@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.geo import EARTH_RADIUS_M, haversine
+from ..session import cut
 from .cells import cell, cells_around
 
 
@@ -22,14 +23,14 @@ def groups(candidates: DataFrame, radius: float) -> DataFrame:
     """seed_id -> group: seeds whose candidates may collide share one, by rounds of the smallest seed in reach."""
     a = candidates.select("seed_id", "lat", "lng", cell(F.col("lat"), F.col("lng"), radius).alias("_cell"))
     b = candidates.select(F.col("seed_id").alias("other"), F.col("lat").alias("r_lat"), F.col("lng").alias("r_lng")).withColumn("_cell", F.explode(cells_around(F.col("r_lat"), F.col("r_lng"), radius)))
-    edges = a.join(b, "_cell").where((F.col("seed_id") != F.col("other")) & (haversine("lat", "lng", "r_lat", "r_lng") <= radius)).select("seed_id", "other").distinct().checkpoint(eager=True)
-    label = candidates.select("seed_id").distinct().withColumn("group", F.col("seed_id")).checkpoint(eager=True)
+    edges = cut(a.join(b, "_cell").where((F.col("seed_id") != F.col("other")) & (haversine("lat", "lng", "r_lat", "r_lng") <= radius)).select("seed_id", "other").distinct())
+    label = cut(candidates.select("seed_id").distinct().withColumn("group", F.col("seed_id")))
     while True:
         near = edges.join(label.select(F.col("seed_id").alias("other"), F.col("group").alias("_g")), "other").groupBy("seed_id").agg(F.min("_g").alias("_g"))
         step = label.join(near, "seed_id", "left").withColumn("_new", F.least("group", F.coalesce("_g", "group")))
         # jump to the label's own label, so long chains take few rounds
         jump = step.select("seed_id", F.col("_new"), F.col("group")).join(label.select(F.col("seed_id").alias("_new"), F.col("group").alias("_j")), "_new", "left")
-        after = jump.select("seed_id", F.least("_new", F.coalesce("_j", "_new")).alias("_next"), "group").checkpoint(eager=True)
+        after = cut(jump.select("seed_id", F.least("_new", F.coalesce("_j", "_new")).alias("_next"), "group"))
         if after.where(F.col("_next") != F.col("group")).isEmpty():
             return label
         label = after.select("seed_id", F.col("_next").alias("group"))

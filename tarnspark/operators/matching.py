@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scores
 from ..functions.text import name_words, word_similarity
+from ..session import cut
 from .cells import within_distance
 
 
@@ -51,13 +52,13 @@ def greedy_pairs(edges: DataFrame, left: str = "ext_id", right: str = "site_id",
     ends. Edges are written to the checkpoint folder after each round, so lineage doesn't grow.
     """
     order = order or [F.desc("score"), F.asc(left), F.asc(right)]
-    taken, left_over = None, edges.checkpoint(eager=True)
+    taken, left_over = None, cut(edges)
     while not left_over.isEmpty():
         a, b = Window.partitionBy(left).orderBy(*order), Window.partitionBy(right).orderBy(*order)
         ranked = left_over.withColumn("_a", F.row_number().over(a)).withColumn("_b", F.row_number().over(b))
-        now = ranked.where((F.col("_a") == 1) & (F.col("_b") == 1)).drop("_a", "_b").checkpoint(eager=True)
+        now = cut(ranked.where((F.col("_a") == 1) & (F.col("_b") == 1)).drop("_a", "_b"))
         taken = now if taken is None else taken.unionByName(now)
-        left_over = left_over.join(now.select(left), left, "left_anti").join(now.select(right), right, "left_anti").select(*edges.columns).checkpoint(eager=True)
+        left_over = cut(left_over.join(now.select(left), left, "left_anti").join(now.select(right), right, "left_anti").select(*edges.columns))
     return edges.limit(0) if taken is None else taken
 
 
