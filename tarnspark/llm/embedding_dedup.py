@@ -23,6 +23,8 @@ from .components import components
 TABLES, PROBES = 8, 3
 #: A bucket's blocks have so many vectors, on average.
 BLOCK = 1000
+#: Buckets up to this size are compared together; a task takes so many rows of small buckets.
+SMALL, DEAL = 48, 20_000
 #: Vectors that a bucket should hold, by which the number of axes of a bucket follows the table's size.
 BUCKET = 16
 
@@ -81,23 +83,47 @@ def _roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return label
 
 
+def _close(x: np.ndarray, left: np.ndarray, right: np.ndarray, least: float):
+    """Pairs of rows of ``left`` and ``right`` with a product of ``least`` or more."""
+    for at in range(0, len(left), 512):
+        a, b = np.nonzero(x[left[at : at + 512]] @ x[right].T >= least)
+        yield left[at + a], right[b]
+
+
+def _close_in_buckets(x: np.ndarray, begins: np.ndarray, sizes: np.ndarray, least: float):
+    """Pairs within each bucket. Small buckets are compared together, row by row with the ones before."""
+    for begin, size in zip(begins[sizes > SMALL], sizes[sizes > SMALL], strict=True):
+        rows = np.arange(begin, begin + size)
+        for a, b in _close(x, rows, rows, least):
+            yield a[a < b], b[a < b]
+    rank = np.arange(sizes.sum()) - np.repeat(begins, sizes)
+    later = np.flatnonzero(np.repeat(sizes, sizes) <= SMALL)
+    for back in range(1, SMALL):
+        later = later[rank[later] >= back]
+        for at in range(0, len(later), 20_000):
+            b = later[at : at + 20_000]
+            b = b[np.einsum("ij,ij->i", x[b], x[b - back]) >= least]
+            yield b - back, b
+
+
 def _compare(batch: pd.DataFrame, least: float) -> pd.DataFrame:
-    """Links between the first and the second block of a bucket: id, links owned by this bucket, label."""
-    table, code = int(batch["table"].iloc[0]), int(batch["code"].iloc[0])
-    batch = batch.sort_values("id")
-    ids, blocks, weight = batch["id"].to_numpy(), batch["block"].to_numpy(), batch["weight"].to_numpy()
+    """Links in whole buckets, or between two blocks of one: id, links owned by the bucket, a linked label."""
+    table = int(batch["table"].iloc[0])
+    batch = batch.sort_values(["code", "id"])
+    ids, code, weight = batch["id"].to_numpy(), batch["code"].to_numpy(), batch["weight"].to_numpy()
     x = np.stack(batch["unit"].to_numpy())
     codes = np.stack(batch["codes"].to_numpy()).reshape(len(ids), TABLES, PROBES)
-    pair = (int(batch["low"].iloc[0]), int(batch["high"].iloc[0]))
-    left, right = (np.flatnonzero(blocks == k) for k in pair)
+    low, high = int(batch["low"].iloc[0]), int(batch["high"].iloc[0])
+    if low < 0:
+        begins = np.flatnonzero(np.concatenate([[True], code[1:] != code[:-1]]))
+        found = _close_in_buckets(x, begins, np.diff(np.concatenate([begins, [len(code)]])), least)
+    else:
+        blocks = batch["block"].to_numpy()
+        left, right = (np.flatnonzero(blocks == k) for k in (low, high))
+        found = ((a[a < b], b[a < b]) if low == high else (a, b) for a, b in _close(x, left, right, least))
     count = np.zeros(len(ids), np.int64)
     found_a, found_b = [], []
-    for at in range(0, len(left), 512):
-        rows = left[at : at + 512]
-        a, b = np.nonzero(x[rows] @ x[right].T >= least)
-        a, b = rows[a], right[b]
-        once = a < b if pair[0] == pair[1] else np.ones(len(a), bool)
-        a, b = a[once], b[once]
+    for a, b in found:
         found_a.append(a)
         found_b.append(b)
         own = np.ones(len(a), bool)
@@ -105,7 +131,7 @@ def _compare(batch: pd.DataFrame, least: float) -> pd.DataFrame:
             for p in range(PROBES):
                 same = (codes[a, t, p][:, None] == codes[b, t]) & own[:, None]
                 if t == table:
-                    same &= (codes[a, t, p] < code)[:, None]
+                    same &= (codes[a, t, p] < code[a])[:, None]
                 own &= ~same.any(axis=1)
         np.add.at(count, a[own], weight[b[own]])
         np.add.at(count, b[own], weight[a[own]])
@@ -148,9 +174,12 @@ def near_vectors(vectors: DataFrame, least: float = 0.9) -> DataFrame:
     placed = where.join(sizes, ["length", "table", "code"])
     blocks = F.ceil(F.col("members") / BLOCK).cast("int")
     placed = placed.withColumn("block", F.pmod(F.xxhash64("id"), blocks).cast("int"))
-    meets = F.transform(F.sequence(F.lit(0), blocks - 1), lambda k: F.struct(F.least("block", k).alias("low"), F.greatest("block", k).alias("high")))
-    dealt = placed.select("id", "length", "table", "code", "block", F.explode(meets).alias("_m")).select("id", "length", "table", "code", "block", "_m.low", "_m.high")
-    compared = dealt.join(units.drop("length"), "id").groupBy("length", "table", "code", "low", "high").applyInPandas(lambda batch: _compare(batch, least), "id long, links long, label long")
+    # buckets of one block go to tasks by the dozen, those of several block by block
+    deals = max(1, -(-n * PROBES // DEAL))
+    meets = F.transform(F.sequence(F.lit(0), blocks - 1), lambda k: F.struct(F.xxhash64("code").alias("deal"), F.least("block", k).alias("low"), F.greatest("block", k).alias("high")))
+    whole = F.array(F.struct(F.pmod(F.xxhash64("code"), F.lit(deals)).alias("deal"), F.lit(-1).alias("low"), F.lit(-1).alias("high")))
+    dealt = placed.select("id", "length", "table", "code", "block", F.explode(F.when(blocks == 1, whole).otherwise(meets)).alias("_m")).select("id", "length", "table", "code", "block", "_m.*")
+    compared = dealt.join(units.drop("length"), "id").groupBy("length", "table", "deal", "low", "high").applyInPandas(lambda batch: _compare(batch, least), "id long, links long, label long")
     found = cut(compared)
     links = found.groupBy("id").agg(F.sum("links").alias("links"))
     group = components(found.select(F.col("id").alias("a"), F.col("label").alias("b")))
