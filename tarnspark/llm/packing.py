@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .tokens import PieceCache, default_path
+from .tokens import bytes_of, default_path, worker_cache
 
 CAPACITY = 4096
 END_ID = 2
@@ -97,7 +97,7 @@ def pack_documents(docs: DataFrame, path: str | None = None, capacity: int = CAP
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches):
-        cache = PieceCache(path, lambda ids: np.array(ids, "<u4").tobytes())
+        cache = worker_cache(path, bytes_of, b"".join)
         first = TaskContext.get().partitionId() << 32
         held, names, size = [], [], 0
 
@@ -116,8 +116,8 @@ def pack_documents(docs: DataFrame, path: str | None = None, capacity: int = CAP
         for batch in batches:
             texts, ids = batch["text"].fillna("").tolist(), batch["doc_id"].tolist()
             for at in range(0, len(texts), 1000):
-                for name, (pieces, encoded) in zip(ids[at : at + 1000], cache.texts(texts[at : at + 1000]), strict=True):
-                    b = (np.array(encoded, "<u4").tobytes() if pieces is None else b"".join(map(cache.known.__getitem__, pieces))) + end
+                for name, b in zip(ids[at : at + 1000], cache.texts(texts[at : at + 1000]), strict=True):
+                    b += end
                     held.append(b)
                     names.append(name)
                     size += len(b)

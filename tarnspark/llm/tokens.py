@@ -1,8 +1,8 @@
 """Token counts and ids of whole texts, as a public word-level BPE tokenizer gives them.
 
 Counting is map-only. A compact table with the token lengths of frequent pre-tokens is broadcast;
-what it lacks is encoded by the library, once for each distinct pre-token, and kept in a bounded
-cache of the Python worker. No pre-token is ever shuffled.
+what it lacks is encoded by the library, once for each distinct pre-token, and kept in a bounded cache of
+the Python worker, which takes whole words too. No pre-token is ever shuffled.
 
 Pre-tokens are found with a plain regular expression only in texts made of the characters for which
 this expression and the library's normaliser and splitter agree by inspection (printable Latin-1 and
@@ -16,6 +16,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -26,11 +27,13 @@ TOKEN_LIMIT = 2048
 SAMPLE_DOCUMENTS = 2000
 FREQUENT = 40_000
 #: Entries of a worker's cache; it is emptied when full.
-CACHE = 300_000
+CACHE = 500_000
 
 _OTHER = re.compile(r"[^\t\n\r\x20-\x7e\xa1-\xff]|<\|")
 _PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zªµºß-öø-ÿ]+|[0-9²³¹¼½¾]|[^\sa-zªµºß-öø-ÿ0-9²³¹¼½¾]+")
 _loaded: dict[str, object] = {}
+_ends: dict[str, np.ndarray] = {}
+_caches: dict[tuple, PieceCache] = {}
 
 
 def tokenizer(path: str):
@@ -49,37 +52,80 @@ def default_path() -> str:
     return public_tokenizers.path(TOKENIZER)
 
 
-def pre_tokens(text: str) -> list[str] | None:
-    """The pre-tokens of a plain text; None if the library has to split it."""
-    return None if _OTHER.search(text) else _PIECES.findall(text.lower())
+def plain_words(text: str) -> list[str] | None:
+    """The words of a plain text, between white space; None if the library has to split it. No pre-token crosses a blank."""
+    return None if _OTHER.search(text) else text.lower().split()
+
+
+def pre_tokens(word: str) -> list[str]:
+    return _PIECES.findall(word)
+
+
+def lengths_of(ids: np.ndarray, ends: np.ndarray) -> list[int]:
+    return np.diff(ends, prepend=0).tolist()
+
+
+def bytes_of(ids: np.ndarray, ends: np.ndarray) -> list[bytes]:
+    whole, at = ids.tobytes(), [0, *(4 * ends).tolist()]
+    return [whole[i:j] for i, j in zip(at, at[1:], strict=False)]
+
+
+def encode_pieces(path: str, pieces: list[str], values) -> Iterator[object]:
+    """What ``values`` makes of each pre-token's ids.
+
+    Many go to the library as one text, parted by blanks; a token that ends a pre-token tells where each ends.
+    """
+    if path not in _ends:
+        vocabulary = tokenizer(path).get_vocab()
+        _ends[path] = np.zeros(max(vocabulary.values()) + 1, bool)
+        _ends[path][[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
+    at = range(0, len(pieces), 500)
+    for k, e in zip(at, tokenizer(path).encode_batch_fast([" ".join(pieces[k : k + 500]) for k in at], add_special_tokens=False), strict=True):
+        ids = np.array(e.ids, "<u4")
+        ends = np.flatnonzero(_ends[path][ids]) + 1
+        if len(ends) != len(pieces[k : k + 500]):
+            raise ValueError("the tokenizer has no end of word tokens")
+        yield from values(ids, ends)
 
 
 class PieceCache:
-    """What ``value`` makes of a pre-token's ids, for the pre-tokens met so far."""
-
-    def __init__(self, path: str, value, known: dict | None = None):
-        self.path, self.value, self.known = path, value, dict(known or {})
-
-    def learn(self, split: list[list[str] | None]) -> dict:
-        new = set()
-        for pieces in split:
-            if pieces is not None:
-                new.update(pieces)
-        new.difference_update(self.known)
-        if len(self.known) + len(new) > CACHE:
-            self.known = {}
-            new = set().union(*(p for p in split if p is not None))
-        words = list(new)
-        encoded = tokenizer(self.path).encode_batch(words, add_special_tokens=False)
-        self.known.update((w, self.value(e.ids)) for w, e in zip(words, encoded, strict=True))
-        return self.known
-
-    def texts(self, texts: list[str]) -> Iterator[tuple[list[str] | None, list[int] | None]]:
-        """For each text its pre-tokens, all of them in the cache, or the library's ids."""
-        split = [pre_tokens(t) for t in texts]
+    """Values of the words and pre-tokens met so far; ``join`` adds up the values of a word's pre-tokens or a text's words."""
+
+    def __init__(self, path: str, values, join, known: dict | None = None):
+        self.path, self.values, self.join = path, values, join
+        self.known = dict(known or {})
+
+    def learn(self, split: list[list[str] | None]) -> None:
+        every = set().union(*(words for words in split if words is not None))
+        fresh = every.difference(self.known)
+        if len(self.known) + len(fresh) > CACHE:
+            self.known, fresh = {}, every
+        several = {word: pieces for word in fresh if not word.isalpha() and len(pieces := pre_tokens(word)) > 1}
+        missing = [word for word in fresh if word not in several]
+        missing += set().union(*several.values()).difference(self.known, missing)
+        self.known.update(zip(missing, encode_pieces(self.path, missing, self.values), strict=True))
+        of = self.known.__getitem__
+        self.known.update([(word, self.join(map(of, pieces))) for word, pieces in several.items()])
+
+    def texts(self, texts: list[str]) -> Iterator[object]:
+        """The joined value of each text, in order."""
+        split = [plain_words(t) for t in texts]
         self.learn(split)
-        for text, pieces in zip(texts, split, strict=True):
-            yield (pieces, None) if pieces is not None else (None, tokenizer(self.path).encode(text, add_special_tokens=False).ids)
+        of = self.known.__getitem__
+        for text, words in zip(texts, split, strict=True):
+            if words is not None:
+                yield self.join(map(of, words))
+            else:
+                ids = np.array(tokenizer(self.path).encode(text, add_special_tokens=False).ids, "<u4")
+                yield self.values(ids, np.array([len(ids)]))[0]
+
+
+def worker_cache(path: str, values, join, known: dict | None = None) -> PieceCache:
+    """The worker's cache; tasks that it runs one after another share it."""
+    key = (path, values.__name__)
+    if key not in _caches:
+        _caches[key] = PieceCache(path, values, join, known)
+    return _caches[key]
 
 
 def _frequent(docs: DataFrame, path: str) -> dict[str, int]:
@@ -89,12 +135,14 @@ def _frequent(docs: DataFrame, path: str) -> dict[str, int]:
         seen: Counter = Counter()
         for batch in batches:
             for text in batch["text"]:
-                seen.update(pre_tokens(text) or ())
+                for word, n in Counter(plain_words(text) or ()).items():
+                    for piece in pre_tokens(word):
+                        seen[piece] += n
         words = [w for w, _ in seen.most_common(FREQUENT)]
-        encoded = tokenizer(path).encode_batch(words, add_special_tokens=False)
-        yield pd.DataFrame({"piece": words, "n": [len(e.ids) for e in encoded]})
+        yield pd.DataFrame({"piece": words, "n": list(encode_pieces(path, words, lengths_of))})
 
-    sample = docs.where(F.col("text").isNotNull()).select("text").limit(SAMPLE_DOCUMENTS).coalesce(1)
+    every = max(1, docs.count() // (2 * SAMPLE_DOCUMENTS))
+    sample = docs.where(F.col("text").isNotNull() & (F.pmod(F.xxhash64("doc_id"), F.lit(every)) == 0)).select("text").limit(SAMPLE_DOCUMENTS).coalesce(1)
     return {r["piece"]: r["n"] for r in sample.mapInPandas(count, "piece string, n long").collect()}
 
 
@@ -109,15 +157,12 @@ def token_counts(docs: DataFrame, path: str | None = None, limit: int = TOKEN_LI
     table = docs.sparkSession.sparkContext.broadcast(_frequent(docs, path))
 
     def run(batches):
-        cache = PieceCache(path, len, table.value)
+        cache = worker_cache(path, lengths_of, sum, table.value)
         for batch in batches:
             ids, texts = batch["doc_id"], batch["text"].fillna("").tolist()
             for at in range(0, len(texts), 1000):
                 part = texts[at : at + 1000]
-                rows = []
-                for pieces, encoded in cache.texts(part):
-                    rows.append(len(encoded) if pieces is None else sum(map(cache.known.__getitem__, pieces)))
-                yield pd.DataFrame({"doc_id": ids.iloc[at : at + 1000].to_numpy(), "n_bytes": [len(t.encode()) for t in part], "n_tokens": rows})
+                yield pd.DataFrame({"doc_id": ids.iloc[at : at + 1000].to_numpy(), "n_bytes": [len(t.encode()) for t in part], "n_tokens": list(cache.texts(part))})
 
     # doc_id passes through pandas; as text, null ids and large ids keep their value
     out = docs.select(F.col("doc_id").cast("string").alias("doc_id"), "text").mapInPandas(run, "doc_id string, n_bytes long, n_tokens long")
