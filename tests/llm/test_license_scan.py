@@ -48,7 +48,7 @@ def test_odd_rows(spark):
 
 
 def test_overlaps(spark):
-    texts = ["Licensed under the Apache License, Version 2.0 and the GPL v2.", "gnu general public license version 3 cc by cc-by sa", "MIT License, all rights reserved all rights reserved", "SPDX-License-Identifier: GPL-2.0-or-later", "SPDX-License-Identifier: MIT. égpl gplé"]
+    texts = ["Licensed under the Apache License, Version 2.0 and the GPL v2.", "gnu general public license version 3 cc by cc-by sa", "MIT License, all rights reserved all rights reserved", "SPDX-License-Identifier: GPL-2.0-or-later", "SPDX-License-Identifier: MIT. égpl gplé", "M\u0130T License \u212a ISC L\u0130CENSE ALL RIGHTS RESERVED", "ÉTÉ MIT LICENSE ÀÖ"]
     check(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
     labels = {r.doc_id: r.labels for r in license_scan.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
     assert labels[0] == "apache-2.0,gpl-2.0" and labels[3] == "gpl-2.0-or-later" and labels[4] == "mit"
