@@ -27,7 +27,7 @@ UNKNOWN = "und"
 FEATURES = 1 << 16
 SEQUENCES, SEQUENCE_WORDS, STEPS = 3000, 24, 40
 #: A worker labels so many documents or characters together, and keeps the scores of so many words.
-BATCH_DOCS, BATCH_CHARS, CACHE = 4096, 12 << 20, 300_000
+BATCH_DOCS, BATCH_CHARS, CACHE = 2048, 4 << 20, 250_000
 
 _WORD = re.compile(r"[^\W\d_]+")
 
@@ -257,10 +257,12 @@ def in_a_language(docs: DataFrame, least: float) -> DataFrame:
 
     def run(batches):
         labeller = Labeller(*model.value)
-        for batch in batches:
-            texts = batch.column(batch.schema.get_field_index("text")).to_pylist()
-            lang, score = labeller.texts(texts)
-            keep = (lang != UNKNOWN) & (score >= least) if labeller.names else np.array([bool(words(t)) for t in texts], bool)
-            yield batch.filter(pa.array(keep.tolist(), pa.bool_()))
+        for whole in batches:
+            for at in range(0, whole.num_rows, 1000):
+                batch = whole.slice(at, 1000)
+                texts = batch.column(batch.schema.get_field_index("text")).to_pylist()
+                lang, score = labeller.texts(texts)
+                keep = (lang != UNKNOWN) & (score >= least) if labeller.names else np.array([bool(words(t)) for t in texts], bool)
+                yield batch.filter(pa.array(keep.tolist(), pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
