@@ -8,7 +8,8 @@ match at an earlier place (doc_id, line number) goes.
 
 Places and postings are exchanged in packed columns, each set once for a task's batch, so a line that makes
 up a third of the corpus costs one posting for each batch and word. Under a word a line asks for its first
-PARTNERS possible matches; a line that had more and for which none of these holds asks again for all.
+PARTNERS possible matches; for a line that had more and for which none of these holds, the word's list of
+lines is kept, once, and gives all of them.
 The driver holds word counts in BINS bins and Bloom filters of 2**BITS bits, whatever the corpus.
 """
 
@@ -19,14 +20,17 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, total_bytes
+from .common import cut
 from .hashing import Windows, mix64
 from .packed import GROUP_BYTES, NO_ID, by_bucket, dense, loose
 
 #: Lines with fewer distinct words stay.
 WORDS = 8
-PARTNERS = 4
-BINS, BITS = 1 << 18, 25
+PARTNERS = 8
+BINS, BITS = 1 << 22, 25
+_BIN = np.uint64(64 - 22)
+#: Words of 64 bits of the parity that is compared before full sets are.
+WIDE = 8
 _PARTS = 64
 
 
@@ -41,9 +45,9 @@ def line_sets(texts: list[str], ids: list[int], rarity: np.ndarray):
     breaks = np.flatnonzero(data == 10)
     line = np.searchsorted(breaks, starts)
     if len(breaks) < 1 << 20:
-        order = np.argsort((line.astype(np.uint64) << np.uint64(44)) | (rarity[words >> np.uint64(46)].astype(np.uint64) << np.uint64(32)) | (words >> np.uint64(32)))
+        order = np.argsort((line.astype(np.uint64) << np.uint64(44)) | (rarity[words >> _BIN].astype(np.uint64) << np.uint64(32)) | (words >> np.uint64(32)))
     else:
-        order = np.lexsort((words, rarity[words >> np.uint64(46)], line))
+        order = np.lexsort((words, rarity[words >> _BIN], line))
     words, line = words[order], line[order]
     new = np.ones(len(words), bool)
     new[1:] = (words[1:] != words[:-1]) | (line[1:] != line[:-1])
@@ -84,39 +88,52 @@ def _batches(batches, n: int):
         yield texts, ids
 
 
-def _rarity(rows: DataFrame) -> np.ndarray:
-    """For each bin of words a rank of 12 bits, the rarest first, by counts over all lines."""
+def _rarity(rows: DataFrame) -> tuple[np.ndarray, int]:
+    """For each bin of words how often they occur in all lines, up to 12 bits; and the bytes of all texts."""
 
     def count(batches):
-        total = np.zeros(BINS, np.int64)
+        total, size, held = np.zeros(BINS, np.int64), 0, []
         for texts, _ in _batches(batches, 1 << 20):
             data = np.frombuffer(b"\n".join(t.encode().lower() for t in texts) + b"\n", np.uint8)
+            size += len(data)
             blank = (data == 32) | ((data >= 9) & (data <= 13))
             turn = np.flatnonzero(np.diff(blank.astype(np.int8), prepend=np.int8(1)))
-            total += np.bincount((Windows(data).of(turn[::2], turn[1::2]) >> np.uint64(46)).astype(np.int64), minlength=BINS)
-        yield pd.DataFrame({"part": range(_PARTS), "counts": [dense(x) for x in total.reshape(_PARTS, -1)]})
+            held.append((Windows(data).of(turn[::2], turn[1::2]) >> _BIN).astype(np.int32))
+            if len(held) == 32:
+                total += np.bincount(np.concatenate(held), minlength=BINS)
+                held = []
+        total += np.bincount(np.concatenate([*held, np.zeros(0, np.int32)]), minlength=BINS)
+        yield pd.DataFrame({"part": range(_PARTS), "counts": [dense(x) for x in total.reshape(_PARTS, -1)], "size": [size] + [0] * (_PARTS - 1)})
 
     def add(batch: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"part": batch["part"].iloc[:1], "counts": [dense(sum(loose(b, np.int64) for b in batch["counts"]))]})
+        return pd.DataFrame({"part": batch["part"].iloc[:1], "counts": [dense(sum(loose(b, np.int64) for b in batch["counts"]))], "size": [batch["size"].sum()]})
 
-    found = rows.mapInPandas(count, "part int, counts binary").groupBy("part").applyInPandas(add, "part int, counts binary").collect()
+    schema = "part int, counts binary, size long"
+    found = rows.mapInPandas(count, schema).groupBy("part").applyInPandas(add, schema).collect()
     counts = np.zeros((_PARTS, BINS // _PARTS), np.int64)
     for r in found:
         counts[r["part"]] = loose(r["counts"], np.int64)
-    rank = np.empty(BINS, np.int64)
-    rank[np.argsort(counts.reshape(-1), kind="stable")] = np.arange(BINS)
-    return (rank >> 6).astype(np.uint16)
+    return np.minimum(counts.reshape(-1), 4095).astype(np.uint16), sum(r["size"] for r in found)
 
 
-def _bloom(sets: DataFrame, column: str) -> np.ndarray:
-    """A Bloom filter of 2**BITS bits; a set too many passes it only to be dropped by a join."""
-    width = 1 << (BITS - 12)
+def _place(doc: np.ndarray, line: np.ndarray) -> np.ndarray:
+    return mix64(mix64(doc.astype(np.int64).view(np.uint64)) + line.astype(np.uint64))
+
+
+def _bits(places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    return (places >> np.uint64(64 - BITS)).astype(np.int64), (mix64(places) >> np.uint64(64 - BITS)).astype(np.int64)
+
+
+def _bloom(found: DataFrame) -> np.ndarray:
+    """A Bloom filter of 2**BITS bits of the places of all possible matches; a line too many passes it only to be dropped by a join."""
 
     def fill(batches):
         bits = np.zeros(1 << BITS, bool)
         for batch in batches:
-            for at in _bits(batch[column].to_numpy().view(np.uint64)):
-                bits[at] = True
+            for kind, c in zip(batch["kind"], batch["columns"], strict=True):
+                for doc, line in {0: ((2, 3), (4, 5)), 3: ((1, 2),)}.get(kind, ()):
+                    for at in _bits(_place(loose(c[doc], np.int64), loose(c[line], np.int64))):
+                        bits[at] = True
         parts = np.packbits(bits).reshape(1 << 12, -1)
         some = np.flatnonzero(parts.any(axis=1))
         if len(some):
@@ -125,16 +142,12 @@ def _bloom(sets: DataFrame, column: str) -> np.ndarray:
     def unite(batch: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame({"part": batch["part"].iloc[:1], "bits": [np.bitwise_or.reduce([np.frombuffer(b, np.uint8) for b in batch["bits"]]).tobytes()]})
 
-    out = np.zeros((1 << 12, width // 8), np.uint8)
-    for r in sets.mapInPandas(fill, "part int, bits binary").groupBy("part").applyInPandas(unite, "part int, bits binary").collect():
+    out = np.zeros((1 << 12, 1 << (BITS - 15)), np.uint8)
+    for r in found.mapInPandas(fill, "part int, bits binary").groupBy("part").applyInPandas(unite, "part int, bits binary").collect():
         out[r["part"]] = np.frombuffer(r["bits"], np.uint8)
     return np.unpackbits(out).astype(bool)
 
 
-def _bits(sets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    return (sets >> np.uint64(64 - BITS)).astype(np.int64), (mix64(sets) >> np.uint64(64 - BITS)).astype(np.int64)
-
-
 def _postings(rows: DataFrame, rarity, buckets: int) -> DataFrame:
     """kind, bucket, columns: 0 a batch's postings of a bucket of words, 1 its first places of sets, 2 places of repeats."""
 
@@ -174,45 +187,83 @@ def _postings(rows: DataFrame, rarity, buckets: int) -> DataFrame:
     return rows.mapInPandas(run, "kind int, bucket int, columns array<binary>")
 
 
-def _matches(columns: list, partners: int | None, asked) -> pd.DataFrame:
-    """Possible matches of a bucket: an earlier set, a later one, its place, and whether it had more."""
+#: What a bucket finds: columns of numbers, packed.
+_FOUND = "kind int, word long, columns array<binary>"
+_PAIRS = {"x": np.int64, "y": np.int64, "xdoc": np.int64, "xline": np.int64, "doc": np.int64, "line": np.int64}
+_ASKED = {"y": np.int64, "doc": np.int64, "line": np.int64, "size": np.int64, "pos": np.int64, "parity": np.int64, "word": np.int64, "at": np.int64}
+_PLACES = {"doc": np.int64, "line": np.int64}
+
+
+def _packed(kind: int, columns: list, kinds: list, word: int = 0) -> tuple:
+    return kind, word, [dense(np.ascontiguousarray(c).astype(t) if c.dtype.kind != "u" or t != np.int64 else c.astype(np.uint64).view(np.int64)) for c, t in zip(columns, kinds, strict=True)]
+
+
+def _unpacked(found: DataFrame, kind: int, columns: dict) -> DataFrame:
+    """The rows of a kind."""
+
+    def run(batches):
+        for batch in batches:
+            for c in batch["columns"]:
+                yield pd.DataFrame({name: loose(x, t) for x, (name, t) in zip(c, columns.items(), strict=True)})
+
+    return found.where(F.col("kind") == kind).select("columns").mapInPandas(run, ", ".join(f"{name} long" for name in columns))
+
+
+def _filters(x_size, x_pos, x_parity, y_size, y_pos, y_parity) -> np.ndarray:
+    """Whether two sets that share their words at these positions may be similar: by length, position and parity."""
+    both = x_size + y_size
+    need = (4 * both + 8) // 9
+    ok = 5 * np.minimum(x_size, y_size) >= 4 * np.maximum(x_size, y_size)
+    ok &= np.minimum(x_size - x_pos, y_size - y_pos) >= need
+    return ok & (np.bitwise_count(x_parity ^ y_parity) <= both - 2 * need)
+
+
+def _matches(columns: list, bucket: int) -> pd.DataFrame:
+    """Possible matches of a bucket: 0 pairs of an earlier and a later set; 3 the sets of words under which a set had more than
+    PARTNERS of them, in order; 4 such sets, with their place in that order."""
     kinds = (np.uint32, np.uint64, np.uint64, np.int64, np.uint32, np.uint32, np.uint32)
-    word, name, parity, doc, line, size, pos = (np.concatenate([loose(c[i], t) for c in columns]) for i, t in enumerate(kinds))
+    read = lambda i: np.concatenate([loose(c[i], kinds[i]) for c in columns])
+    word = read(0)
+    order = np.argsort(word, kind="stable")
+    same = word[order][1:] == word[order][:-1]
+    several = np.zeros(len(word), bool)  # most words of a prefix are in no other line
+    several[order[1:][same]] = several[order[:-1][same]] = True
+    word, name, parity, doc, line, size, pos = (read(i)[several] for i in range(7))
     order = np.lexsort((line, doc, name, word))
     one = np.ones(len(order), bool)
     one[1:] = (word[order][1:] != word[order][:-1]) | (name[order][1:] != name[order][:-1])
     order = order[one]
-    order = order[np.lexsort((name[order], line[order], doc[order], word[order]))]
+    order = order[np.lexsort((line[order], doc[order], word[order]))]
     word, name, parity, doc, line, size, pos = (x[order] for x in (word, name, parity, doc, line, size.astype(np.int64), pos.astype(np.int64)))
     head = np.ones(len(word), bool)
     head[1:] = word[1:] != word[:-1]
-    begin = np.flatnonzero(head)[np.cumsum(head) - 1]
-    later = np.arange(len(word))
-    later = later[later > begin]
-    if asked is not None:
-        one, two = _bits(name[later])
-        later = later[asked[one] & asked[two]]
+    begin = np.flatnonzero(head)[np.cumsum(head) - 1] if len(word) else word
+    later = np.flatnonzero(~head)
     found, more = np.zeros(len(word), np.int64), np.zeros(len(word), bool)
     earlier, own, step = [], [], 0
     while len(later):
         x = begin[later] + step
-        both = size[x] + size[later]
-        need = (4 * both + 8) // 9
-        ok = 5 * np.minimum(size[x], size[later]) >= 4 * np.maximum(size[x], size[later])
-        ok &= np.minimum(size[x] - pos[x], size[later] - pos[later]) >= need
-        ok &= np.bitwise_count(parity[x] ^ parity[later]) <= both - 2 * need
-        if partners:
-            full = ok & (found[later] >= partners)
-            more[later[full]] = True
-            ok &= ~full
+        ok = _filters(size[x], pos[x], parity[x], size[later], pos[later], parity[later])
+        full = ok & (found[later] >= PARTNERS)
+        more[later[full]] = True
+        ok &= ~full
         earlier.append(x[ok])
         own.append(later[ok])
         found[later[ok]] += 1
         step += 1
         later = later[(begin[later] + step < later) & ~more[later]]
     x, y = (np.concatenate(v) if v else np.zeros(0, np.int64) for v in (earlier, own))
-    out = pd.DataFrame({"kind": 0, "x": name[x].view(np.int64), "y": name[y].view(np.int64), "doc": doc[y], "line": line[y].astype(np.int64), "more": more[y]})
-    return out.drop_duplicates(["x", "y"]) if not partners else out.groupby(["x", "y"], as_index=False).agg({"kind": "first", "doc": "first", "line": "first", "more": "max"})[list(out.columns)]
+    _, one = np.unique(np.stack([name[x], name[y]]), axis=1, return_index=True)
+    x, y = x[one], y[one]
+    out = [_packed(0, [name[x], name[y], doc[x], line[x], doc[y], line[y]], list(_PAIRS.values()))] if len(x) else []
+    capped = np.flatnonzero(more)
+    if len(capped):
+        code = lambda i: (word[i].astype(np.int64) << 20) + bucket
+        out.append(_packed(4, [name[capped], doc[capped], line[capped], size[capped], pos[capped], parity[capped], code(capped), capped - begin[capped]], list(_ASKED.values())))
+        starts = np.unique(begin[capped])
+        ends = np.searchsorted(word, word[starts], side="right")
+        out += [_packed(3, [c[i:j] for c in (name, doc, line, size, pos, parity)], [np.int64] * 6, int(code(i))) for i, j in zip(starts, ends, strict=True)]
+    return pd.DataFrame(out, columns=["kind", "word", "columns"])
 
 
 def _repeats(columns: list) -> pd.DataFrame:
@@ -223,39 +274,82 @@ def _repeats(columns: list) -> pd.DataFrame:
     head[1:] = name[order][1:] != name[order][:-1]
     first = order[head][np.cumsum(head) - 1]
     again = (doc[order] != doc[first]) | (line[order] != line[first])
-    return pd.DataFrame({"kind": 1, "x": 0, "y": 0, "doc": doc[order][again], "line": line[order][again], "more": False})
+    return pd.DataFrame([_packed(1, [doc[order][again], line[order][again]], [np.int64, np.int64])], columns=["kind", "word", "columns"])
 
 
-def _joined(rows: DataFrame, rarity, buckets: int, partners: int | None, asked=None) -> DataFrame:
+def _joined(rows: DataFrame, rarity, buckets: int) -> DataFrame:
     def run(batch: pd.DataFrame) -> pd.DataFrame:
         kind, columns = int(batch["kind"].iloc[0]), batch["columns"].tolist()
         if kind == 0:
-            return _matches(columns, partners, asked.value if asked else None)
+            return _matches(columns, int(batch["bucket"].iloc[0]))
         if kind == 1:
             return _repeats(columns)
         doc, line = (np.concatenate([loose(c[i], np.int64) for c in columns]) for i in (0, 1))
-        return pd.DataFrame({"kind": 1, "x": 0, "y": 0, "doc": doc, "line": line, "more": False})
+        return pd.DataFrame([_packed(1, [doc, line], [np.int64, np.int64])], columns=["kind", "word", "columns"])
+
+    return _postings(rows, rarity, buckets).groupBy("kind", "bucket").applyInPandas(run, _FOUND)
+
+
+def _rest(found: DataFrame, open_: DataFrame) -> DataFrame:
+    """All possible matches, past PARTNERS too, of the sets of ``open_`` (y)."""
+
+    def pairs(batches):
+        for batch in batches:
+            for r in batch.itertuples():
+                name, _, _, size, pos, parity = (loose(m, np.int64)[: r.at] for m in r.columns)
+                ok = _filters(size, pos, parity.view(np.uint64), r.length, r.pos, np.uint64(r.parity & 0xFFFFFFFFFFFFFFFF))
+                yield pd.DataFrame({"x": name[ok], "y": r.y, "doc": r.doc, "line": r.line})
 
-    return _postings(rows, rarity, buckets).groupBy("kind", "bucket").applyInPandas(run, "kind int, x long, y long, doc long, line long, more boolean")
+    asked = _unpacked(found, 4, _ASKED).withColumnRenamed("size", "length").join(open_, "y", "left_semi")
+    rows = asked.join(found.where(F.col("kind") == 3).select("word", "columns"), "word")
+    return rows.select("y", "doc", "line", "length", "pos", "parity", "at", "columns").mapInPandas(pairs, "x long, y long, doc long, line long").distinct()
 
 
-def _verified(rows: DataFrame, rarity, pairs: DataFrame) -> DataFrame:
-    """pairs with ``good``: whether their full sets are SIMILAR."""
-    context = rows.sparkSession.sparkContext
-    wanted = context.broadcast(_bloom(pairs.select(F.explode(F.array("x", "y")).alias("set")), "set"))
+def _wide_parity(words: np.ndarray, begins: np.ndarray) -> np.ndarray:
+    """Parity of hashed words in WIDE x 64 bits, one row for each set."""
+    x = mix64(words ^ np.uint64(0x5851F42D4C957F2D))
+    own = x % np.uint64(WIDE)
+    bit = np.uint64(1) << ((x >> np.uint64(20)) & np.uint64(63))
+    return np.stack([np.bitwise_xor.reduceat(np.where(own == k, bit, np.uint64(0)), begins) for k in range(WIDE)], axis=1)
+
+
+def _sets(rows: DataFrame, rarity, found: DataFrame) -> DataFrame:
+    """set, n, parity, words: size, wide parity and full set of all lines that may match one."""
+    wanted = found.sparkSession.sparkContext.broadcast(_bloom(found))
 
     def emit(batches):
         rank, bits = rarity.value, wanted.value
         for texts, ids in _batches(batches, 1 << 20):
-            _, _, sizes, words = line_sets(texts, ids, rank)
+            raw = [t.encode() for t in texts]
+            breaks = [np.concatenate([[-1], np.flatnonzero(np.frombuffer(b, np.uint8) == 10), [len(b)]]) for b in raw]
+            counts = np.array([len(b) - 1 for b in breaks])
+            line = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
+            one, two = _bits(_place(np.repeat(np.array(ids, np.int64), counts), line))
+            hit = np.flatnonzero(bits[one] & bits[two])
+            if not len(hit):
+                continue
+            text = np.searchsorted(np.cumsum(counts), hit, side="right")
+            parts = [raw[t][breaks[t][n] + 1 : breaks[t][n + 1]].decode() for t, n in zip(text, line[hit], strict=True)]
+            _, _, sizes, words = line_sets(parts, list(range(len(parts))), rank)
             begins, name, _ = _identity(words, sizes)
             name, first = np.unique(name, return_index=True)
-            one, two = _bits(name)
-            hit = bits[one] & bits[two]
-            name, first = name[hit], first[hit]
-            yield pd.DataFrame({"set": name.view(np.int64), "words": [np.sort(words[begins[i] : begins[i] + sizes[i]]).tobytes() for i in first]})
+            if len(first):
+                yield pd.DataFrame({"set": name.view(np.int64), "n": sizes[first], "parity": list(_wide_parity(words, begins)[first].view(np.int64)), "words": [np.sort(words[begins[i] : begins[i] + sizes[i]]).tobytes() for i in first]})
+
+    return rows.mapInPandas(emit, "set long, n int, parity array<long>, words binary").dropDuplicates(["set"])
+
+
+def _likely(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """pairs whose wide parities allow for a match, with their distance."""
+    side = lambda k: sets.select(F.col("set").alias(k), F.col("n").alias(f"n{k}"), F.col("parity").alias(f"p{k}"))
+    both = pairs.join(side("x"), "x").join(side("y"), "y")
+    apart = F.aggregate(F.zip_with("px", "py", lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda s, k: s + k)
+    n = F.col("nx") + F.col("ny")
+    return both.withColumn("apart", apart).where(F.col("apart") <= n - 2 * F.floor((4 * n + 8) / 9)).select("x", "y", "doc", "line", "apart")
+
 
-    sets = rows.mapInPandas(emit, "set long, words binary").groupBy("set").agg(F.first("words").alias("words"))
+def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """y, doc, line of the pairs that hold on the full sets."""
 
     def compare(batches):
         for batch in batches:
@@ -264,30 +358,29 @@ def _verified(rows: DataFrame, rarity, pairs: DataFrame) -> DataFrame:
                 a, b = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
                 common = int((b[np.minimum(np.searchsorted(b, a), len(b) - 1)] == a).sum())
                 good.append(5 * common >= 4 * (len(a) + len(b) - common))
-            yield batch[["y", "doc", "line", "more"]].assign(good=good)
+            yield batch.loc[np.array(good, bool), ["y", "doc", "line"]]
 
     both = pairs.join(sets.select(F.col("set").alias("x"), F.col("words").alias("a")), "x").join(sets.select(F.col("set").alias("y"), F.col("words").alias("b")), "y")
-    return both.select("y", "doc", "line", "more", "a", "b").mapInPandas(compare, "y long, doc long, line long, more boolean, good boolean")
+    return both.select("y", "doc", "line", "a", "b").mapInPandas(compare, "y long, doc long, line long").distinct()
 
 
 def later_matches(docs: DataFrame) -> DataFrame:
     """doc, line of every line that has a match at an earlier place; doc is the largest long for a null doc_id."""
     context = docs.sparkSession.sparkContext
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc"), F.coalesce("text", F.lit("")).alias("text"))
-    buckets = max(1, -(-total_bytes(docs) // GROUP_BYTES))
-    rarity = context.broadcast(_rarity(rows))
-    found = cut(_joined(rows, rarity, buckets, PARTNERS))
-    gone = found.where(F.col("kind") == 1).select("doc", "line")
-    pairs = found.where(F.col("kind") == 0).groupBy("x", "y").agg(F.min("doc").alias("doc"), F.min("line").alias("line"), F.max("more").alias("more"))
-    judged = cut(_verified(rows, rarity, pairs).groupBy("y").agg(F.first("doc").alias("doc"), F.first("line").alias("line"), F.max("more").alias("more"), F.max("good").alias("good")))
-    gone = gone.union(judged.where("good").select("doc", "line"))
-    open_ = judged.where("more and not good").select("y")
+    ranks, size = _rarity(rows)
+    rarity = context.broadcast(ranks)
+    found = cut(_joined(rows, rarity, max(1, -(-size // GROUP_BYTES))))
+    sets = cut(_sets(rows, rarity, found))
+    pairs = cut(_likely(_unpacked(found, 0, _PAIRS).select("x", "y", "doc", "line").distinct(), sets))
+    # a later set is compared with the likeliest earlier one first, with others only if that doesn't hold
+    best = pairs.groupBy("y").agg(F.min(F.struct("apart", "x", "doc", "line")).alias("_b")).select("y", "_b.x", "_b.doc", "_b.line")
+    good = cut(_verified(best, sets))
+    more = cut(good.union(_verified(pairs.join(good, "y", "left_anti").select("x", "y", "doc", "line"), sets)))
+    open_ = _unpacked(found, 4, _ASKED).select("y").distinct().join(more, "y", "left_anti")
     if not open_.isEmpty():
-        asked = context.broadcast(_bloom(open_, "y"))
-        again = _joined(rows, rarity, buckets, None, asked).where(F.col("kind") == 0).join(open_, "y", "left_semi")
-        rest = cut(again.select("x", "y", "doc", "line", "more").distinct())
-        gone = gone.union(_verified(rows, rarity, rest).where("good").select("doc", "line"))
-    return gone.distinct()
+        more = more.union(_verified(_likely(_rest(found, open_), sets).select("x", "y", "doc", "line"), sets))
+    return _unpacked(found, 1, _PLACES).union(more.select("doc", "line")).distinct()
 
 
 def remove_lines(docs: DataFrame) -> DataFrame:
