@@ -26,7 +26,7 @@ TOKEN_LIMIT = 2048
 #: The frequent tier is counted on so many documents at most, and holds so many pre-tokens at most.
 SAMPLE_DOCUMENTS = 2000
 FREQUENT = 40_000
-#: Entries of a worker's cache; it is emptied when full.
+#: Entries of a generation of a worker's cache; it holds two, and the older one goes when the newer is full.
 CACHE = 500_000
 
 _OTHER = re.compile(r"[^\t\n\r\x20-\x7e\xa1-\xff]|<\|")
@@ -93,13 +93,17 @@ class PieceCache:
 
     def __init__(self, path: str, values, join, known: dict | None = None):
         self.path, self.values, self.join = path, values, join
-        self.known = dict(known or {})
+        self.known, self.before = {}, dict(known or {})
 
     def learn(self, split: list[list[str] | None]) -> None:
-        every = set().union(*(words for words in split if words is not None))
-        fresh = every.difference(self.known)
+        fresh = set().union(*(words for words in split if words is not None)).difference(self.known)
         if len(self.known) + len(fresh) > CACHE:
-            self.known, fresh = {}, every
+            # the words of these texts move to the new generation, the one before the last goes
+            self.known, self.before = {}, self.known
+            fresh = set().union(*(words for words in split if words is not None))
+        again = self.before.keys() & fresh
+        self.known.update((word, self.before[word]) for word in again)
+        fresh -= again
         several = {word: pieces for word in fresh if not word.isalpha() and len(pieces := pre_tokens(word)) > 1}
         missing = [word for word in fresh if word not in several]
         missing += set().union(*several.values()).difference(self.known, missing)
