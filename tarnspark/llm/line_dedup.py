@@ -145,7 +145,12 @@ def _bloom(found: DataFrame) -> np.ndarray:
     out = np.zeros((1 << 12, 1 << (BITS - 15)), np.uint8)
     for r in found.mapInPandas(fill, "part int, bits binary").groupBy("part").applyInPandas(unite, "part int, bits binary").collect():
         out[r["part"]] = np.frombuffer(r["bits"], np.uint8)
-    return np.unpackbits(out).astype(bool)
+    return out.reshape(-1)
+
+
+def _passes(bloom: np.ndarray, places: np.ndarray) -> np.ndarray:
+    one, two = (bloom[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1 for at in _bits(places))
+    return (one & two).astype(bool)
 
 
 def _postings(rows: DataFrame, rarity, buckets: int) -> DataFrame:
@@ -324,8 +329,7 @@ def _sets(rows: DataFrame, rarity, found: DataFrame) -> DataFrame:
             breaks = [np.concatenate([[-1], np.flatnonzero(np.frombuffer(b, np.uint8) == 10), [len(b)]]) for b in raw]
             counts = np.array([len(b) - 1 for b in breaks])
             line = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
-            one, two = _bits(_place(np.repeat(np.array(ids, np.int64), counts), line))
-            hit = np.flatnonzero(bits[one] & bits[two])
+            hit = np.flatnonzero(_passes(bits, _place(np.repeat(np.array(ids, np.int64), counts), line)))
             if not len(hit):
                 continue
             text = np.searchsorted(np.cumsum(counts), hit, side="right")
