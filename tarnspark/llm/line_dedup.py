@@ -2,9 +2,9 @@
 
 A line is the set of its words. Words are ordered by rarity in the whole corpus, and a line is indexed under
 its prefix: so many of its rarest words that two lines with a Jaccard similarity of SIMILAR or more share one.
-Lines that meet under a word pass a length filter, a positional filter and a filter on the parity of hashed
-words (a bound on the symmetric difference); what is left is verified on the full sets. A line that has a
-match at an earlier place (doc_id, line number) goes.
+A set that only its equals can match has no prefix. Lines that meet under a word pass a length filter, a
+positional filter and a filter on the parity of hashed words (a bound on the symmetric difference); what is
+left is verified on the full sets. A line that has a match at an earlier place (doc_id, line number) goes.
 
 Places and postings are exchanged in packed columns, each set once for a task's batch, so a line that makes
 up a third of the corpus costs one posting for each batch and word. Under a word a line asks for its first
@@ -24,8 +24,10 @@ from .common import cut
 from .hashing import Windows, mix64
 from .packed import GROUP_BYTES, NO_ID, by_bucket, dense, loose
 
-#: Lines with fewer distinct words stay.
-WORDS = 8
+#: Blank lines, which have fewer words, stay.
+WORDS = 1
+#: Sets of fewer words are similar to none but their equals: 3 of 4 words are less than SIMILAR.
+NEAR_WORDS = 4
 PARTNERS = 8
 BINS, BITS = 1 << 22, 25
 _BIN = np.uint64(64 - 22)
@@ -35,7 +37,7 @@ _PARTS = 64
 
 
 def line_sets(texts: list[str], ids: list[int], rarity: np.ndarray):
-    """Lines with WORDS distinct words or more: their places, and their words by rarity, laid end to end."""
+    """Lines with a word: their places, and their words by rarity, laid end to end."""
     raw = [t.encode().lower() for t in texts]
     data = np.frombuffer(b"\n".join(raw) + b"\n", np.uint8)
     blank = (data == 32) | ((data >= 9) & (data <= 13))
@@ -179,7 +181,7 @@ def _postings(rows: DataFrame, rarity, buckets: int) -> DataFrame:
             again = order[(doc[order] != doc[owner]) | (line[order] != line[owner])]
             out = [(2, len(texts) % buckets, [dense(doc[again]), dense(line[again])])] if len(again) else []
             out += [(1, k, [dense(name[first[x]]), dense(doc[first[x]]), dense(line[first[x]])]) for k, x in by_bucket((name[first] % np.uint64(buckets)).astype(np.int64), buckets)]
-            prefix = sizes[first] - (4 * sizes[first] + 4) // 5 + 1
+            prefix = np.where(sizes[first] < NEAR_WORDS, 0, sizes[first] - (4 * sizes[first] + 4) // 5 + 1)
             which = np.repeat(first, prefix)
             pos = np.arange(len(which)) - np.repeat(np.cumsum(prefix) - prefix, prefix)
             word = words[begins[which] + pos]
@@ -390,8 +392,8 @@ def later_matches(docs: DataFrame) -> DataFrame:
 def remove_lines(docs: DataFrame) -> DataFrame:
     """The documents without their later lines, with n_lines, n_removed and removed_lines (numbers from 0, ascending).
 
-    Lines are parted by line feeds; words by ASCII white space, A to Z in lower case. Lines of fewer than WORDS
-    distinct words stay. Lines are judged on the input. A null text stays null with no lines; an empty one has
+    Lines are parted by line feeds; words by ASCII white space, A to Z in lower case. Blank lines
+    stay. Lines are judged on the input. A null text stays null with no lines; an empty one has
     one line. A null doc_id comes after all others; rows with one doc_id share their places, so what is removed of
     one is removed of all. Columns of the input keep their values, but for text; an empty table stays empty.
     """

@@ -121,6 +121,22 @@ def test_crowded_lines_ask_for_all_partners(spark):
     check_lines(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
 
 
+def test_short_lines(spark):
+    rng = random.Random(9)
+    texts = ["one", "ONE one", "", " \t", "a b c d", "a b c d e", "a b c", "d c b a", "x " * 30, "x", "a b", "b\n\na b"]
+    texts += ["\n".join(" ".join(rng.choices("abcdefghijkl", k=rng.randrange(9))) for _ in range(5)) for _ in range(60)]
+    seen, want = [], {}
+    for doc, text in enumerate(texts):
+        want[doc] = []
+        for i, line in enumerate(text.split("\n")):
+            s = set(line.lower().split())
+            if s and any(5 * len(s & t) >= 4 * len(s | t) for t in seen):
+                want[doc].append(i)
+            seen.append(s)
+    got = line_dedup.remove_lines(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert {r.doc_id: r.removed_lines for r in got} == want and want[1] == [0] and want[9] == [0] and want[3] == []
+
+
 def test_lines_of_odd_rows(spark):
     docs = cases.frame(spark)
     got = line_dedup.remove_lines(docs)
