@@ -1,12 +1,11 @@
 """MinHash near-dedup with an LSH forest, links confirmed on full shingle sets.
 
-Each document's shingle set gets one label of DEPTH minimum hashes in each of TREES trees. Documents whose
-labels share their first START hashes stand next to each other in the tree's sorted order; such a region
-links its members to its first. A region of more than CROWDED documents goes on to the full label. Regions
-only name candidates: their components are candidate clusters, and inside a cluster every link is decided
-on full shingle sets. Documents with the same set are one node throughout. Texts are shuffled once, to
-their clusters; the sets never are. A cluster too large for a task is dealt out by its full labels, with
-the region's first document in each part.
+Each document's shingle set gets one label of START minimum hashes in each of TREES trees. Documents that
+share a label stand next to each other in the tree's sorted order; such a region links its members to its
+first. Regions only name candidates: their components are candidate clusters, and inside a cluster every link
+is decided on full shingle sets. Documents with the same set are one node throughout. Texts are shuffled once,
+to their clusters; the sets never are. A cluster too large for a task is parted by its regions, and a region
+too large for a task is dealt into blocks that meet two by two, so all that share a region are compared.
 """
 
 from __future__ import annotations
@@ -20,14 +19,13 @@ from .common import cut
 from .components import components
 from .hashing import mix64, shingle_sets
 
-TREES, START, DEPTH = 24, 6, 8
-CROWDED = 2000
-#: Documents of a cluster that one task compares.
+TREES, START = 24, 6
+#: Documents of a cluster that one task compares, or of two blocks of a region.
 CLUSTER = 20_000
 
 _rng = np.random.default_rng(3)
-_TIMES = _rng.integers(0, 1 << 63, size=TREES * DEPTH, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_PLUS = _rng.integers(0, 1 << 63, size=TREES * DEPTH, dtype=np.uint64)
+_TIMES = _rng.integers(0, 1 << 63, size=TREES * START, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_PLUS = _rng.integers(0, 1 << 63, size=TREES * START, dtype=np.uint64)
 
 
 def signature(hashes: np.ndarray) -> np.ndarray:
@@ -40,19 +38,17 @@ def signature(hashes: np.ndarray) -> np.ndarray:
     return best
 
 
-def labels(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Of each tree, a hash of the label's first START hashes and of all DEPTH."""
-    minima = signature(hashes).reshape(TREES, DEPTH)
-    x, first = np.arange(TREES, dtype=np.uint64), None
-    for k in range(DEPTH):
+def labels(hashes: np.ndarray) -> np.ndarray:
+    """A hash of the label in each tree."""
+    minima = signature(hashes).reshape(TREES, START)
+    x = np.arange(TREES, dtype=np.uint64)
+    for k in range(START):
         x = mix64(x * np.uint64(5) + minima[:, k])
-        if k + 1 == START:
-            first = x
-    return first.view(np.int64), x.view(np.int64)
+    return x.view(np.int64)
 
 
 def signatures(docs: DataFrame, size: int) -> DataFrame:
-    """doc_id, n_shingles, set_hash, upper, lower: the labels' hashes, null for an empty set."""
+    """doc_id, n_shingles, set_hash, labels: their hashes, null for an empty set."""
 
     def run(batches):
         for batch in batches:
@@ -60,11 +56,10 @@ def signatures(docs: DataFrame, size: int) -> DataFrame:
             for at in range(0, len(texts), 500):
                 rows = []
                 for doc, s in zip(ids[at : at + 500], shingle_sets(texts[at : at + 500], size), strict=True):
-                    both = labels(s) if len(s) else (None, None)
-                    rows.append((doc, len(s), f"{int(s.sum()):016x}{int(np.bitwise_xor.reduce(mix64(s))):016x}" if len(s) else None, *both))
-                yield pd.DataFrame(rows, columns=["doc_id", "n_shingles", "set_hash", "upper", "lower"])
+                    rows.append((doc, len(s), f"{int(s.sum()):016x}{int(np.bitwise_xor.reduce(mix64(s))):016x}" if len(s) else None, labels(s) if len(s) else None))
+                yield pd.DataFrame(rows, columns=["doc_id", "n_shingles", "set_hash", "labels"])
 
-    return docs.mapInPandas(run, "doc_id long, n_shingles long, set_hash string, upper array<long>, lower array<long>")
+    return docs.mapInPandas(run, "doc_id long, n_shingles long, set_hash string, labels array<long>")
 
 
 def _stars(rows: DataFrame, key: list[str]) -> DataFrame:
@@ -73,13 +68,20 @@ def _stars(rows: DataFrame, key: list[str]) -> DataFrame:
     return rows.join(regions, key)
 
 
-def candidate_clusters(nodes: DataFrame, crowded: int = CROWDED) -> DataFrame:
-    """node, upper, lower -> node, component for nodes that share a region."""
-    rows = nodes.select("node", F.posexplode(F.arrays_zip("upper", "lower")).alias("tree", "_l")).select("node", "tree", F.col("_l.upper").alias("upper"), F.col("_l.lower").alias("lower"))
-    regions = cut(_stars(rows, ["tree", "upper"]).select("node", "tree", "upper", "lower", "head", "members"))
-    deeper = _stars(regions.where(F.col("members") > crowded).select("node", "tree", "upper", "lower"), ["tree", "upper", "lower"])
-    edges = regions.where(F.col("members") <= crowded).select("node", "head").union(deeper.select("node", "head"))
-    return components(edges.where(F.col("node") != F.col("head")).distinct(), "node", "head")
+def candidate_clusters(nodes: DataFrame) -> DataFrame:
+    """node, labels -> node, component for nodes that share a region."""
+    regions = _stars(nodes.select("node", F.posexplode("labels").alias("tree", "label")), ["tree", "label"])
+    return components(regions.where(F.col("node") != F.col("head")).select("node", "head").distinct(), "node", "head")
+
+
+def region_parts(large: DataFrame) -> DataFrame:
+    """node, component, labels -> part, doc_id: the regions, so dealt that any two nodes of a region share a part of about CLUSTER at most."""
+    rows = large.select("node", "component", F.posexplode("labels").alias("tree", "label"))
+    rows = _stars(rows, ["component", "tree", "label"]).withColumn("blocks", F.when(F.col("members") <= CLUSTER, 1).otherwise(F.ceil(2 * F.col("members") / CLUSTER)).cast("int"))
+    rows = rows.withColumn("own", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
+    # each block with each other one; the only block of a region with itself
+    rows = rows.withColumn("other", F.explode(F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: (k != F.col("own")) | (F.col("blocks") == 1))))
+    return rows.select(F.concat_ws("-", "component", "tree", "label", F.least("own", "other"), F.greatest("own", "other")).alias("part"), F.col("node").alias("doc_id"))
 
 
 def linked(sets: list[np.ndarray], percent: int) -> np.ndarray:
@@ -147,15 +149,12 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     known = cut(signatures(rows.where(F.col("doc_id").isNotNull()), size))
     # documents with one set are one node: the smallest of their ids
-    classes = known.where(F.col("set_hash").isNotNull()).groupBy("set_hash").agg(F.min(F.struct("doc_id", "upper", "lower")).alias("_m"))
-    nodes = cut(classes.select("set_hash", F.col("_m.doc_id").alias("node"), F.col("_m.upper").alias("upper"), F.col("_m.lower").alias("lower")))
-    clusters = cut(candidate_clusters(nodes.select("node", "upper", "lower")))
+    classes = known.where(F.col("set_hash").isNotNull()).groupBy("set_hash").agg(F.min(F.struct("doc_id", "labels")).alias("_m"))
+    nodes = cut(classes.select("set_hash", F.col("_m.doc_id").alias("node"), F.col("_m.labels").alias("labels")))
+    clusters = cut(candidate_clusters(nodes.select("node", "labels")))
     sized = clusters.join(clusters.groupBy("component").agg(F.count("*").alias("members")), "component")
     parts = sized.where(F.col("members") <= CLUSTER).select(F.concat(F.lit("c"), F.col("component").cast("string")).alias("part"), F.col("node").alias("doc_id"))
-    large = sized.where(F.col("members") > CLUSTER).join(nodes.select("node", "lower"), "node").select("node", "component", F.posexplode("lower").alias("tree", "lower"))
-    large = _stars(large, ["component", "tree", "lower"]).withColumn("deal", F.pmod(F.xxhash64("node"), F.ceil(F.col("members") / CLUSTER)))
-    name = F.concat_ws("-", "component", "tree", "lower", "deal")
-    parts = parts.union(large.select(name, "node")).union(large.select(name, "head"))
+    parts = parts.union(region_parts(sized.where(F.col("members") > CLUSTER).select("node", "component").join(nodes.select("node", "labels"), "node")))
     texts = rows.where(F.col("doc_id").isNotNull())
     links = confirmed(cut(parts.distinct()), texts, size, percent)
     # rows that share a set, or a doc_id, belong together as well

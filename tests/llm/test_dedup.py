@@ -185,6 +185,24 @@ def test_crowded_regions_and_clusters(spark, monkeypatch):
     check_near(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), 5)
 
 
+def test_chain_through_a_large_region(spark, monkeypatch):
+    monkeypatch.setattr(near_dedup, "CLUSTER", 4)
+    texts = [" ".join(f"w{k}" for k in range(10 * i, 10 * i + 100)) for i in range(400)]
+    check_near(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), 5)
+
+
+def test_any_two_of_a_region_share_a_part(spark, monkeypatch):
+    nodes = spark.range(3000).selectExpr("id AS node", "array(7L, id) AS labels")
+    assert near_dedup.candidate_clusters(nodes).where("component = 0").count() == 3000
+    monkeypatch.setattr(near_dedup, "CLUSTER", 60)
+    parts = near_dedup.region_parts(nodes.where("node < 200").selectExpr("node", "0L AS component", "labels")).collect()
+    met = {}
+    for r in parts:
+        met.setdefault(r.part, []).append(r.doc_id)
+    assert {(a, b) for m in met.values() for a in m for b in m} == {(a, b) for a in range(200) for b in range(200)}
+    assert max(map(len, met.values())) < 100
+
+
 def test_components_of_a_chain(spark):
     chain = [(i, i + 1) for i in range(0, 300)] + [(1000, 1001), (5, 5)]
     got = {r.node: r.component for r in components(spark.createDataFrame(chain, "a long, b long")).collect()}
