@@ -172,7 +172,7 @@ def name_similarity_pairs(spark, d):
 def _external(spark, d):
     """Customers as an external list near the suppliers' places."""
     c = F.col("c_custkey")
-    return table(spark, d, "customer", ["c_custkey", "c_acctbal"]).where(c < 500).select(c.alias("ext_id"), F.concat(F.lit("Supplier "), F.lpad((c % 100).cast("string"), 9, "0")).alias("name"), (37.0 + (c * 37) % 400 / 100.0 + (c % 7) / 2000.0).alias("lat"), (-109.0 + (c * 53) % 700 / 100.0 + (c % 5) / 2000.0).alias("lng"), (1500.0 + F.col("c_acctbal") / 10.0).alias("elevation"))
+    return table(spark, d, "customer", ["c_custkey", "c_acctbal"]).select(c.alias("ext_id"), F.concat(F.lit("Supplier "), F.lpad((c % 100).cast("string"), 9, "0")).alias("name"), (37.0 + (c * 37) % 400 / 100.0 + (c % 7) / 2000.0).alias("lat"), (-109.0 + (c * 53) % 700 / 100.0 + (c % 5) / 2000.0).alias("lng"), (1500.0 + F.col("c_acctbal") / 10.0).alias("elevation"))
 
 
 _EDGES = (
@@ -194,7 +194,7 @@ a AS ("""
 
 @query(_EDGES.format(radius="500e0", most=10) + ", best AS (SELECT *, row_number() OVER (PARTITION BY ext_id ORDER BY score DESC, distance_m, site_id) AS n FROM scored WHERE score>0) SELECT e.ext_id, b.site_id, round(b.distance_m,3) AS distance_m, round(b.sim,6) AS name_similarity, round(b.score,6) AS score, CASE WHEN b.site_id IS NULL THEN 'none' WHEN b.distance_m<100 AND b.sim>0.7 THEN 'high' WHEN b.distance_m<300 AND b.sim>0.4 THEN 'medium' WHEN b.distance_m<100 THEN 'medium' ELSE 'low' END AS confidence FROM ext e LEFT JOIN best b ON b.ext_id=e.ext_id AND b.n=1")
 def match_best_candidate(spark, d):
-    out = matching.best_match(_external(spark, d), lens.suppliers(spark, d))
+    out = matching.best_match(_external(spark, d).where("ext_id < 500"), lens.suppliers(spark, d))
     return out.select("ext_id", "site_id", _r("distance_m", 3), _r("name_similarity"), _r("score"), "confidence")
 
 

@@ -42,3 +42,11 @@ def test_every_query_has_a_row_or_a_schema(spark):
 
     assert set(plans.SQL) <= set(entry.queries())
     assert entry.entry(spark).count() > 0
+
+
+def test_one_to_one_takes_all_customers(spark):
+    d = "/root/testdata/sf0.01"
+    got = plans.QUERIES["match_one_to_one"](spark, d).select("ext_id", "outcome").collect()
+    keys = [r.c_custkey for r in spark.read.parquet(f"{d}/customer.parquet").select("c_custkey").collect()]
+    assert len(keys) > 500 and sorted(r.ext_id for r in got) == sorted(keys)
+    assert {r.ext_id for r in got if r.outcome == "skipped"} == {k for k in keys if k % 17 == 0}
