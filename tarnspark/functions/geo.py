@@ -26,6 +26,52 @@ def haversine(lat1, lng1, lat2, lng2) -> Column:
     return 2 * EARTH_RADIUS_M * F.atan2(F.sqrt(chord), F.sqrt(1 - chord))
 
 
+#: Half axes of the world geodetic system's spheroid.
+SPHEROID_A, SPHEROID_B = 6378137.0, 6356752.314245
+
+
+def spheroid_distance(lat1, lng1, lat2, lng2) -> Column:
+    """Metres on the spheroid by Lambert's formula: some millionths off the geodesic, but for opposite points."""
+    flat = (SPHEROID_A - SPHEROID_B) / SPHEROID_A
+    reduced = lambda lat: F.atan((1 - flat) * F.tan(F.radians(_c(lat))))
+    a, b = reduced(lat1), reduced(lat2)
+    half_lat, half_lng = F.sin((b - a) / 2), F.sin(F.radians(_c(lng2) - _c(lng1)) / 2)
+    chord = half_lat * half_lat + F.cos(a) * F.cos(b) * half_lng * half_lng
+    sigma = 2 * F.atan2(F.sqrt(chord), F.sqrt(1 - chord))
+    p, q = (a + b) / 2, (b - a) / 2
+    square = lambda x: x * x
+    x = (sigma - F.sin(sigma)) * square(F.sin(p) * F.cos(q)) / square(F.cos(sigma / 2))
+    y = (sigma + F.sin(sigma)) * square(F.cos(p) * F.sin(q)) / square(F.sin(sigma / 2))
+    return F.when(chord <= 0, 0.0).otherwise(SPHEROID_A * (sigma - flat / 2 * (x + y)))
+
+
+def haversine_asin(lat1, lng1, lat2, lng2) -> Column:
+    """Metres between two points on the sphere, by the arc sine."""
+    a, b = F.radians(_c(lat1)), F.radians(_c(lat2))
+    half_lat, half_lng = F.sin((b - a) / 2), F.sin(F.radians(_c(lng2) - _c(lng1)) / 2)
+    return 2 * EARTH_RADIUS_M * F.asin(F.sqrt(half_lat * half_lat + F.cos(a) * F.cos(b) * half_lng * half_lng))
+
+
+def offset_point(lat, lng, metres, angle) -> tuple[Column, Column]:
+    """The point so many metres away at an angle from north, on a local plane."""
+    return _c(lat) + _c(metres) * F.cos(_c(angle)) / LNG_DEGREE_M, _c(lng) + _c(metres) * F.sin(_c(angle)) / (LNG_DEGREE_M * F.cos(F.radians(_c(lat))))
+
+
+def grid_around(lat, lng, radius: float, step: float) -> Column:
+    """(lat, lng) of a grid's points no more than ``radius`` metres away."""
+    n = int(radius / step)
+    lat, lng = _c(lat), _c(lng)
+    steps = F.sequence(F.lit(-n), F.lit(n))
+    wide = LNG_DEGREE_M * F.cos(F.radians(lat))
+    points = F.flatten(F.transform(steps, lambda i: F.transform(steps, lambda j: F.struct((lat + i * step / LNG_DEGREE_M).alias("lat"), (lng + j * step / wide).alias("lng")))))
+    return F.filter(points, lambda p: haversine(lat, lng, p["lat"], p["lng"]) <= radius)
+
+
+def same_place(lat, lng, of_lat, of_lng, half_lat, half_lng) -> Column:
+    """Whether a place lies in the closed box around another."""
+    return _c(lat).between(_c(of_lat) - _c(half_lat), _c(of_lat) + _c(half_lat)) & _c(lng).between(_c(of_lng) - _c(half_lng), _c(of_lng) + _c(half_lng))
+
+
 def degrees_of(metres, lat) -> tuple[Column, Column]:
     """Degrees of latitude and of longitude that ``metres`` span at a latitude."""
     m = _c(metres)
@@ -96,6 +142,21 @@ def area_sq_m(ring, lat) -> Column:
     return ring_area(ring) * LNG_DEGREE_M * LNG_DEGREE_M * F.cos(F.radians(_c(lat)))
 
 
+def ring_centroid(ring) -> tuple[Column, Column]:
+    """(lat, lng) of a ring's centre of area; null if it has none."""
+    edges = _edges(_c(ring))
+    cross = lambda e: e["a"]["lng"] * e["b"]["lat"] - e["b"]["lng"] * e["a"]["lat"]
+    total = lambda f: F.aggregate(edges, F.lit(0.0), lambda s, e: s + f(e))
+    double = F.nullif(total(cross), F.lit(0.0))
+    return total(lambda e: (e["a"]["lat"] + e["b"]["lat"]) * cross(e)) / (3 * double), total(lambda e: (e["a"]["lng"] + e["b"]["lng"]) * cross(e)) / (3 * double)
+
+
+def sound_rings(rings) -> Column:
+    """Whether all rings are closed, have three corners or more, and an area."""
+    good = lambda r: (F.size(r) >= 4) & (F.element_at(r, 1) == F.element_at(r, -1)) & (ring_area(r) > 0)
+    return F.coalesce((F.size(_c(rings)) > 0) & F.forall(_c(rings), good), F.lit(False))
+
+
 def vertex_count(rings) -> Column:
     return F.size(F.flatten(_c(rings)))
 
@@ -118,6 +179,32 @@ def parse_linestring(wkt) -> Column:
     return F.transform(F.split(inside, r"\s*,\s*"), lambda p: F.struct(F.split_part(F.trim(p), F.lit(" "), F.lit(1)).cast("double").alias("lng"), F.split_part(F.trim(p), F.lit(" "), F.lit(-1)).cast("double").alias("lat")))
 
 
-def geojson_wkt(kind, coordinates) -> Column:
-    """A point's GeoJSON coordinates as WKT; any other kind gives an empty text."""
-    return F.when(_c(kind) == "Point", wkt_point(F.get(_c(coordinates), F.lit(0)), F.get(_c(coordinates), F.lit(1)))).otherwise(F.lit(""))
+def envelope(west, south, east, north) -> Column:
+    """A box as one closed ring."""
+    corner = lambda x, y: F.struct(_c(x).alias("lng"), _c(y).alias("lat"))
+    return F.array(corner(west, south), corner(east, south), corner(east, north), corner(west, north), corner(west, south))
+
+
+def parse_polygon(wkt) -> Column:
+    """POLYGON text as rings of (lng, lat)."""
+    rings = F.regexp_extract_all(_c(wkt), F.lit(r"\(([^()]+)\)"), F.lit(1))
+    return F.transform(rings, lambda r: parse_linestring(F.concat(F.lit("LINESTRING("), r, F.lit(")"))))
+
+
+def as_geojson(points) -> Column:
+    """A track, an array of (lng, lat), as a GeoJSON line."""
+    return F.to_json(F.struct(F.lit("LineString").alias("type"), F.transform(_c(points), lambda p: F.array(p["lng"], p["lat"])).alias("coordinates")))
+
+
+def geojson_wkt(geometry) -> Column:
+    """The WKT of a GeoJSON point, polygon or multipolygon; any other text gives an empty one."""
+    g = _c(geometry)
+    kind, written = F.get_json_object(g, "$.type"), F.get_json_object(g, "$.coordinates")
+    place = lambda p: F.concat_ws(" ", F.get(p, F.lit(0)).cast("string"), F.get(p, F.lit(1)).cast("string"))
+    listed = lambda items, f: F.concat(F.lit("("), F.array_join(F.transform(items, f), ", "), F.lit(")"))
+    ring = lambda r: listed(r, place)
+    rings = lambda rs: listed(rs, ring)
+    point = F.concat(F.lit("POINT("), place(F.from_json(written, "array<double>")), F.lit(")"))
+    polygon = F.concat(F.lit("POLYGON"), rings(F.from_json(written, "array<array<array<double>>>")))
+    several = F.concat(F.lit("MULTIPOLYGON"), listed(F.from_json(written, "array<array<array<array<double>>>>"), rings))
+    return F.coalesce(F.when(kind == "Point", point).when(kind == "Polygon", polygon).when(kind == "MultiPolygon", several), F.lit(""))

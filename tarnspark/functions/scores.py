@@ -79,6 +79,7 @@ def match_level(name: Column, metres: Column) -> Column:
 
 
 def zone_type(area: Column) -> Column:
+    """What a summit zone of so many square metres is called. Fixed values."""
     return F.when(area < 50, "knife-edge / point summit").when(area < 200, "small summit area").when(area < 1000, "moderate summit plateau").otherwise("large / flat summit")
 
 
@@ -91,6 +92,16 @@ def budget(short_limit: Column, short_usage: Column, daily_limit: Column, daily_
     return F.when((short <= 0) | (daily <= 0), F.lit(0).cast("long")).otherwise(F.greatest(least, room))
 
 
+def area_text(area: Column) -> Column:
+    """Square metres, in thousands from 1000 on."""
+    return F.when(area < 1, F.format_string("%.2f sq m", area)).when(area < 1000, F.format_string("%.0f sq m", area)).otherwise(F.format_string("%.1fk sq m", area / 1000.0))
+
+
+def even_share(short_limit: Column, short_usage: Column, daily_limit: Column, daily_usage: Column) -> Column:
+    """The simpler allowance: a third of what is left of either limit."""
+    return F.greatest(F.lit(0).cast("long"), F.floor(F.least(short_limit - short_usage, daily_limit - daily_usage) / 3))
+
+
 def js_round(x: Column, digits: int = 0) -> Column:
     """Rounding with halves towards plus infinity."""
     k = float(10**digits)

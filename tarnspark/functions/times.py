@@ -47,5 +47,19 @@ def near_in_time(a, b, seconds: float = 300) -> Column:
 
 
 def duration(seconds) -> Column:
-    s = _c(seconds).cast("long")
-    return F.format_string("%dh %02dm %02ds", F.floor(s / 3600).cast("long"), F.floor(s % 3600 / 60).cast("long"), (s % 60).cast("long"))
+    """Seconds with a decimal below a minute, minutes and seconds below an hour, else hours and minutes."""
+    x = _c(seconds).cast("double")
+    s = F.floor(x).cast("long")
+    minutes = F.floor(s / 60).cast("long")
+    return F.when(x < 60, F.format_string("%.1fs", x)).when(x < 3600, F.format_string("%dm %ds", minutes, s % 60)).otherwise(F.format_string("%dh %dm", F.floor(s / 3600).cast("long"), minutes % 60))
+
+
+def from_local(wall_clock, offset) -> Column:
+    """The instant of a local wall-clock text and an offset such as -07:00; parts of a second are dropped."""
+    return F.to_timestamp(F.concat(F.substring(_c(wall_clock), 1, 19), _c(offset)), "yyyy-MM-dd'T'HH:mm:ssXXX")
+
+
+def local_text(ts, offset_seconds) -> Column:
+    """The wall clock at an offset, with the offset behind it."""
+    local = F.timestamp_micros(micros(ts) + _c(offset_seconds).cast("long") * 1000000).cast("timestamp_ntz")
+    return F.concat(F.date_format(local, "yyyy-MM-dd'T'HH:mm:ss"), utc_offset(offset_seconds))

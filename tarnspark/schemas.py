@@ -16,9 +16,11 @@ RATE_LIMITS = "id int, short_term_limit int, daily_limit int, short_term_usage i
 EVENT = "aspect_type string, event_time long, object_id long, object_type string, owner_id long, subscription_id long, updates struct<title:string,type:string,private:string,authorized:string>"
 MESSAGE = "id long, action string, created string, started string, completed string, json_data string, is_webhook boolean"
 STREAMS = "latlng struct<data:array<array<double>>>, time struct<data:array<double>>, altitude struct<data:array<double>>, distance struct<data:array<double>>"
+ACTIVITY = "id long, name string, description string, sport_type string, type string, start_date string, start_date_local string, timezone string, utc_offset double, start_latlng array<double>, distance double, elapsed_time long, total_elevation_gain double, private boolean, map struct<polyline:string,summary_polyline:string>"
 EXTERNAL = "ext_id string, name string, lat double, lng double, elevation double, source string, source_url string"
 POLYGONS = "poly_id string, name string, code string, rings array<array<struct<lng:double,lat:double>>>"
 RASTER = "tile_id string, row int, col int, elev double"
+GEONAMES = "geonames array<struct<geonameId:long,name:string,lat:string,lng:string,elevation:int,adminCode1:string,countryCode:string,fcode:string>>"
 FEATURES = "id string, properties map<string,string>, geometry struct<type:string,coordinates:array<double>>"
 
 

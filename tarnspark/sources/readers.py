@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import io
+import zipfile
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import schemas
+from ..functions.times import time_zone
 
 
 def table(spark: SparkSession, folder: str, name: str, columns: list[str] | None = None) -> DataFrame:
@@ -33,6 +38,24 @@ def webhook_events(spark: SparkSession, path: str, streaming: bool = True) -> Da
     return body.select(event["aspect_type"].alias("action"), event["owner_id"].cast("string").alias("user_id"), "json_data", F.lit(1).alias("priority"), F.lit(True).alias("is_webhook"), F.timestamp_seconds(event["event_time"]).cast("timestamp_ntz").alias("created"))
 
 
+def activities(spark: SparkSession, path: str) -> DataFrame:
+    """Landed activity documents as rows: activity_id, title, sport, started_at, offset_seconds, time_zone, is_public, start point."""
+    rows = json_lines(spark, path, schemas.ACTIVITY)
+    began = F.to_timestamp("start_date").cast("timestamp_ntz")
+    return rows.select(F.col("id").alias("activity_id"), F.col("name").alias("title"), F.coalesce("sport_type", "type").alias("sport"), began.alias("started_at"), F.col("utc_offset").cast("long").alias("offset_seconds"), time_zone("timezone").alias("time_zone"), (~F.coalesce("private", F.lit(False))).alias("is_public"), F.get("start_latlng", F.lit(0)).alias("lat"), F.get("start_latlng", F.lit(1)).alias("lng"), "description")
+
+
+def geonames(spark: SparkSession, path: str) -> DataFrame:
+    """Named places of a landed lookup: site_id, name, lat, lng, elevation, state, country."""
+    g = spark.read.schema(schemas.GEONAMES).json(path, multiLine=True).select(F.inline("geonames"))
+    return g.select(F.col("geonameId").cast("string").alias("site_id"), "name", F.col("lat").try_cast("double").alias("lat"), F.col("lng").try_cast("double").alias("lng"), F.col("elevation").cast("double").alias("elevation"), F.col("adminCode1").alias("state"), F.col("countryCode").alias("country"))
+
+
+def either_stream(column: str | Column) -> Column:
+    """A stream's numbers, written as a bare array or as an object with ``data``."""
+    return F.coalesce(F.from_json(column, "array<double>"), F.from_json(column, "data array<double>")["data"])
+
+
 def geojson_features(spark: SparkSession, path: str) -> DataFrame:
     collection = "features array<struct<id:string,properties:map<string,string>,geometry:struct<type:string,coordinates:array<double>>>>"
     rows = spark.read.schema(collection).json(path, multiLine=True).select(F.explode("features").alias("f"))
@@ -56,11 +79,30 @@ def points_of_streams(rows: DataFrame, key: str) -> DataFrame:
 
 
 def elevations(rows: DataFrame, column: str = "value") -> DataFrame:
-    """Looked-up elevations with the services' "no data" values as null."""
+    """Looked-up elevations of a service that says -1000000 where it has none."""
+    v = F.col(column).cast("double")
+    return rows.withColumn(column, F.when(v != -1000000, v))
+
+
+def global_elevations(rows: DataFrame, column: str = "value") -> DataFrame:
+    """Looked-up elevations of a service for which all below -1000 m are none."""
     v = F.col(column).cast("double")
     return rows.withColumn(column, F.when(v >= -1000, v))
 
 
+def lookup_batches(points: DataFrame, key: str, size: int = 100) -> DataFrame:
+    """Points (lat, lng) as requests of ``size`` places at most, with a number that a rerun repeats: batch, ids, locations.
+
+    Places are dealt by a hash and numbered within their part, so no task sees all of them.
+    """
+    parts = max(1, int(points.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    part = F.pmod(F.xxhash64(key), F.lit(parts))
+    rows = points.select(key, "lat", "lng", part.alias("part")).withColumn("n", F.floor((F.row_number().over(Window.partitionBy("part").orderBy(key)) - 1) / size))
+    listed = F.array_sort(F.collect_list(F.struct(F.col(key).alias("id"), F.concat_ws(",", "lat", "lng").alias("at"))))
+    out = rows.groupBy("part", "n").agg(listed.alias("_l"))
+    return out.select(F.concat_ws("-", "part", "n").alias("batch"), F.transform("_l", lambda x: x["id"]).alias("ids"), F.array_join(F.transform("_l", lambda x: x["at"]), "|").alias("locations"))
+
+
 def csv_table(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).csv(path, header=True)
 
@@ -70,6 +112,55 @@ def files(spark: SparkSession, folder: str, pattern: str) -> DataFrame:
     return spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(folder).select("path", "length")
 
 
+#: What an archive's layers may be, the best first.
+LAYERS = (".gdb", ".zip", ".shp")
+
+
+def archive_members(spark: SparkSession, folder: str, pattern: str = "*.zip") -> DataFrame:
+    """path, member, size of the files inside archives, read where the archives are."""
+
+    def listed(batches):
+        for batch in batches:
+            rows = []
+            for path, content in zip(batch["path"], batch["content"], strict=True):
+                with zipfile.ZipFile(io.BytesIO(content)) as z:
+                    rows += [(path, i.filename, i.file_size) for i in z.infolist() if not i.is_dir()]
+            yield pd.DataFrame(rows, columns=["path", "member", "size"])
+
+    found = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(folder)
+    return found.select("path", "content").mapInPandas(listed, "path string, member string, size long")
+
+
+def best_layer(paths: DataFrame, column: str = "path") -> DataFrame:
+    """folder, path: of each folder's layers the best kind, and of that the first by name."""
+    p = F.lower(F.regexp_replace(column, "/+$", ""))
+    kind = F.coalesce(*[F.when(p.endswith(k), F.lit(i)) for i, k in enumerate(LAYERS)])
+    rows = paths.select(F.regexp_extract(column, "^(.*)/[^/]+/?$", 1).alias("folder"), F.col(column).alias("path"), kind.alias("kind")).where(F.col("kind").isNotNull())
+    return rows.groupBy("folder").agg(F.min(F.struct("kind", "path")).alias("_b")).select("folder", F.col("_b.path").alias("path"))
+
+
+def layer(spark: SparkSession, path: str, columns: list[str] | None = None, where: str | None = None, most: int | None = None) -> DataFrame:
+    """A landed layer; columns and conditions reach the scan."""
+    df = spark.read.parquet(path)
+    df = df.where(where) if where else df
+    df = df.select(*columns) if columns else df
+    return df.limit(most) if most else df
+
+
+def has_columns(df: DataFrame, *names: str) -> dict[str, bool]:
+    have = {c.lower() for c in df.columns}
+    return {n: n.lower() in have for n in names}
+
+
+def known_tables(spark: SparkSession, *names: str) -> dict[str, bool]:
+    return {n: spark.catalog.tableExists(n) for n in names}
+
+
+def jdbc_parts(spark: SparkSession, url: str, name: str, key: str, low: int, high: int, parts: int, **options: str) -> DataFrame:
+    """A table read in ``parts`` ranges of a numeric key at once, for a copy."""
+    return spark.read.format("jdbc").options(url=url, dbtable=name, partitionColumn=key, lowerBound=str(low), upperBound=str(high), numPartitions=str(parts), fetchsize="10000", **options).load()
+
+
 def jdbc(spark: SparkSession, url: str, name: str, **options: str) -> DataFrame:
     return spark.read.format("jdbc").options(url=url, dbtable=name, **options).load()
 
