@@ -36,25 +36,61 @@ def groups(candidates: DataFrame, radius: float) -> DataFrame:
         label = after.select("seed_id", F.col("_next").alias("group"))
 
 
+#: Groups of more seeds are settled in rounds.
+GROUP = 5000
+
+
+def _settle(batch: pd.DataFrame, radius: float) -> pd.DataFrame:
+    """Claims of one group, seed after seed."""
+    batch = batch.sort_values(["elevation", "seed_id", "rank"], ascending=[False, True, True], na_position="last")
+    taken, out = [], []
+    for seed, own in batch.groupby("seed_id", sort=False):
+        places = list(zip(own["rank"], own["lat"], own["lng"], strict=True))
+        free = next((p for p in places if all(_metres(p[1:], t) > radius for t in taken)), None)
+        chosen = free or places[0]
+        taken.append(chosen[1:])
+        out.append((seed, int(chosen[0]), free is None))
+    return pd.DataFrame(out, columns=["seed_id", "rank", "collided"])
+
+
+def in_rounds(rows: DataFrame, radius: float) -> DataFrame:
+    """seed_id, rank, collided of all seeds (rows: seed_id, elevation, rank, lat, lng), by rounds of those that come first.
+
+    In a round those seeds claim for which every seed in reach that comes before them has claimed. The claims in reach of a
+    candidate are looked up by cells, so a round is a few equi-joins however the seeds hang together.
+    """
+    kind = rows.schema["seed_id"].dataType
+    first = F.struct(F.col("elevation").isNull().alias("low"), (-F.coalesce("elevation", F.lit(0.0))).alias("height"), "seed_id")
+    rows = cut(rows.select("seed_id", "rank", "lat", "lng", first.alias("turn")))
+    a = rows.select("seed_id", "turn", "lat", "lng", cell(F.col("lat"), F.col("lng"), radius).alias("_cell"))
+    b = rows.select(F.col("seed_id").alias("other"), F.col("turn").alias("_turn"), F.col("lat").alias("r_lat"), F.col("lng").alias("r_lng")).withColumn("_cell", F.explode(cells_around(F.col("r_lat"), F.col("r_lng"), radius)))
+    waits = cut(a.join(b, "_cell").where((F.col("_turn") < F.col("turn")) & (haversine("lat", "lng", "r_lat", "r_lng") <= radius)).select("seed_id", "other").distinct())
+    left, done = rows, rows.sparkSession.createDataFrame([], f"seed_id {kind.simpleString()}, rank int, lat double, lng double, collided boolean")
+    while not left.isEmpty():
+        open_ = left.select(F.col("seed_id").alias("other")).distinct()
+        now = left.join(waits.join(open_, "other", "left_semi").select("seed_id").distinct(), "seed_id", "left_anti")
+        claims = done.select(F.col("lat").alias("r_lat"), F.col("lng").alias("r_lng")).withColumn("_at", F.explode(cells_around(F.col("r_lat"), F.col("r_lng"), radius)))
+        free = now.withColumn("_cell", cell(F.col("lat"), F.col("lng"), radius)).join(claims, (F.col("_cell") == F.col("_at")) & (haversine("lat", "lng", "r_lat", "r_lng") <= radius), "left_anti")
+        best = now.groupBy("seed_id").agg(F.min(F.struct("rank", "lat", "lng")).alias("_any")).join(free.groupBy("seed_id").agg(F.min(F.struct("rank", "lat", "lng")).alias("_free")), "seed_id", "left")
+        place = F.coalesce("_free", "_any")
+        got = best.select("seed_id", place["rank"].cast("int").alias("rank"), place["lat"].alias("lat"), place["lng"].alias("lng"), F.col("_free").isNull().alias("collided"))
+        done = cut(done.unionByName(got))
+        left = cut(left.join(done.select("seed_id"), "seed_id", "left_anti"))
+    return done.select("seed_id", "rank", "collided")
+
+
 def assign_unclaimed(seeds: DataFrame, candidates: DataFrame, radius: float = 50.0) -> DataFrame:
     """seed_id, rank, collided of every seed with a candidate: the first by rank with no claim within ``radius``.
 
     seeds: seed_id, elevation. candidates: seed_id, rank, lat, lng. Seeds claim from the highest on, those without an
     elevation last, then by id. If all of a seed's candidates collide it keeps the first and says so. Seeds that
-    can't meet are in different groups, and a group is settled in one task; groups are places with crowded sites.
+    can't meet are in different groups; a group is settled in one task, or in rounds if it has more than GROUP seeds.
     """
     rows = candidates.join(groups(candidates, radius), "seed_id").join(seeds.select("seed_id", F.col("elevation").cast("double").alias("elevation")), "seed_id")
-
-    def settle(batch: pd.DataFrame) -> pd.DataFrame:
-        batch = batch.sort_values(["elevation", "seed_id", "rank"], ascending=[False, True, True], na_position="last")
-        taken, out = [], []
-        for seed, own in batch.groupby("seed_id", sort=False):
-            places = list(zip(own["rank"], own["lat"], own["lng"], strict=True))
-            free = next((p for p in places if all(_metres(p[1:], t) > radius for t in taken)), None)
-            chosen = free or places[0]
-            taken.append(chosen[1:])
-            out.append((seed, int(chosen[0]), free is None))
-        return pd.DataFrame(out, columns=["seed_id", "rank", "collided"])
-
+    rows = cut(rows.withColumn("rank", F.col("rank").cast("int")))
+    sizes = rows.groupBy("group").agg(F.countDistinct("seed_id").alias("members"))
+    large = sizes.where(F.col("members") > GROUP).select("group")
     kind = candidates.schema["seed_id"].dataType.simpleString()
-    return rows.groupBy("group").applyInPandas(settle, f"seed_id {kind}, rank int, collided boolean")
+    out = rows.join(large, "group", "left_anti").groupBy("group").applyInPandas(lambda batch: _settle(batch, radius), f"seed_id {kind}, rank int, collided boolean")
+    crowded = rows.join(large, "group", "left_semi")
+    return out if crowded.isEmpty() else out.unionByName(in_rounds(crowded, radius))

@@ -67,32 +67,45 @@ def visit_id(activity: Column, site: Column, ts: Column) -> Column:
     return F.concat_ws("-", activity, site, iso(ts))
 
 
+def _in_slots(left: DataFrame, right: DataFrame, seconds: float) -> tuple[DataFrame, DataFrame, Column]:
+    """Both sides with a slot of time, as l and r, and the condition that two rows are no more than ``seconds`` apart.
+
+    A row of the right side stands in its slot and in the two beside it, so a busy key is cut along time.
+    """
+    limit = max(1, int(seconds * 1e6))
+    slot = F.floor(micros("ts") / limit)
+    a, b = left.withColumn("_slot", slot).alias("l"), right.withColumn("_slot", F.explode(F.array(slot - 1, slot, slot + 1))).alias("r")
+    return a, b, (F.col("l._slot") == F.col("r._slot")) & (F.abs(micros("l.ts") - micros("r.ts")) <= int(seconds * 1e6))
+
+
 def duplicate_pairs(visits: DataFrame, seconds: float = 300) -> DataFrame:
     """Pairs (id1 < id2) of one activity and site no more than ``seconds`` apart."""
-    a, b = visits.alias("l"), visits.alias("r")
-    near = F.abs(micros("l.ts") - micros("r.ts")) <= int(seconds * 1e6)
-    joined = a.join(b, (F.col("l.activity_id") == F.col("r.activity_id")) & (F.col("l.site_id") == F.col("r.site_id")) & (F.col("l.visit_id") < F.col("r.visit_id")) & near)
+    rows = visits.select("visit_id", "activity_id", "site_id", "ts")
+    a, b, near = _in_slots(rows, rows, seconds)
+    joined = a.join(b, _on(["activity_id", "site_id"]) & near & (F.col("l.visit_id") < F.col("r.visit_id")))
     return joined.select(F.col("l.visit_id").alias("id1"), F.col("r.visit_id").alias("id2"), F.col("l.activity_id").alias("activity_id"), F.col("l.site_id").alias("site_id"))
 
 
 def windows_from_first(visits: DataFrame, keys: list[str], seconds: float = 300) -> DataFrame:
     """visits with ``window``: a new window starts at the first row more than ``seconds`` behind its window's start.
 
-    The start of a window depends on the one before, so each key's times are folded in order. The rows of a
-    key are the visits of one activity to one site; they are few.
+    The start of a window depends on the one before, but a row more than ``seconds`` behind the row before it starts
+    one in any case. So only the distinct times of such a run are folded, and the fold keeps the windows' starts alone.
     """
     limit = int(seconds * 1e6)
-    row = F.struct(micros("ts").alias("us"), F.col("visit_id").alias("id"))
-    sorted_ = F.array_sort(F.collect_list(row))
-    start = F.struct(F.lit(None).cast("long").alias("from"), F.lit(0).alias("n"), F.array().cast("array<struct<id:string,window:int>>").alias("out"))
+    in_time = Window.partitionBy(*keys).orderBy("_us")
+    rows = visits.withColumn("_us", micros("ts"))
+    gap = F.coalesce((F.col("_us") - F.lag("_us").over(in_time) > limit).cast("int"), F.lit(0))
+    rows = rows.withColumn("_gap", gap).withColumn("_run", F.sum("_gap").over(in_time.rowsBetween(Window.unboundedPreceding, 0)))
 
-    def step(a: Column, x: Column) -> Column:
-        new = a["from"].isNull() | (x["us"] - a["from"] > limit)
-        n = a["n"] + new.cast("int")
-        return F.struct(F.when(new, x["us"]).otherwise(a["from"]).alias("from"), n.alias("n"), F.concat(a["out"], F.array(F.struct(x["id"].cast("string").alias("id"), n.alias("window")))).alias("out"))
+    def step(starts: Column, us: Column) -> Column:
+        return F.when((F.size(starts) == 0) | (us - F.element_at(starts, -1) > limit), F.concat(starts, F.array(us))).otherwise(starts)
 
-    numbered = visits.groupBy(*keys).agg(F.aggregate(sorted_, start, step, lambda a: a["out"]).alias("_w")).select(F.inline("_w")).withColumnRenamed("id", "_id")
-    return visits.join(numbered, F.col("visit_id").cast("string") == F.col("_id")).drop("_id")
+    folded = F.aggregate(F.array_sort(F.collect_set("_us")), F.array().cast("array<bigint>"), step)
+    runs = rows.groupBy(*keys, "_run").agg(folded.alias("_starts"))
+    out = rows.join(runs, [*keys, "_run"]).withColumn("_start", F.array_max(F.filter("_starts", lambda s: s <= F.col("_us"))))
+    numbered = out.withColumn("window", F.dense_rank().over(Window.partitionBy(*keys).orderBy("_start")))
+    return numbered.select(*visits.columns, "window")
 
 
 def keep_best(visits: DataFrame, keys: list[str], preferences: list[Column], seconds: float = 300) -> DataFrame:
@@ -104,8 +117,15 @@ def keep_best(visits: DataFrame, keys: list[str], preferences: list[Column], sec
 
 def not_seen(new: DataFrame, known: DataFrame, keys: list[str], seconds: float = 300) -> DataFrame:
     """Rows of ``new`` without a known row of the same keys within ``seconds``; rows of ``new`` don't suppress each other."""
-    near = F.abs(micros("l.ts") - micros("r.ts")) <= int(seconds * 1e6)
-    return new.alias("l").join(known.select(*keys, "ts").alias("r"), _on(keys) & near, "left_anti")
+    a, b, near = _in_slots(new, known.select(*keys, "ts"), seconds)
+    return a.join(b, _on(keys) & near, "left_anti").select(*new.columns)
+
+
+def not_elsewhere(new: DataFrame, known: DataFrame, seconds: float = 300) -> DataFrame:
+    """Rows of ``new`` whose user has no visit of the site in another activity, or in none, within ``seconds``."""
+    other = F.col("r.activity_id").isNull() | (F.col("r.activity_id") != F.col("l.activity_id"))
+    a, b, near = _in_slots(new, known.select("user_id", "activity_id", "site_id", "ts"), seconds)
+    return a.join(b, _on(["user_id", "site_id"]) & near & other, "left_anti").select(*new.columns)
 
 
 def save_visits(ledger: DataFrame, new: DataFrame, manual: DataFrame, seconds: float = 300) -> DataFrame:
@@ -116,10 +136,7 @@ def save_visits(ledger: DataFrame, new: DataFrame, manual: DataFrame, seconds: f
     """
     columns = ["user_id", "activity_id", "site_id", "ts"]
     known = ledger.select(*columns).unionByName(manual.select(*columns))
-    near = F.abs(micros("l.ts") - micros("r.ts")) <= int(seconds * 1e6)
-    other = F.col("r.activity_id").isNull() | (F.col("r.activity_id") != F.col("l.activity_id"))
-    fresh = new.alias("l").join(known.alias("r"), _on(["user_id", "site_id"]) & near & other, "left_anti")
-    fresh = fresh.withColumn("visit_id", visit_id(F.col("activity_id").cast("string"), F.col("site_id").cast("string"), F.col("ts"))).dropDuplicates(["visit_id"])
+    fresh = not_elsewhere(new, known, seconds).withColumn("visit_id", visit_id(F.col("activity_id").cast("string"), F.col("site_id").cast("string"), F.col("ts"))).dropDuplicates(["visit_id"])
     return upsert(ledger, fresh, ["visit_id"], ["confidence", "needs_confirmation"])
 
 

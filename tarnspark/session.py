@@ -18,10 +18,13 @@ def session(name: str = "tarnspark", master: str | None = None, **conf: str) ->
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's shared folder, spark.checkpoint.dir; only a session without one (tests) gets its own."""
+    """The cluster's shared folder, spark.checkpoint.dir; only a local session without one (tests) gets its own."""
     context = spark.sparkContext
     if not context._jsc.sc().getCheckpointDir().isDefined():
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tarn-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir isn't set; executors need a folder that they share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="tarn-"))
     return context._jsc.sc().getCheckpointDir().get()
 
 
