@@ -77,3 +77,9 @@ def summary(stats: DataFrame, sites: DataFrame) -> DataFrame:
     line = F.concat(F.col("name"), F.lit(" ("), thousands(feet(F.col("elevation"))), F.lit(" ft): "), F.when(F.col("prior") == 0, F.lit("first visit")).otherwise(F.concat(F.col("lifetime").cast("string"), F.lit(" "), plural(F.col("lifetime"), "visit", "visits"))))
     rows = stats.join(sites.select("site_id", "name", "elevation"), "site_id").withColumn("_line", line)
     return rows.groupBy("user_id", "current_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("site_id", "_line"))), lambda x: x["_line"]), "\n").alias("summary"))
+
+
+def first_seen_counts(rows: DataFrame, key: str, order: str) -> DataFrame:
+    """Rows of each key, with ``place``, the key's place in the order in which keys were first seen."""
+    counts = rows.groupBy(key).agg(F.count("*").alias("n"), F.min(order).alias("_first"))
+    return counts.withColumn("place", F.row_number().over(Window.orderBy("_first", key)).cast("long")).drop("_first")

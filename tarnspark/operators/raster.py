@@ -7,12 +7,16 @@ rows and columns where the operator is separable, else by an equi-join on the sh
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.geo import LNG_DEGREE_M, raster_window
+from ..functions.scores import zone_type
+
 DIRECTIONS = ((-1, -1), (-1, 0), (-1, 1), (0, -1), (0, 1), (1, -1), (1, 0), (1, 1))
 CELL = ["tile_id", "row", "col"]
 
@@ -66,12 +70,12 @@ def laplacian(cells: DataFrame, cell_m: float = 1.0) -> DataFrame:
     return cells.withColumn("curvature", -(around - 4 * F.col("elev")) / (cell_m * cell_m)).where(F.col("curvature").isNotNull())
 
 
-def shifted(cells: DataFrame, steps: int) -> DataFrame:
-    """cells x the values of the eight cells ``steps`` away, as ``other``; those outside the tile are absent."""
+def shifted(cells: DataFrame, steps: int, among: DataFrame | None = None) -> DataFrame:
+    """cells x the values of the eight cells ``steps`` away (of ``among``, if given), as ``other``; those outside the tile are absent."""
     moves = F.array(*[F.struct(F.lit(r * steps).alias("r"), F.lit(c * steps).alias("c"), F.lit(i).alias("d")) for i, (r, c) in enumerate(DIRECTIONS)])
     a = cells.select("tile_id", F.col("row").alias("from_row"), F.col("col").alias("from_col"), F.col("elev").alias("from_elev"), F.explode(moves).alias("_m"))
     a = a.select("tile_id", "from_row", "from_col", "from_elev", F.col("_m.d").alias("direction"), (F.col("from_row") + F.col("_m.r")).alias("row"), (F.col("from_col") + F.col("_m.c")).alias("col"))
-    return a.join(cells.where(F.col("elev").isNotNull()).select(*CELL, F.col("elev").alias("other")), CELL).select("tile_id", F.col("from_row").alias("row"), F.col("from_col").alias("col"), F.col("from_elev").alias("elev"), "direction", "other")
+    return a.join((cells if among is None else among).where(F.col("elev").isNotNull()).select(*CELL, F.col("elev").alias("other")), CELL).select("tile_id", F.col("from_row").alias("row"), F.col("from_col").alias("col"), F.col("from_elev").alias("elev"), "direction", "other")
 
 
 def radial_dominance(cells: DataFrame, steps: int = 10) -> DataFrame:
@@ -96,7 +100,7 @@ def neighbourhood_dominance(cells: DataFrame, radius: int = 15) -> DataFrame:
 def dominance(cells: DataFrame, steps: int = 10, radius: int = 15) -> DataFrame:
     """tile_id, row, col, radial, neighbourhood, confidence."""
     both = radial_dominance(cells, steps).join(neighbourhood_dominance(cells, radius), CELL)
-    return both.withColumn("confidence", 0.6 * F.col("radial") + 0.4 * F.col("neighbourhood"))
+    return both.withColumn("confidence", F.bround(0.6 * F.col("radial") + 0.4 * F.col("neighbourhood"), 3))
 
 
 def gradients(cells: DataFrame, steps: int, cell_m: float = 1.0) -> DataFrame:
@@ -116,6 +120,77 @@ def terrain_features(cells: DataFrame, seeds: DataFrame, steps: int = 2, cell_m:
     return seeds.join(ranked, CELL).join(g, CELL, "left").join(curved, CELL, "left")
 
 
+#: The directions' names, in their order.
+NAMES = ("NW", "N", "NE", "W", "E", "SW", "S", "SE")
+FEATURES = ["elev_rank", *(f"gradient_{n}" for n in ("N", "S", "E", "W", "NE", "SE", "SW", "NW")), "min_gradient", "mean_gradient", "grad_variance", "local_relief", "pct_lower", "curvature", "dist_to_seed"]
+
+
+def site_features(cells: DataFrame, points: DataFrame, steps: int = 2, cell_m: float = 1.0) -> DataFrame:
+    """points (tile_id, row, col, dist_to_seed) with ``elevation`` and the sixteen FEATURES.
+
+    A gradient is the drop in metres to the cell ``steps`` away, 0 if there is none; so is a curvature at the edge.
+    """
+    at = points.select(*CELL, "dist_to_seed").distinct()
+    drop = shifted(cells.join(at, CELL, "left_semi"), steps, cells).withColumn("drop", F.col("elev") - F.col("other"))
+    drops = drop.groupBy(*CELL).agg(*[F.max(F.when(F.col("direction") == i, F.col("drop"))).alias(f"gradient_{n}") for i, n in enumerate(NAMES)])
+    tile = Window.partitionBy("tile_id")
+    n = F.count("elev").over(tile)
+    valid = cells.where(F.col("elev").isNotNull())
+    ranked = valid.select(*CELL, F.col("elev").alias("elevation"), F.cume_dist().over(tile.orderBy("elev")).alias("elev_rank"), ((F.rank().over(tile.orderBy("elev")) - 1) / n).alias("pct_lower"), (F.max("elev").over(tile) - F.min("elev").over(tile)).alias("local_relief"))
+    out = at.join(ranked, CELL).join(drops, CELL, "left").join(laplacian(cells, cell_m).select(*CELL, "curvature"), CELL, "left")
+    all_ = [F.coalesce(F.col(f"gradient_{n}"), F.lit(0.0)) for n in NAMES]
+    out = out.withColumns({f"gradient_{n}": c for n, c in zip(NAMES, all_, strict=True)}).withColumn("curvature", F.coalesce("curvature", F.lit(0.0)))
+    eight = [F.col(f"gradient_{n}") for n in NAMES]
+    mean = reduce(lambda a, b: a + b, eight) / 8
+    out = out.withColumn("min_gradient", F.least(*eight)).withColumn("mean_gradient", mean)
+    return out.withColumn("grad_variance", reduce(lambda a, b: a + b, [(g - F.col("mean_gradient")) * (g - F.col("mean_gradient")) for g in eight]) / 8).select(*CELL, "elevation", *FEATURES)
+
+
+def sobel(cells: DataFrame) -> DataFrame:
+    """Inner cells with ``grad_x`` and ``grad_y``, the Sobel sums over the eight neighbours, and ``asymmetry`` (1 on a ridge, 0 on a cone)."""
+    around = shifted(cells, 1).groupBy(*CELL).agg(F.max("elev").alias("elev"), F.count("*").alias("_around"), *[F.max(F.when(F.col("direction") == i, F.col("other"))).alias(f"_{n}") for i, n in enumerate(NAMES)])
+    v = lambda n: F.col(f"_{n}")
+    x = (v("NE") + 2 * v("E") + v("SE")) - (v("NW") + 2 * v("W") + v("SW"))
+    y = (v("SW") + 2 * v("S") + v("SE")) - (v("NW") + 2 * v("N") + v("NE"))
+    rows = around.where(F.col("_around") == 8).select(*CELL, "elev", x.alias("grad_x"), y.alias("grad_y"))
+    return rows.withColumn("asymmetry", F.abs(F.abs("grad_x") - F.abs("grad_y")) / (F.sqrt(F.col("grad_x") * F.col("grad_x") + F.col("grad_y") * F.col("grad_y")) + 1e-6))
+
+
+def ridge_points(cells: DataFrame, seeds: DataFrame, n: int = 2, below: float = 30.0, least: float = 0.5, apart: float = 20.0, cell_m: float = 1.0) -> DataFrame:
+    """The n most ridge-like cells (tile_id, row, col, asymmetry) of each tile, near its top in height and ``apart`` metres from its seed (tile_id, seed_row, seed_col)."""
+    tile = Window.partitionBy("tile_id")
+    span = cells.select(*CELL, F.max("elev").over(tile).alias("_top"), F.min("row").over(tile).alias("_r0"), F.max("row").over(tile).alias("_r1"), F.min("col").over(tile).alias("_c0"), F.max("col").over(tile).alias("_c1"))
+    inner = F.col("row").between(F.col("_r0") + 2, F.col("_r1") - 2) & F.col("col").between(F.col("_c0") + 2, F.col("_c1") - 2)
+    rows = sobel(cells).join(span.where(inner), CELL).join(seeds, "tile_id").where((F.col("elev") >= F.col("_top") - below) & (F.col("asymmetry") >= least))
+    away = cell_m * F.sqrt(F.pow(F.col("row") - F.col("seed_row"), 2) + F.pow(F.col("col") - F.col("seed_col"), 2))
+    ranked = rows.where(away >= apart).withColumn("_n", F.row_number().over(tile.orderBy(F.desc("asymmetry"), "row", "col")))
+    return ranked.where(F.col("_n") <= n).select(*CELL, "asymmetry")
+
+
+def secondary_peaks(cells: DataFrame, n: int = 2, size: int = 5, least: float = 5.0, most: float = 50.0) -> DataFrame:
+    """The first n local maxima (by row and column) of each tile that lie ``least`` to ``most`` metres below its top."""
+    tile = Window.partitionBy("tile_id")
+    tops = focal_max(cells, size).withColumn("_below", F.max("elev").over(tile) - F.col("elev")).where(F.col("is_max") & F.col("_below").between(least, most))
+    return tops.withColumn("_n", F.row_number().over(tile.orderBy("row", "col"))).where(F.col("_n") <= n).select(*CELL, "elev")
+
+
+def highest_apart(cells: DataFrame, k: int = 15, least: float = 5.0) -> DataFrame:
+    """tile_id, row, col, rank: the k highest cells of each tile that lie ``least`` cells apart. One tile is one small group."""
+    kind = cells.schema["tile_id"].dataType.simpleString()
+
+    def choose(batch: pd.DataFrame) -> pd.DataFrame:
+        return separated(batch.sort_values(["elev", "row", "col"], ascending=[False, True, True]), k, least)[["tile_id", "row", "col", "rank"]]
+
+    return cells.where(F.col("elev").isNotNull()).select(*CELL, F.col("elev").cast("double").alias("elev")).groupBy("tile_id").applyInPandas(choose, f"tile_id {kind}, row int, col int, rank int")
+
+
+def window_of(cells: DataFrame, seeds: DataFrame, metres: float) -> DataFrame:
+    """Cells (lat, lng) of the windows around seeds (tile_id, seed_lat, seed_lng), as far as the raster reaches."""
+    half_lat, half_lng = raster_window(metres, F.col("seed_lat"))
+    rows = cells.join(seeds, "tile_id").where((F.abs(F.col("lat") - F.col("seed_lat")) <= half_lat) & (F.abs(F.col("lng") - F.col("seed_lng")) <= half_lng))
+    return rows.select(*cells.columns)
+
+
 def separated(rows: pd.DataFrame, k: int, least: float) -> pd.DataFrame:
     """The first k rows that lie ``least`` or more from every one before them, in the given order."""
     xy, kept = rows[["row", "col"]].to_numpy(float), []
@@ -165,3 +240,59 @@ def zone(cells: DataFrame, threshold: float) -> DataFrame:
 
     kind = cells.schema["tile_id"].dataType.simpleString()
     return cells.where(F.col("elev").isNotNull()).groupBy("tile_id").applyInPandas(flood, f"tile_id {kind}, row int, col int")
+
+
+def _outline(cells: set[tuple[int, int]]) -> list[list[tuple[int, int]]]:
+    """Closed rings of corners (row, col) around cells: sides that only one cell has, walked with the cells on the right."""
+    sides: dict[tuple[int, int], list[tuple[int, int]]] = {}
+    for r, c in sorted(cells):
+        for other, a, b in (((r - 1, c), (r, c), (r, c + 1)), ((r, c + 1), (r, c + 1), (r + 1, c + 1)), ((r + 1, c), (r + 1, c + 1), (r + 1, c)), ((r, c - 1), (r + 1, c), (r, c))):
+            if other not in cells:
+                sides.setdefault(a, []).append(b)
+    rings = []
+    while sides:
+        ring = [min(sides)]
+        while True:
+            ends = sides[ring[-1]]
+            # where two rings touch in a corner, the turn to the right stays on the own cell
+            before = (ring[-1][0] - ring[-2][0], ring[-1][1] - ring[-2][1]) if len(ring) > 1 else (0, 0)
+            ends.sort(key=lambda e: (e[0] - ring[-1][0], e[1] - ring[-1][1]) != (before[1], -before[0]))
+            after = ends.pop(0)
+            if not ends:
+                del sides[ring[-1]]
+            ring.append(after)
+            if after == ring[0]:
+                break
+        corners = [p for i, p in enumerate(ring[:-1]) if (ring[i - 1 if i else -2][0] == p[0]) != (p[0] == ring[i + 1][0])]
+        rings.append([*corners, corners[0]])
+    return rings
+
+
+def zone_polygons(zones: DataFrame, origin: DataFrame) -> DataFrame:
+    """tile_id, rings, area_sq_m, centroid_lat, centroid_lng, vertices of each tile's zone (rows of ``zone``).
+
+    origin: tile_id, lat, lng of the first cell's corner, and the cell's size in degrees as step. A zone is one small group.
+    """
+    kind = zones.schema["tile_id"].dataType.simpleString()
+
+    def trace(batch: pd.DataFrame) -> pd.DataFrame:
+        rings = _outline(set(zip(batch["row"].astype(int), batch["col"].astype(int), strict=True)))
+        return pd.DataFrame({"tile_id": [batch["tile_id"].iloc[0]], "corners": [[[{"r": float(r), "c": float(c)} for r, c in ring] for ring in rings]], "cells": [len(batch)], "mid_r": [batch["row"].mean() + 0.5], "mid_c": [batch["col"].mean() + 0.5]})
+
+    traced = zones.groupBy("tile_id").applyInPandas(trace, f"tile_id {kind}, corners array<array<struct<r:double,c:double>>>, cells long, mid_r double, mid_c double")
+    out = traced.join(origin, "tile_id")
+    lat, lng = lambda r: F.col("lat") - r * F.col("step"), lambda c: F.col("lng") + c * F.col("step")
+    rings = F.transform("corners", lambda ring: F.transform(ring, lambda p: F.struct(lng(p["c"]).alias("lng"), lat(p["r"]).alias("lat"))))
+    area = F.col("cells") * F.col("step") * F.col("step") * LNG_DEGREE_M * LNG_DEGREE_M * F.cos(F.radians(lat(F.col("mid_r"))))
+    return out.select("tile_id", rings.alias("rings"), area.alias("area_sq_m"), lat(F.col("mid_r")).alias("centroid_lat"), lng(F.col("mid_c")).alias("centroid_lng"), F.size(F.flatten("corners")).cast("long").alias("vertices"))
+
+
+def summit_zones(primary: DataFrame, fallback: DataFrame, origin: DataFrame, threshold: float = 5.0) -> DataFrame:
+    """Zones of all tiles, from the fallback raster where the primary has no cell, with their class and where they are from."""
+    cells = primary.where(F.col("elev").isNotNull())
+    missing = fallback.join(cells.select("tile_id").distinct(), "tile_id", "left_anti").where(F.col("elev").isNotNull())
+    both = cells.select(*CELL, "elev").unionByName(missing.select(*CELL, "elev"))
+    from_ = cells.select("tile_id", F.lit("primary").alias("origin")).distinct().unionByName(missing.select("tile_id", F.lit("fallback").alias("origin")).distinct())
+    tops = both.groupBy("tile_id").agg(F.max("elev").alias("max_elevation"))
+    out = zone_polygons(zone(both, threshold), origin).join(tops, "tile_id").join(from_, "tile_id")
+    return out.withColumn("kind", zone_type(F.col("area_sq_m"))).withColumn("threshold", F.lit(threshold))
