@@ -23,17 +23,19 @@ SUPPLIERS = """suppliers AS (SELECT CAST(s_suppkey AS VARCHAR) AS site_id, s_nam
 
 
 def sites(spark: SparkSession, d: str) -> DataFrame:
-    return suppliers(spark, d).where(F.col("key") < 10)
+    return suppliers(spark, d)
 
 
-SITES = SUPPLIERS + ", sites AS (SELECT * FROM suppliers WHERE key < 10)"
+SITES = SUPPLIERS + ", sites AS (SELECT * FROM suppliers)"
 
 
 def points(spark: SparkSession, d: str) -> DataFrame:
+    """A point for each event, near one of the sites; which one depends on the user and the day."""
     e, u = F.col("event_id"), F.col("user_id")
-    anchor = (u * 7 + F.floor(F.dayofmonth("ts") / 3)) % 10
+    n = table(spark, d, "supplier", ["s_suppkey"]).count()
+    anchor = (u * 7 + F.floor(F.dayofmonth("ts") / 3)) % n
     rows = table(spark, d, "events", ["event_id", "user_id", "ts", "event_type", "value"]).withColumn("key", anchor)
-    rows = rows.join(F.broadcast(sites(spark, d).select("key", F.col("lat").alias("_lat"), F.col("lng").alias("_lng"), "elevation")), "key")
+    rows = rows.join(sites(spark, d).select("key", F.col("lat").alias("_lat"), F.col("lng").alias("_lng"), "elevation"), "key")
     idx = F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")) - 1
     lat = F.col("_lat") + ((e * 31) % 21 - 10) / 20000.0 + F.when(F.col("event_type") == "error", 0.05).otherwise(0.0)
     alt = F.when(u % 4 != 0, F.coalesce("elevation", F.lit(1500.0)) + F.col("value") / 10.0)
@@ -45,7 +47,7 @@ POINTS = (
     + """, points AS (SELECT CAST(user_id AS VARCHAR) AS track_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS INTEGER) AS idx,
   epoch_us(ts)/1e6 AS t, s.lat + ((event_id*31)%21-10)/20000e0 + CASE WHEN event_type='error' THEN 0.05e0 ELSE 0e0 END AS lat,
   s.lng + ((event_id*17)%21-10)/20000e0 AS lng, CASE WHEN user_id%4<>0 THEN coalesce(s.elevation, 1500e0) + value/10e0 END AS alt
-  FROM events JOIN sites s ON s.key = (user_id*7 + day(ts)//3) % 10)"""
+  FROM events JOIN sites s ON s.key = (user_id*7 + day(ts)//3) % (SELECT count(*) FROM supplier))"""
 )
 
 

@@ -160,13 +160,14 @@ _NAMES = "SELECT {k} AS id, list_sort(list_distinct(list_filter(string_split_reg
 _SIMILAR = "CASE WHEN len(a.w)=0 OR len(b.w)=0 THEN 0e0 WHEN a.w=b.w THEN 1e0 WHEN contains(array_to_string(a.w,' '),array_to_string(b.w,' ')) OR contains(array_to_string(b.w,' '),array_to_string(a.w,' ')) THEN greatest(len(list_intersect(a.w,b.w))*1e0/len(list_distinct(list_concat(a.w,b.w))), 0.8e0) ELSE len(list_intersect(a.w,b.w))*1e0/len(list_distinct(list_concat(a.w,b.w))) END"
 
 
-@query("WITH a AS (" + _NAMES.format(k="p_partkey", n="p_name || CASE WHEN p_partkey%3=0 THEN ' Mtn.' ELSE ' Peak' END", t="part WHERE p_partkey<60") + "), b AS (" + _NAMES.format(k="p_partkey", n="CASE WHEN p_partkey%2=0 THEN 'Mount ' ELSE 'Pk. ' END || p_name", t="part WHERE p_partkey<60") + f") SELECT a.id AS left_id, b.id AS right_id, round({_SIMILAR},6) AS similarity FROM a JOIN b ON a.id%10=b.id%10")
+@query("WITH a AS (SELECT DISTINCT w FROM (" + _NAMES.format(k="p_partkey", n="p_name || CASE WHEN p_partkey%3=0 THEN ' Mtn.' ELSE ' Peak' END", t="part") + ")), b AS (SELECT DISTINCT w FROM (" + _NAMES.format(k="p_partkey", n="CASE WHEN p_partkey%2=0 THEN 'Mount ' ELSE 'Pk. ' END || p_name", t="part") + f")) SELECT array_to_string(a.w,' ') AS left_words, array_to_string(b.w,' ') AS right_words, round({_SIMILAR},6) AS similarity FROM a JOIN b ON list_has_any(a.w, b.w)")
 def name_similarity_pairs(spark, d):
-    p = table(spark, d, "part", ["p_partkey", "p_name"]).where("p_partkey < 60")
-    k = F.col("p_partkey")
-    a = p.select(k.alias("left_id"), text.name_words(F.concat("p_name", F.when(k % 3 == 0, " Mtn.").otherwise(" Peak"))).alias("_a"), (k % 10).alias("m"))
-    b = p.select(k.alias("right_id"), text.name_words(F.concat(F.when(k % 2 == 0, "Mount ").otherwise("Pk. "), "p_name")).alias("_b"), (k % 10).alias("m"))
-    return a.join(b, "m").select("left_id", "right_id", F.round(text.word_similarity(F.col("_a"), F.col("_b")), 6).alias("similarity"))
+    """All names of two lists that share a word; equal word lists are one."""
+    p, k = table(spark, d, "part", ["p_partkey", "p_name"]), F.col("p_partkey")
+    a = p.select(text.name_words(F.concat("p_name", F.when(k % 3 == 0, " Mtn.").otherwise(" Peak"))).alias("_a")).distinct()
+    b = p.select(text.name_words(F.concat(F.when(k % 2 == 0, "Mount ").otherwise("Pk. "), "p_name")).alias("_b")).distinct()
+    met = a.withColumn("w", F.explode("_a")).join(b.withColumn("w", F.explode("_b")), "w").select("_a", "_b").distinct()
+    return met.select(F.array_join("_a", " ").alias("left_words"), F.array_join("_b", " ").alias("right_words"), F.round(text.word_similarity(F.col("_a"), F.col("_b")), 6).alias("similarity"))
 
 
 def _external(spark, d):
@@ -178,7 +179,7 @@ def _external(spark, d):
 _EDGES = (
     "WITH "
     + lens.SUPPLIERS
-    + """, ext AS (SELECT c_custkey AS ext_id, 'Supplier ' || lpad(CAST(c_custkey%100 AS VARCHAR),9,'0') AS name, 37e0+((c_custkey*37)%400)/100e0+(c_custkey%7)/2000e0 AS lat, -109e0+((c_custkey*53)%700)/100e0+(c_custkey%5)/2000e0 AS lng, 1500e0+c_acctbal/10e0 AS elevation FROM customer WHERE c_custkey<500),
+    + """, ext AS (SELECT c_custkey AS ext_id, 'Supplier ' || lpad(CAST(c_custkey%100 AS VARCHAR),9,'0') AS name, 37e0+((c_custkey*37)%400)/100e0+(c_custkey%7)/2000e0 AS lat, -109e0+((c_custkey*53)%700)/100e0+(c_custkey%5)/2000e0 AS lng, 1500e0+c_acctbal/10e0 AS elevation FROM customer),
 a AS ("""
     + _NAMES.format(k="ext_id", n="name", t="ext")
     + "), b AS ("
@@ -194,7 +195,7 @@ a AS ("""
 
 @query(_EDGES.format(radius="500e0", most=10) + ", best AS (SELECT *, row_number() OVER (PARTITION BY ext_id ORDER BY score DESC, distance_m, site_id) AS n FROM scored WHERE score>0) SELECT e.ext_id, b.site_id, round(b.distance_m,3) AS distance_m, round(b.sim,6) AS name_similarity, round(b.score,6) AS score, CASE WHEN b.site_id IS NULL THEN 'none' WHEN b.distance_m<100 AND b.sim>0.7 THEN 'high' WHEN b.distance_m<300 AND b.sim>0.4 THEN 'medium' WHEN b.distance_m<100 THEN 'medium' ELSE 'low' END AS confidence FROM ext e LEFT JOIN best b ON b.ext_id=e.ext_id AND b.n=1")
 def match_best_candidate(spark, d):
-    out = matching.best_match(_external(spark, d).where("ext_id < 500"), lens.suppliers(spark, d))
+    out = matching.best_match(_external(spark, d), lens.suppliers(spark, d))
     return out.select("ext_id", "site_id", _r("distance_m", 3), _r("name_similarity"), _r("score"), "confidence")
 
 
@@ -293,8 +294,7 @@ def additive_reprocess(spark, d):
 def save_visits_antijoin(spark, d):
     v = lens.visits(spark, d).withColumn("user_id", F.col("activity_id") % 10)
     new, known = v.where("visit_id % 2 = 1"), v.where("visit_id % 2 = 0")
-    near = (F.abs(times.micros("l.ts") - times.micros("r.ts")) <= 2000000) & (F.col("l.user_id") == F.col("r.user_id")) & (F.col("l.site_id") == F.col("r.site_id")) & (F.col("l.activity_id") != F.col("r.activity_id"))
-    left = new.alias("l").join(known.alias("r"), near, "left_anti")
+    left = ledger.not_elsewhere(new, known, 2)
     return left.select(ledger.visit_id(F.col("activity_id").cast("string"), F.col("site_id").cast("string"), F.col("ts")).alias("id"), "user_id")
 
 
@@ -522,10 +522,13 @@ def dms_parse(spark, d):
     return rows.select("s_suppkey", F.round(lat, 9).alias("lat"), F.round(lng, 9).alias("lng"))
 
 
-@query("SELECT page_id, regexp_extract(html, '<h1>([^<]*)</h1>', 1) <> '' AS has_h1, contains(html, '&amp;') AS has_entity, len(regexp_extract_all(html, '<a\\b[^>]*\\bhref\\s*=\\s*[\"'']([^\"'']+)[\"'']')) AS links, regexp_extract(url, '^([a-zA-Z][a-z0-9+.-]*://[^/?#]+)', 1) || '/next' AS next_url, contains(lower(html), 'cloudflare') AND contains(lower(html), 'attention required') AS blocked FROM pages")
+_DECODED = "replace(replace(replace(replace(replace(replace(replace(replace(replace(html,'&#39;',chr(39)),'&#039;',chr(39)),'&apos;',chr(39)),'&quot;','\"'),'&nbsp;',' '),'&lt;','<'),'&gt;','>'),'&deg;','°'),'&amp;','&')"
+
+
+@query(f"SELECT page_id, regexp_extract(html, '<h1>([^<]*)</h1>', 1) <> '' OR regexp_extract(html, '<title>([^<]*)</title>', 1) <> '' AS has_heading, md5({_DECODED}) AS decoded, len(regexp_extract_all(html, '<a\\b[^>]*\\bhref\\s*=\\s*[\"'']([^\"'']+)[\"'']')) AS links, regexp_extract(url, '^([a-zA-Z][a-z0-9+.-]*://[^/?#]+)', 1) || '/next' AS next_url, contains(lower(html), 'cloudflare') AND contains(lower(html), 'attention required') AS blocked FROM pages")
 def html_extract(spark, d):
     p = table(spark, d, "pages")
-    return p.select("page_id", (F.regexp_extract("html", "<h1>([^<]*)</h1>", 1) != "").alias("has_h1"), F.contains("html", F.lit("&amp;")).alias("has_entity"), F.size(text.links("html")).cast("long").alias("links"), text.absolute_url("url", F.lit("/next")).alias("next_url"), text.blocked_page("html").alias("blocked"))
+    return p.select("page_id", text.heading("html").isNotNull().alias("has_heading"), F.md5(text.unescape("html").cast("binary")).alias("decoded"), F.size(text.links("html")).cast("long").alias("links"), text.absolute_url("url", F.lit("/next")).alias("next_url"), text.blocked_page("html").alias("blocked"))
 
 
 @query("SELECT event_id, TRY_CAST(props::JSON->>'k' AS BIGINT) AS k, (props::JSON->>'missing') IS NOT NULL AS has_missing FROM events")
