@@ -6,6 +6,10 @@ its nearest axes and to those in which one axis is its second choice, so two vec
 buckets agree. Buckets are compared in blocks of bounded size by matrix products in double precision. A pair
 counts only in the first bucket that both share, so counts of links are exact sums; only counts and one edge
 for each vector leave a task, never the pairs. Equal vectors are one vector with a weight.
+
+The number of axes of a bucket follows the table's size, so buckets stay small; the number of tables follows from both the
+axes and the vectors' width: the driver hashes random pairs at the least cosine and takes as many tables as the
+share of them that meets in one table asks for, so that all but MISSED of such pairs meet.
 """
 
 from __future__ import annotations
@@ -20,7 +24,9 @@ from pyspark.sql import functions as F
 from .common import cut
 from .components import components
 
-TABLES, PROBES = 8, 3
+PROBES = 3
+#: Tables at least and at most; share of pairs at the least cosine that may be missed; random pairs to measure it on.
+LEAST_TABLES, MOST_TABLES, MISSED, TRIALS = 8, 96, 0.002, 400
 #: A bucket's blocks have so many vectors, on average.
 BLOCK = 1000
 #: Buckets up to this size are compared together; a task takes so many rows of small buckets.
@@ -38,14 +44,35 @@ def _hadamard(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def buckets(x: np.ndarray, axes: int, seed: int = 13) -> np.ndarray:
-    """Codes (vectors x TABLES x PROBES) of unit vectors; the first of a table is the nearest bucket."""
+def axes_for(n: int, width: int) -> int:
+    """Axes of a bucket for n vectors of a width, so that it holds BUCKET of them or so."""
+    padded = 1 << max(1, (max(width, 2) - 1).bit_length())
+    return max(1, round(math.log(max(n / BUCKET, 1)) / math.log(2 * padded)))
+
+
+def tables_for(width: int, axes: int, least: float) -> int:
+    """Tables in which all but MISSED of the pairs at cosine ``least`` share a bucket, by a trial on random pairs."""
+    if width < 2:
+        return LEAST_TABLES
+    rng = np.random.default_rng(17)
+    a, b = rng.normal(size=(2, TRIALS, width))
+    a /= np.linalg.norm(a, axis=1, keepdims=True)
+    b -= (a * b).sum(axis=1, keepdims=True) * a
+    b /= np.linalg.norm(b, axis=1, keepdims=True)
+    x, y = (buckets(v, axes, LEAST_TABLES) for v in (a, least * a + math.sqrt(1 - least * least) * b))
+    share = float((x[:, :, :, None] == y[:, :, None, :]).any(axis=(2, 3)).mean())
+    share = min(max(share, 1 / (TRIALS * LEAST_TABLES)), 1 - 1e-9)
+    return min(MOST_TABLES, max(LEAST_TABLES, math.ceil(math.log(MISSED) / math.log(1 - share))))
+
+
+def buckets(x: np.ndarray, axes: int, tables: int, seed: int = 13) -> np.ndarray:
+    """Codes (vectors x tables x PROBES) of unit vectors; the first of a table is the nearest bucket."""
     width = 1 << max(0, (x.shape[1] - 1).bit_length())
     padded = np.zeros((len(x), width))
     padded[:, : x.shape[1]] = x
     rng = np.random.default_rng(seed)
-    out = np.zeros((len(x), TABLES, PROBES), np.int64)
-    for table in range(TABLES):
+    out = np.zeros((len(x), tables, PROBES), np.int64)
+    for table in range(tables):
         best, second, loss = [], [], []
         for _ in range(axes):
             y = padded
@@ -106,13 +133,33 @@ def _close_in_buckets(x: np.ndarray, begins: np.ndarray, sizes: np.ndarray, leas
             yield b - back, b
 
 
-def _compare(batch: pd.DataFrame, least: float) -> pd.DataFrame:
+def _narrow(codes: np.ndarray) -> list[bytes]:
+    """Each vector's codes in the narrowest numbers that hold all of them."""
+    kind = next(t for t in (np.uint8, np.uint16, np.uint32, np.int64) if codes.max(initial=0) <= np.iinfo(t).max)
+    flat = np.ascontiguousarray(codes.reshape(len(codes), -1).astype(kind))
+    return [row.tobytes() for row in flat]
+
+
+def _wide(codes: list[bytes], tables: int) -> np.ndarray:
+    """All codes as numbers of one kind; vectors hashed in different batches may have come in different ones."""
+    kinds = {1: np.uint8, 2: np.uint16, 4: np.uint32, 8: np.int64}
+    return np.stack([np.frombuffer(b, kinds[len(b) // (tables * PROBES)]).astype(np.int64) for b in codes]).reshape(len(codes), tables, PROBES)
+
+
+def _units(vectors: list[bytes], kind) -> np.ndarray:
+    """Unit vectors in double precision."""
+    x = np.stack([np.frombuffer(b, kind) for b in vectors]).astype(np.float64)
+    x = np.ldexp(x, -np.frexp(np.abs(x).max(axis=1, keepdims=True))[1])  # squares of tiny or huge components stay finite
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
+def _compare(batch: pd.DataFrame, least: float, kind) -> pd.DataFrame:
     """Links in whole buckets, or between two blocks of one: id, links owned by the bucket, a linked label."""
     table = int(batch["table"].iloc[0])
     batch = batch.sort_values(["code", "id"])
     ids, code, weight = batch["id"].to_numpy(), batch["code"].to_numpy(), batch["weight"].to_numpy()
-    x = np.stack(batch["unit"].to_numpy())
-    codes = np.stack(batch["codes"].to_numpy()).reshape(len(ids), TABLES, PROBES)
+    x = _units(batch["vector"].tolist(), kind)
+    codes = _wide(batch["codes"].tolist(), int(batch["tables"].iloc[0]))
     low, high = int(batch["low"].iloc[0]), int(batch["high"].iloc[0])
     if low < 0:
         begins = np.flatnonzero(np.concatenate([[True], code[1:] != code[:-1]]))
@@ -153,23 +200,26 @@ def near_vectors(vectors: DataFrame, least: float = 0.9) -> DataFrame:
     good = rows.where(F.coalesce(sound, F.lit(False))).withColumn("v", F.transform("v", lambda x: x + F.lit(0.0)))
     classes = cut(good.groupBy("v").agg(F.min("vec_id").alias("id"), F.count("*").alias("weight")))
     n = classes.count()
-    dims = [r[0] for r in classes.select(F.size("v")).distinct().limit(1).collect()]
-    width = 1 << max(1, (max(dims, default=2) - 1).bit_length())
-    axes = max(1, round(math.log(max(n / BUCKET, 1)) / math.log(2 * width)))
+    # vectors are sent as they came; the comparison is in double precision
+    kind = np.float32 if vectors.schema["embedding"].dataType.elementType.simpleString() == "float" else np.float64
 
     def hashed(batches):
+        chosen: dict[int, tuple[int, int]] = {}
         for batch in batches:
             lengths = batch["v"].map(len)
-            for _, part in batch.groupby(lengths):
-                x = np.stack(part["v"].to_numpy()).astype(np.float64)
-                x = np.ldexp(x, -np.frexp(np.abs(x).max(axis=1, keepdims=True))[1])  # squares of tiny or huge components stay finite
-                x /= np.linalg.norm(x, axis=1, keepdims=True)
-                codes = buckets(x, axes)
-                yield pd.DataFrame({"id": part["id"].to_numpy(), "weight": part["weight"].to_numpy(), "length": x.shape[1], "unit": list(x), "codes": list(codes.reshape(len(x), -1))})
-
-    units = cut(classes.mapInPandas(hashed, "id long, weight long, length int, unit array<double>, codes array<long>"))
-    probes = F.transform("codes", lambda c, i: F.struct(F.floor(i / PROBES).cast("int").alias("table"), c.alias("code")))
-    where = units.select("id", "length", F.explode(F.array_distinct(probes)).alias("_p")).select("id", "length", "_p.table", "_p.code")
+            for width, part in batch.groupby(lengths):
+                if width not in chosen:
+                    axes = axes_for(n, int(width))
+                    chosen[width] = axes, tables_for(int(width), axes, least)
+                axes, tables = chosen[width]
+                sent = [v.astype(kind).tobytes() for v in part["v"]]
+                codes = buckets(_units(sent, kind), axes, tables)
+                yield pd.DataFrame({"id": part["id"].to_numpy(), "weight": part["weight"].to_numpy(), "length": width, "tables": tables, "vector": sent, "codes": _narrow(codes), "probes": list(codes.reshape(len(codes), -1))})
+
+    found = cut(classes.mapInPandas(hashed, "id long, weight long, length int, tables int, vector binary, codes binary, probes array<long>"))
+    probes = F.transform("probes", lambda c, i: F.struct(F.floor(i / PROBES).cast("int").alias("table"), c.alias("code")))
+    where = found.select("id", "length", F.explode(F.array_distinct(probes)).alias("_p")).select("id", "length", "_p.table", "_p.code")
+    units = found.drop("probes")
     sizes = where.groupBy("length", "table", "code").agg(F.count("*").alias("members")).where(F.col("members") > 1)
     placed = where.join(sizes, ["length", "table", "code"])
     blocks = F.ceil(F.col("members") / BLOCK).cast("int")
@@ -179,7 +229,7 @@ def near_vectors(vectors: DataFrame, least: float = 0.9) -> DataFrame:
     meets = F.transform(F.sequence(F.lit(0), blocks - 1), lambda k: F.struct(F.xxhash64("code").alias("deal"), F.least("block", k).alias("low"), F.greatest("block", k).alias("high")))
     whole = F.array(F.struct(F.pmod(F.xxhash64("code"), F.lit(deals)).alias("deal"), F.lit(-1).alias("low"), F.lit(-1).alias("high")))
     dealt = placed.select("id", "length", "table", "code", "block", F.explode(F.when(blocks == 1, whole).otherwise(meets)).alias("_m")).select("id", "length", "table", "code", "block", "_m.*")
-    compared = dealt.join(units.drop("length"), "id").groupBy("length", "table", "deal", "low", "high").applyInPandas(lambda batch: _compare(batch, least), "id long, links long, label long")
+    compared = dealt.join(units.drop("length"), "id").groupBy("length", "table", "deal", "low", "high").applyInPandas(lambda batch: _compare(batch, least, kind), "id long, links long, label long")
     found = cut(compared)
     links = found.groupBy("id").agg(F.sum("links").alias("links"))
     group = components(found.select(F.col("id").alias("a"), F.col("label").alias("b")))
