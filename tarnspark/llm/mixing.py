@@ -11,16 +11,20 @@ can be shuffled by itself. All random numbers are hashes, so reruns agree.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, fresh
 
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (3, 1, 2)
 SHARE, REPEAT = 1.5, 2
-#: 2**LEVELS output shards.
-LEVELS = 3
+#: 2**LEVELS output shards at least; more if the mix has more words than that many shards should hold.
+LEVELS, SHARD_WORDS = 3, 1 << 27
+#: Parts of a shard that are shuffled by themselves.
+PARTS = 64
 #: Documents of a block, on average, until there are MOST_BLOCKS of them in each source.
 BLOCK, MOST_BLOCKS = 1024, 1 << 16
 SEED = 20
@@ -30,7 +34,8 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float =
     """source, source_size -> source, source_size, nth, weight, target. One row for each source.
 
     Weights follow the sources in code point order, null last. Resharing the excess until no target is
-    above its cap comes to one level: every target is the lesser of its cap and weight x level.
+    above its cap comes to one level: every target is the lesser of its cap and weight x level. A source of
+    size 0 has target 0. Other columns are ignored; an empty table gives an empty result.
     """
     everything = Window.orderBy(F.asc_nulls_last("source"))
     rows = sizes.withColumn("nth", F.row_number().over(everything) - 1)
@@ -51,9 +56,15 @@ def _uniform(*parts: Column | int) -> Column:
 
 
 def split(quotas: DataFrame, levels: int = LEVELS, seed: int = SEED) -> DataFrame:
-    """nth, n (drawn blocks of a source) -> shard, nth, n, with each source's n divided among 2**levels shards."""
+    """nth, n (drawn blocks of a source) -> shard, nth, n, with each source's n divided among 2**levels shards.
+
+    A source has some thousand blocks whatever its size, so the root's draws are bounded; deeper nodes are drawn side by side.
+    A source without blocks gets none; an empty table gives an empty result. Other columns are ignored.
+    """
     nodes = quotas.agg(F.array_sort(F.collect_list(F.struct(F.col("nth").cast("long").alias("nth"), F.col("n").cast("long").alias("n")))).alias("counts")).select(F.lit(1).cast("long").alias("node"), "counts")
-    for _ in range(levels):
+    for level in range(levels):
+        if level and level % 3 == 0:
+            nodes = cut(nodes.repartition("node"))
         whole = F.aggregate("counts", F.lit(0).cast("long"), lambda a, c: a + c["n"])
         start = F.struct(whole.alias("all"), F.floor(whole / 2).alias("room"), F.array().cast("array<bigint>").alias("left"))
 
@@ -78,20 +89,23 @@ def split(quotas: DataFrame, levels: int = LEVELS, seed: int = SEED) -> DataFram
     return nodes.select((F.col("node") - (1 << levels)).cast("int").alias("shard"), F.inline("counts")).where(F.col("n") > 0)
 
 
-def mix(docs: DataFrame, levels: int = LEVELS, seed: int = SEED) -> DataFrame:
+def mix(docs: DataFrame, levels: int | None = None, seed: int = SEED) -> DataFrame:
     """doc_id, source, size, source_size, target, taken, shards of every document.
 
     ``taken`` counts the words that the mix takes of the document, repeats included: whole passes times
     its size, and of one document of each source a part. ``shards`` names the output shard of each draw, as
     many as it is drawn. A null text has size 0 and nothing is taken of it; a null source is a source of
-    its own; null doc_ids share a block; repeated rows count as documents; an empty table gives an empty
+    its own; rows without a doc_id fall into blocks by their text; repeated rows count as documents; an empty table gives an empty
     result. Other columns are ignored. Sources are taken to be few enough for one row to list them.
     """
     size = F.coalesce(F.size(F.regexp_extract_all("text", F.lit(WORD), F.lit(0))), F.lit(0))
     size = F.when(F.col("text").isNull(), 0).otherwise(size).cast("long")
-    rows = cut(docs.select("doc_id", "source", size.alias("size")))
-    blocks_each = max(1, min(MOST_BLOCKS, -(-rows.count() // BLOCK)))
-    rows = rows.withColumn("block", F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(blocks_each)))
+    place = F.when(F.col("doc_id").isNotNull(), F.xxhash64(F.lit(seed), "doc_id")).otherwise(F.xxhash64(F.lit(seed), "text"))
+    rows = cut(docs.select("doc_id", "source", size.alias("size"), place.alias("block")))
+    n, words = rows.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
+    blocks_each = max(1, min(MOST_BLOCKS, -(-n // BLOCK)))
+    levels = max(LEVELS, math.ceil(math.log2(max(1, SHARE * words / SHARD_WORDS)))) if levels is None else levels
+    rows = rows.withColumn("_own", F.col("block")).withColumn("block", F.pmod("block", F.lit(blocks_each)))
     blocks = cut(rows.groupBy("source", "block").agg(F.sum("size").alias("words")))
     sources = targets(blocks.groupBy("source").agg(F.sum("words").alias("source_size")))
     quota = F.round("target").cast("long")
@@ -111,7 +125,7 @@ def mix(docs: DataFrame, levels: int = LEVELS, seed: int = SEED) -> DataFrame:
     dealt = turns.join(slots, ["nth", "turn"]).groupBy("nth", "block").agg(F.transform(F.array_sort(F.collect_list(F.struct("epoch", "shard"))), lambda x: x["shard"]).alias("shards"))
     plan = drawn.join(dealt, ["nth", "block"], "left").select(F.col("source").alias("_source"), F.col("block").alias("_block"), "source_size", "target", "passes", "words", "extra", F.coalesce("shards", F.array().cast("array<int>")).alias("shards"))
 
-    inside = Window.partitionBy("source", "block").orderBy(F.xxhash64(F.lit(seed + 2), "doc_id"), "doc_id", "size")
+    inside = Window.partitionBy("source", "block").orderBy(F.xxhash64(F.lit(seed + 2), "_own"), "doc_id", "size")
     reached = F.coalesce(F.sum("size").over(inside.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     placed = rows.withColumn("_before", reached).join(plan, F.col("source").eqNullSafe(F.col("_source")) & (F.col("block") == F.col("_block")))
     last = F.greatest(F.lit(0), F.least("size", F.col("extra") - F.col("_before")))
@@ -120,17 +134,20 @@ def mix(docs: DataFrame, levels: int = LEVELS, seed: int = SEED) -> DataFrame:
     return placed.select("doc_id", "source", "size", "source_size", "target", "taken", F.slice("shards", F.lit(1), times.cast("int")).alias("shards"))
 
 
-def apply(docs: DataFrame, levels: int = LEVELS, seed: int = SEED) -> DataFrame:
-    """The documents of the mix, all their columns, each as often as it is drawn; shuffled within a shard.
+def apply(docs: DataFrame, levels: int | None = None, seed: int = SEED) -> DataFrame:
+    """The documents of the mix, all their columns, each as often as it is drawn; shuffled within parts of a shard.
 
-    A draw that takes less than half of a document's words is left out, any other takes all of it.
-    Rows without doc_id and repeated rows of a doc_id keep one draw each if nothing is known of them.
+    Only the last document that a source's quota reaches is drawn in part: a draw of less than half of its words is left out,
+    any other takes all of it, so a source's words are within one document of its target. Rows without doc_id stay once each,
+    and so do documents of no words, which add none; repeated rows of a doc_id are drawn like its largest one. Columns keep
+    their values; an empty table stays empty.
     """
-    plan = mix(docs, levels, seed).where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max(F.struct("size", "taken", "shards")).alias("_p"))
-    draws = F.when(F.col("_p.size") > 0, F.round(F.col("_p.taken") / F.col("_p.size"))).otherwise(F.lit(1)).cast("int")
-    plan = plan.select(F.col("doc_id").alias("_id"), draws.alias("_draws"), F.col("_p.shards").alias("_shards"))
-    found = docs.join(plan, docs["doc_id"] == F.col("_id"), "left").withColumn("_draws", F.coalesce("_draws", F.lit(1)))
-    turns = F.when(F.col("_draws") > 0, F.sequence(F.lit(1), F.col("_draws")))
-    rows = found.withColumn("_turn", F.explode(turns)).withColumn("_shard", F.coalesce(F.get("_shards", F.col("_turn") - 1), F.lit(0)))
-    rows = rows.withColumn("_at", F.xxhash64(F.lit(seed + 3), "doc_id", "_turn"))
-    return rows.repartition("_shard", F.pmod("_at", F.lit(64))).sortWithinPartitions("_shard", "_at").select(*docs.columns)
+    taken, key, draws, shards, turn, shard, at = fresh(docs, "taken", "key", "draws", "shards", "turn", "shard", "at")
+    plan = mix(docs, levels, seed).where(F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").alias(key)).agg(F.max(F.struct("size", "taken", "shards")).alias(taken))
+    times = F.when(F.col(f"{taken}.size") > 0, F.round(F.col(f"{taken}.taken") / F.col(f"{taken}.size"))).otherwise(F.lit(1)).cast("int")
+    plan = plan.select(key, times.alias(draws), F.col(f"{taken}.shards").alias(shards))
+    found = docs.join(plan, docs["doc_id"] == F.col(key), "left").withColumn(draws, F.coalesce(draws, F.lit(1)))
+    turns = F.when(F.col(draws) > 0, F.sequence(F.lit(1), F.col(draws)))
+    rows = found.withColumn(turn, F.explode(turns)).withColumn(shard, F.coalesce(F.get(shards, F.col(turn) - 1), F.lit(0)))
+    rows = rows.withColumn(at, F.xxhash64(F.lit(seed + 3), "doc_id", turn))
+    return rows.repartition(F.col(shard), F.pmod(at, F.lit(PARTS))).sortWithinPartitions(shard, at).select(*docs.columns)
