@@ -6,6 +6,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tarnspark.llm import embedding_dedup, line_dedup, near_dedup, substring_dedup
 from tarnspark.llm.components import components
@@ -84,7 +85,7 @@ def brute_lines(rows):
         gone = []
         for i, line in enumerate((text or "").split("\n") if text is not None else []):
             s = frozenset(line.encode().lower().split())
-            if len(s) < line_dedup.WORDS:
+            if not s:
                 continue
             common = Counter(j for w in s for j in index.get(w, ()))
             if any(5 * n >= 4 * (len(s) + len(sets[j]) - n) for j, n in common.items()):
@@ -142,6 +143,10 @@ def test_lines_of_odd_rows(spark):
     got = line_dedup.remove_lines(docs)
     assert got.columns[: len(docs.columns)] == docs.columns or set(docs.columns) <= set(got.columns)
     rows = {r.doc_id: r for r in got.collect()}
+    clash = docs.withColumns({c: F.lit(77) for c in ("doc", "gone", "found", "n_removed", "line")})
+    out, found = line_dedup.with_findings(clash)
+    assert out.columns == [*clash.columns, found] and {r.n_removed for r in out.collect()} == {77}
+    assert line_dedup.remove_lines(clash).count() == docs.count() and rows[5].n_removed == 0
     assert rows[0].text is None and rows[0].n_lines == 0 and rows[1].text == "" and rows[2].text == "   "
     assert got.count() == docs.count() and line_dedup.remove_lines(cases.empty(spark)).count() == 0
 
@@ -170,7 +175,8 @@ def test_near(spark):
 def test_near_of_odd_rows(spark):
     check_near(cases.frame(spark), 5)
     assert near_dedup.near_duplicates(cases.empty(spark)).count() == 0
-    assert near_dedup.keep_one(cases.frame(spark)).count() == 11
+    clash = cases.frame(spark).withColumns({c: F.lit(7) for c in ("gone", "_gone", "node", "part", "component")})
+    assert near_dedup.keep_one(cases.frame(spark)).count() == 11 and near_dedup.keep_one(clash).columns == clash.columns and near_dedup.keep_one(clash).count() == 11
 
 
 def test_crowded_regions_and_clusters(spark, monkeypatch):
@@ -192,15 +198,55 @@ def test_chain_through_a_large_region(spark, monkeypatch):
 
 
 def test_any_two_of_a_region_share_a_part(spark, monkeypatch):
-    nodes = spark.range(3000).selectExpr("id AS node", "array(7L, id) AS labels")
-    assert near_dedup.candidate_clusters(nodes).where("component = 0").count() == 3000
+    nodes = spark.range(3000).selectExpr("id AS node", "array(7L, id << 20) AS labels")
+    assert near_dedup.candidate_clusters(near_dedup.label_rows(nodes)).where("component = 0").count() == 3000
     monkeypatch.setattr(near_dedup, "CLUSTER", 60)
-    parts = near_dedup.region_parts(nodes.where("node < 200").selectExpr("node", "0L AS component", "labels")).collect()
-    met = {}
-    for r in parts:
-        met.setdefault(r.part, []).append(r.doc_id)
-    assert {(a, b) for m in met.values() for a in m for b in m} == {(a, b) for a in range(200) for b in range(200)}
-    assert max(map(len, met.values())) < 100
+    # a crowded region whose deepest prefixes are one, and one that has several of them
+    for label in ("7L", "7L + (id % 9)"):
+        some = spark.range(200).selectExpr("id AS node", "0L AS component", f"array({label}) AS labels")
+        met = {}
+        for r in near_dedup.region_parts(near_dedup.label_rows(some, "component")).collect():
+            met.setdefault(r.part, []).append(r.node)
+        assert {(a, b) for m in met.values() for a in m for b in m} == {(a, b) for a in range(200) for b in range(200)}
+        assert max(map(len, met.values())) < 130
+
+
+def test_sorted_links_join_runs_across_partitions(spark):
+    rng = np.random.default_rng(8)
+    labels = rng.integers(-(1 << 62), 1 << 62, 40) & ~0xFFFF
+    rows = [(i, [int(labels[rng.integers(40)]) + int(rng.integers(1 << 16)) for _ in range(3)]) for i in range(900)]
+    got = {r.node: r.component for r in near_dedup.candidate_clusters(near_dedup.label_rows(spark.createDataFrame(rows, "node long, labels array<long>"))).collect()}
+    first, pairs = {}, []
+    for node, own in rows:
+        for tree, label in enumerate(own):
+            pairs.append((node, first.setdefault((tree, label >> 16), node)))
+    assert [got.get(i, i) for i in range(900)] == roots(900, pairs)
+
+
+def test_links_just_above_the_limit(spark):
+    """Pairs at 80 to 83 % in small groups and in one large group that shares a passage: hardly a link may be missed."""
+    rng = random.Random(4)
+    texts = []
+    for g in range(150):
+        base = [f"g{g}w{i}" for i in range(200)]
+        texts.append(" ".join(base))
+        cut = rng.randrange(17, 21)
+        texts.append(" ".join(base[: 200 - cut] + [f"g{g}v{i}" for i in range(cut)]))
+    shared = [f"s{i}" for i in range(150)]
+    texts += [" ".join(shared + [f"d{i}x{k}" for k in range(30)]) for i in range(60)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    sets = [shingles(t, 5) for t in texts]
+    pairs = [(i, j) for i in range(len(texts)) for j in range(i) if 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j])]
+    want = roots(len(texts), pairs)
+    got = {r.doc_id: r.component_id for r in near_dedup.near_duplicates(docs).collect()}
+    assert len(pairs) > 60 and sum(got[i] == want[i] for i in range(len(texts))) >= 0.99 * len(texts)
+
+
+def test_one_doc_id_with_two_texts(spark):
+    a, b = (" ".join(f"{p}{i}" for i in range(100)) for p in "ab")
+    rows = [(5, a), (5, b), (7, a + " end"), (9, b + " end"), (11, a)]
+    got = {r.doc_id: r.component_id for r in near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {5: 5, 7: 5, 9: 5, 11: 5}
 
 
 def test_components_of_a_chain(spark):
@@ -231,6 +277,38 @@ def test_vectors(spark, monkeypatch, block):
     check_vectors(spark, [(i, [float(v) for v in r]) for i, r in enumerate(rows)])
 
 
+@pytest.mark.parametrize("width, axes", [(64, 1), (64, 2), (64, 3), (64, 4), (64, 5), (384, 3)])
+def test_tables_follow_axes(width, axes):
+    """Random pairs at the least cosine meet in some bucket, however many axes a bucket has."""
+    rng = np.random.default_rng(100 + axes)
+    a, b = rng.normal(size=(2, 1500, width))
+    a /= np.linalg.norm(a, axis=1, keepdims=True)
+    b -= (a * b).sum(axis=1, keepdims=True) * a
+    b = 0.9 * a + np.sqrt(0.19) * b / np.linalg.norm(b, axis=1, keepdims=True)
+    tables = embedding_dedup.tables_for(width, axes, 0.9)
+    x, y = (embedding_dedup.buckets(v, axes, tables) for v in (a, b))
+    assert (x[:, :, :, None] == y[:, :, None, :]).any(axis=(1, 2, 3)).mean() >= 0.985
+
+
+def test_vectors_of_several_widths_and_repeated_ids(spark):
+    rng = np.random.default_rng(6)
+    rows = [(i, [float(v) for v in rng.normal(size=w)]) for i, w in enumerate([2, 3, 64] * 20)]
+    rows += [(1000 + i, [1.01 * v for v in x]) for i, x in rows] + [rows[0], (None, rows[2][1])]
+    df = spark.createDataFrame([(i, x, "l", 1) for i, x in rows], "vec_id long, embedding array<float>, label string, code int")
+    got = embedding_dedup.near_vectors(df).collect()
+    links = {}
+    for r in got:
+        links.setdefault(r.vec_id, []).append((r.n_links, r.component_id))
+    def close(a, b):
+        a, b = (np.float32(v).astype(float) for v in (a, b))
+        return len(a) == len(b) and a @ b / np.linalg.norm(a) / np.linalg.norm(b) >= 0.9
+    for k, (i, x) in enumerate(rows):
+        if i is not None:
+            want = sum(close(x, y) for m, (j, y) in enumerate(rows) if m != k and j is not None)
+            assert all(n == want for n, _ in links[i]), (i, want, links[i])
+    assert links[None] == [(0, None)] and len(got) == len(rows)
+
+
 def test_odd_vectors(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(0, None), (1, []), (2, [0.0, 0.0]), (3, [nan, 1.0]), (4, [inf, 1.0]), (5, [1.0, None]), (6, [1.0, 0.0]), (7, [1e200, 1e198]), (8, [1.0]), (9, [1e-200, 0.0]), (10, [-0.0, 0.0])]

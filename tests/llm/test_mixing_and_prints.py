@@ -1,10 +1,12 @@
 """Mixing against its rules, fingerprints against a plain walk, and the pipeline on whole small tables."""
 
 import hashlib
+import random
 import re
 from collections import defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
 from tarnspark.llm import edit_embedding, mixing, registry
 
@@ -53,7 +55,14 @@ def test_mix(spark):
     draws = sum(len(r.shards) for r in rows)
     per = [sum(x == k for r in rows for x in r.shards) for k in range(8)]
     assert sum(per) == draws and min(per) > 0
+    clash = docs.withColumns({c: F.lit(5) for c in ("_id", "_draws", "taken", "key", "turn", "shard", "at", "size")})
+    out = mixing.apply(clash)
+    assert out.columns == clash.columns and {r.key for r in out.collect()} == {5}
     out = mixing.apply(docs)
+    found, weighed = out.collect(), {r.doc_id: r for r in rows}
+    for source in {r.source for r in rows}:
+        target = next(r.target for r in rows if r.source == source)
+        assert abs(sum(weighed[r.doc_id].size for r in found if r.source == source) - target) <= max(r.size for r in rows if r.source == source)
     assert out.columns == docs.columns and abs(out.count() - 1.5 * len(rows)) < 0.3 * len(rows)
 
 
@@ -69,6 +78,14 @@ def test_split_is_exact(spark):
     assert sorted(sum(r.n for r in rows if r.shard == k) for k in range(8)) == [6, 6, 7, 7, 7, 7, 7, 7]
 
 
+def test_split_is_hypergeometric(spark):
+    """Over many seeds a source's share of a half has the mean and the variance of draws without replacement."""
+    quotas = spark.createDataFrame([(0, 12), (1, 28)], "nth long, n long")
+    left = [{r.nth: r.n for r in mixing.split(quotas, 1, seed).where("shard = 0").collect()}.get(0, 0) for seed in range(24)]
+    # 20 of 40 blocks, 12 of them of the source: mean 6, variance 20 * 0.3 * 0.7 * 20 / 39 = 2.15
+    assert abs(sum(left) / 24 - 6) < 1.0 and 0.7 < sum((x - 6) ** 2 for x in left) / 24 < 4.5
+
+
 def plain_walk(text):
     level, codes = edit_embedding._level(len(text)), [*edit_embedding._symbols(text), 0]
     levels = edit_embedding.step_levels(0, max(1, 3 * len(text)))
@@ -77,11 +94,11 @@ def plain_walk(text):
         if levels[j] >= level:
             out.append(int(codes[at]))
         at += int(edit_embedding._MOVES[int(edit_embedding._TURN[j & 0xFFFF]) ^ ((j >> 16) & 4095), codes[at]])
-    return level, bytes(out)
+    return level, bytes(out).rstrip(b"\0")
 
 
 def check_prints(docs):
-    rows = [(d, t or "") for d, t in sorted(((r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()), key=lambda x: (x[0] is None, x[0] or 0, x[1] or ""))]
+    rows = [(d, t or "") for d, t in sorted(((r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()), key=lambda x: (x[0] is None, x[0] or 0, x[1] or ""))]  # one row at most has no doc_id
     got = edit_embedding.fingerprints(docs).collect()
     want = []
     for i, (doc, text) in enumerate(rows):
@@ -99,15 +116,45 @@ def test_prints(spark):
 
 
 def test_prints_of_odd_rows(spark):
-    check_prints(cases.frame(spark, [r for r in cases.rows() if len(r[1] or "") < 5000]))
+    check_prints(cases.frame(spark))
     assert edit_embedding.fingerprints(cases.empty(spark)).count() == 0
 
 
-def test_near_pairs(spark):
-    base = "the quick brown fox jumps over the lazy dog and runs away into the dark wood " * 20
-    rows = [(1, base), (2, base[:700] + "!" + base[700:]), (3, base[::-1])]
-    prints = edit_embedding.fingerprints(spark.createDataFrame(rows, "doc_id long, text string"))
-    assert [(r.doc_id, r.near_id) for r in edit_embedding.near_pairs(prints, like=0.6).collect()] == [(2, 1)]
+def test_rows_without_id_follow_each_other_by_hash(spark):
+    rows = [(1, "first " * 9)] + [(None, f"text number {i} " * 5) for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    order = [r.text for r in docs.orderBy(F.col("doc_id").isNull(), F.when(F.col("doc_id").isNull(), F.xxhash64("text"))).collect()]
+    want = sorted(hashlib.sha256((a[: len(a) - len(a) // 4] + b[: len(a) // 4]).encode()).hexdigest() for a, b in zip(order, order[1:] + order[:1], strict=True))
+    assert sorted(r.edited_sha256 for r in edit_embedding.fingerprints(docs).collect()) == want
+
+
+def test_one_long_text_walks_alone():
+    text = "ab cd efg " * 4000 + "\U0001f600\0" + "xyz " * 3000
+    found = edit_embedding.embed([text, "short", text[:-1], ""])
+    assert [found[0], found[1], found[2]] == [plain_walk(t) for t in (text, "short", text[:-1])]
+
+
+def test_near_groups(spark):
+    """Recall of copies with a few edits, on both sides of a level's bound, and no links between unlike texts."""
+    rng = random.Random(2)
+    letters = "abcdefghijklmnopqrstuvwxyz     "
+    rows, edited = [], 0
+    for g in range(60):
+        text = "".join(rng.choices(letters, k=rng.choice([60, 300, 1020, 1024, 2040, 5000])))
+        rows.append((10 * g, text))
+        for k in (1, 2):
+            copy = list(text)
+            for _ in range(max(1, len(text) // 400)):
+                at = rng.randrange(len(copy) // 2, len(copy))
+                rng.choice([lambda at=at: copy.insert(at, "q"), lambda at=at: copy.pop(at), lambda at=at: copy.__setitem__(at, "z")])()
+            rows.append((10 * g + k, "".join(copy)))
+            edited += 1
+    rows += [(5000 + i, "the same beginning of all " * 3 + "".join(rng.choices(letters, k=900))) for i in range(40)] + [(None, "x"), (7001, None), (7002, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in edit_embedding.near_groups(docs).collect()}
+    assert sum(got[10 * g + k] == 10 * g for g in range(60) for k in (1, 2)) >= 0.9 * edited
+    assert all(got[5000 + i] == 5000 + i for i in range(40)) and got[None] is None and got[7002] == 7001
+    assert edit_embedding.near_groups(cases.frame(spark)).count() == 13 and edit_embedding.near_groups(cases.empty(spark)).count() == 0
 
 
 def test_pipeline(spark):
