@@ -9,8 +9,10 @@ left is verified on the full sets. A line that has a match at an earlier place (
 Places and postings are exchanged in packed columns, each set once for a task's batch, so a line that makes
 up a third of the corpus costs one posting for each batch and word. Under a word a line asks for its first
 PARTNERS possible matches; for a line that had more and for which none of these holds, the word's list of
-lines is kept, once, and gives all of them.
-The driver holds word counts in BINS bins and Bloom filters of 2**BITS bits, whatever the corpus.
+lines is kept, once, in chunks, and gives all of them. A word is in a prefix only where most of a line's words
+are commoner still, so a list holds different sets of a few common words at worst; equal sets are one entry.
+The driver holds word counts in BINS bins and a Bloom filter of MOST_BITS bits at most; both only make the join
+cheaper, its result doesn't depend on them.
 """
 
 from __future__ import annotations
@@ -20,16 +22,23 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, fresh, lean
 from .hashing import Windows, mix64
-from .packed import GROUP_BYTES, NO_ID, by_bucket, dense, loose
+from .packed import NO_ID, by_bucket, dense, loose
 
+#: Bytes of text whose postings a task sends together, and bytes whose postings a bucket takes.
+BATCH_BYTES, BUCKET_BYTES = 8 << 20, 16 << 20
 #: Blank lines, which have fewer words, stay.
 WORDS = 1
 #: Sets of fewer words are similar to none but their equals: 3 of 4 words are less than SIMILAR.
 NEAR_WORDS = 4
 PARTNERS = 8
-BINS, BITS = 1 << 22, 25
+BINS = 1 << 22
+#: The filter has a bit for every eight bytes of text, within these powers of two.
+LEAST_BITS, MOST_BITS = 20, 28
+#: Entries of a chunk of a word's list, and of a block of lines that ask for it.
+CHUNK = 1 << 16
+ASKS = 1 << 12
 _BIN = np.uint64(64 - 22)
 #: Words of 64 bits of the parity that is compared before full sets are.
 WIDE = 8
@@ -90,68 +99,87 @@ def _batches(batches, n: int):
         yield texts, ids
 
 
+def _summed(parts: DataFrame, schema: str, name: str, add) -> DataFrame:
+    """The sum of the arrays of each part (part, name), streamed: a task holds its parts' sums and no more."""
+
+    def run(batches):
+        total: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for part, b in zip(batch["part"].tolist(), batch[name].tolist(), strict=True):
+                x = loose(b, np.int64 if name == "counts" else np.uint8)
+                total[part] = add(total[part], x) if part in total else x
+        if total:
+            yield pd.DataFrame({"part": list(total), name: [dense(x) for x in total.values()]})
+
+    return parts.repartition(_PARTS, "part").mapInPandas(run, schema)
+
+
 def _rarity(rows: DataFrame) -> tuple[np.ndarray, int]:
-    """For each bin of words how often they occur in all lines, up to 12 bits; and the bytes of all texts."""
+    """For each bin of words the logarithm of how often they occur in all lines, in 12 bits; and the bytes of all texts."""
 
     def count(batches):
-        total, size, held = np.zeros(BINS, np.int64), 0, []
+        total, size, held = np.zeros(BINS, np.uint32), 0, []
+
+        def settle():
+            found, n = np.unique(np.concatenate([*held, np.zeros(0, np.int32)]), return_counts=True)
+            total[found] += n.astype(np.uint32)
+
         for texts, _ in _batches(batches, 1 << 20):
             data = np.frombuffer(b"\n".join(t.encode().lower() for t in texts) + b"\n", np.uint8)
             size += len(data)
             blank = (data == 32) | ((data >= 9) & (data <= 13))
             turn = np.flatnonzero(np.diff(blank.astype(np.int8), prepend=np.int8(1)))
             held.append((Windows(data).of(turn[::2], turn[1::2]) >> _BIN).astype(np.int32))
-            if len(held) == 32:
-                total += np.bincount(np.concatenate(held), minlength=BINS)
+            if len(held) == 8:
+                settle()
                 held = []
-        total += np.bincount(np.concatenate([*held, np.zeros(0, np.int32)]), minlength=BINS)
-        yield pd.DataFrame({"part": range(_PARTS), "counts": [dense(x) for x in total.reshape(_PARTS, -1)], "size": [size] + [0] * (_PARTS - 1)})
+        settle()
+        # one part more than bins need holds the size
+        parts = [*total.reshape(_PARTS, -1), np.array([size])]  # a task meets fewer than 2**32 words
+        yield pd.DataFrame({"part": range(_PARTS + 1), "counts": [dense(x.astype(np.int64)) for x in parts]})
 
-    def add(batch: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"part": batch["part"].iloc[:1], "counts": [dense(sum(loose(b, np.int64) for b in batch["counts"]))], "size": [batch["size"].sum()]})
-
-    schema = "part int, counts binary, size long"
-    found = rows.mapInPandas(count, schema).groupBy("part").applyInPandas(add, schema).collect()
-    counts = np.zeros((_PARTS, BINS // _PARTS), np.int64)
-    for r in found:
-        counts[r["part"]] = loose(r["counts"], np.int64)
-    return np.minimum(counts.reshape(-1), 4095).astype(np.uint16), sum(r["size"] for r in found)
+    schema = "part int, counts binary"
+    found = {r["part"]: loose(r["counts"], np.int64) for r in _summed(rows.mapInPandas(count, schema), schema, "counts", np.add).collect()}
+    if not found:
+        return np.zeros(BINS, np.uint16), 0
+    counts = np.concatenate([found[k] for k in range(_PARTS)])
+    return np.minimum(np.log2(counts + 1.0) * 85, 4095).astype(np.uint16), int(found[_PARTS][0])
 
 
 def _place(doc: np.ndarray, line: np.ndarray) -> np.ndarray:
     return mix64(mix64(doc.astype(np.int64).view(np.uint64)) + line.astype(np.uint64))
 
 
-def _bits(places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    return (places >> np.uint64(64 - BITS)).astype(np.int64), (mix64(places) >> np.uint64(64 - BITS)).astype(np.int64)
+def _bits(places: np.ndarray, power: int) -> tuple[np.ndarray, np.ndarray]:
+    return (places >> np.uint64(64 - power)).astype(np.int64), (mix64(places) >> np.uint64(64 - power)).astype(np.int64)
 
 
-def _bloom(found: DataFrame) -> np.ndarray:
-    """A Bloom filter of 2**BITS bits of the places of all possible matches; a line too many passes it only to be dropped by a join."""
+def _bloom(found: DataFrame, size: int) -> np.ndarray:
+    """A Bloom filter of the places of all possible matches; a line too many passes it only to be dropped by a join."""
+    power = min(MOST_BITS, max(LEAST_BITS, (size >> 3).bit_length()))
 
     def fill(batches):
-        bits = np.zeros(1 << BITS, bool)
+        bits = np.zeros(1 << (power - 3), np.uint8)
         for batch in batches:
             for kind, c in zip(batch["kind"], batch["columns"], strict=True):
                 for doc, line in {0: ((2, 3), (4, 5)), 3: ((1, 2),)}.get(kind, ()):
-                    for at in _bits(_place(loose(c[doc], np.int64), loose(c[line], np.int64))):
-                        bits[at] = True
-        parts = np.packbits(bits).reshape(1 << 12, -1)
+                    for at in _bits(_place(loose(c[doc], np.int64), loose(c[line], np.int64)), power):
+                        np.bitwise_or.at(bits, at >> 3, (1 << (7 - (at & 7))).astype(np.uint8))
+        parts = bits.reshape(1 << 12, -1)
         some = np.flatnonzero(parts.any(axis=1))
         if len(some):
-            yield pd.DataFrame({"part": some, "bits": [parts[i].tobytes() for i in some]})
-
-    def unite(batch: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"part": batch["part"].iloc[:1], "bits": [np.bitwise_or.reduce([np.frombuffer(b, np.uint8) for b in batch["bits"]]).tobytes()]})
+            yield pd.DataFrame({"part": some, "bits": [dense(parts[i]) for i in some]})
 
-    out = np.zeros((1 << 12, 1 << (BITS - 15)), np.uint8)
-    for r in found.mapInPandas(fill, "part int, bits binary").groupBy("part").applyInPandas(unite, "part int, bits binary").collect():
-        out[r["part"]] = np.frombuffer(r["bits"], np.uint8)
+    schema = "part int, bits binary"
+    out = np.zeros((1 << 12, 1 << (power - 15)), np.uint8)
+    for r in _summed(found.mapInPandas(fill, schema), schema, "bits", np.bitwise_or).collect():
+        out[r["part"]] = loose(r["bits"], np.uint8)
     return out.reshape(-1)
 
 
 def _passes(bloom: np.ndarray, places: np.ndarray) -> np.ndarray:
-    one, two = (bloom[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1 for at in _bits(places))
+    power = (8 * len(bloom)).bit_length() - 1
+    one, two = (bloom[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1 for at in _bits(places, power))
     return (one & two).astype(bool)
 
 
@@ -160,19 +188,24 @@ def _postings(rows: DataFrame, rarity, buckets: int) -> DataFrame:
 
     def run(batches):
         rank = rarity.value
-        for texts, ids in _batches(batches, GROUP_BYTES):
-            parts, at = [], 0
+        for texts, ids in _batches(batches, BATCH_BYTES):
+            parts, at, lines = [], 0, 0
             while at < len(texts):
                 stop, n = at, 0
                 while stop < len(texts) and n < 1 << 20:
                     n += len(texts[stop])
                     stop += 1
-                parts.append(line_sets(texts[at:stop], ids[at:stop], rank))
+                doc, line, sizes, words = line_sets(texts[at:stop], ids[at:stop], rank)
+                begins, name, parity = _identity(words, sizes)
+                prefix = np.where(sizes < NEAR_WORDS, 0, sizes - (4 * sizes + 4) // 5 + 1)
+                which = np.repeat(np.arange(len(doc)), prefix)
+                pos = np.arange(len(which)) - np.repeat(np.cumsum(prefix) - prefix, prefix)
+                parts.append((doc, line, sizes.astype(np.uint32), name, parity, which + lines, pos.astype(np.uint32), words[begins[which] + pos]))
+                lines += len(doc)
                 at = stop
-            doc, line, sizes, words = (np.concatenate(x) for x in zip(*parts, strict=True))
+            doc, line, sizes, name, parity, which, pos, word = (np.concatenate(x) for x in zip(*parts, strict=True))
             if not len(doc):
                 continue
-            begins, name, parity = _identity(words, sizes)
             order = np.lexsort((line, doc, name))
             head = np.ones(len(order), bool)
             head[1:] = name[order][1:] != name[order][:-1]
@@ -180,15 +213,14 @@ def _postings(rows: DataFrame, rarity, buckets: int) -> DataFrame:
             owner = first[np.cumsum(head) - 1]
             again = order[(doc[order] != doc[owner]) | (line[order] != line[owner])]
             out = [(2, len(texts) % buckets, [dense(doc[again]), dense(line[again])])] if len(again) else []
-            out += [(1, k, [dense(name[first[x]]), dense(doc[first[x]]), dense(line[first[x]])]) for k, x in by_bucket((name[first] % np.uint64(buckets)).astype(np.int64), buckets)]
-            prefix = np.where(sizes[first] < NEAR_WORDS, 0, sizes[first] - (4 * sizes[first] + 4) // 5 + 1)
-            which = np.repeat(first, prefix)
-            pos = np.arange(len(which)) - np.repeat(np.cumsum(prefix) - prefix, prefix)
-            word = words[begins[which] + pos]
-            for k, x in by_bucket((word % np.uint64(buckets)).astype(np.int64), buckets):
+            out += [(1, k, [dense(name[first[x]]), dense(doc[first[x]]), dense(line[first[x]])]) for k, x in by_bucket((name[first] % np.uint64(buckets)).astype(np.int64))]
+            own = np.zeros(len(doc), bool)
+            own[first] = True
+            which, pos, word = (x[own[which]] for x in (which, pos, word))
+            for k, x in by_bucket((word % np.uint64(buckets)).astype(np.int64)):
                 x = x[np.argsort(word[x])]
                 w = which[x]
-                out.append((0, k, [dense((word[x] >> np.uint64(32)).astype(np.uint32)), dense(name[w]), dense(parity[w]), dense(doc[w]), dense(line[w].astype(np.uint32)), dense(sizes[w].astype(np.uint32)), dense(pos[x].astype(np.uint32))]))
+                out.append((0, k, [dense((word[x] >> np.uint64(32)).astype(np.uint32)), dense(name[w]), dense(parity[w]), dense(doc[w]), dense(line[w].astype(np.uint32)), dense(sizes[w]), dense(pos[x])]))
             yield pd.DataFrame(out, columns=["kind", "bucket", "columns"])
 
     return rows.mapInPandas(run, "kind int, bucket int, columns array<binary>")
@@ -227,7 +259,7 @@ def _filters(x_size, x_pos, x_parity, y_size, y_pos, y_parity) -> np.ndarray:
 
 def _matches(columns: list, bucket: int) -> pd.DataFrame:
     """Possible matches of a bucket: 0 pairs of an earlier and a later set; 3 the sets of words under which a set had more than
-    PARTNERS of them, in order; 4 such sets, with their place in that order."""
+    PARTNERS of them, in order and in chunks; 4 such sets, with their place in that order."""
     kinds = (np.uint32, np.uint64, np.uint64, np.int64, np.uint32, np.uint32, np.uint32)
     read = lambda i: np.concatenate([loose(c[i], kinds[i]) for c in columns])
     word = read(0)
@@ -269,7 +301,10 @@ def _matches(columns: list, bucket: int) -> pd.DataFrame:
         out.append(_packed(4, [name[capped], doc[capped], line[capped], size[capped], pos[capped], parity[capped], code(capped), capped - begin[capped]], list(_ASKED.values())))
         starts = np.unique(begin[capped])
         ends = np.searchsorted(word, word[starts], side="right")
-        out += [_packed(3, [c[i:j] for c in (name, doc, line, size, pos, parity)], [np.int64] * 6, int(code(i))) for i, j in zip(starts, ends, strict=True)]
+        for i, end in zip(starts.tolist(), ends.tolist(), strict=True):
+            for k in range(i, end, CHUNK):
+                j = min(k + CHUNK, end)
+                out.append(_packed(3, [*(c[k:j] for c in (name, doc, line, size, pos, parity)), np.array([k - i])], [np.int64] * 7, int(code(i))))
     return pd.DataFrame(out, columns=["kind", "word", "columns"])
 
 
@@ -298,18 +333,22 @@ def _joined(rows: DataFrame, rarity, buckets: int) -> DataFrame:
 
 
 def _rest(found: DataFrame, open_: DataFrame) -> DataFrame:
-    """All possible matches, past PARTNERS too, of the sets of ``open_`` (y)."""
+    """All possible matches, past PARTNERS too, of the sets of ``open_`` (y). Blocks of asking sets meet chunks of their word's list."""
 
     def pairs(batches):
         for batch in batches:
-            for r in batch.itertuples():
-                name, _, _, size, pos, parity = (loose(m, np.int64)[: r.at] for m in r.columns)
-                ok = _filters(size, pos, parity.view(np.uint64), r.length, r.pos, np.uint64(r.parity & 0xFFFFFFFFFFFFFFFF))
-                yield pd.DataFrame({"x": name[ok], "y": r.y, "doc": r.doc, "line": r.line})
+            for columns, asks in zip(batch["columns"], batch["asks"], strict=True):
+                name, _, _, size, pos, parity, start = (loose(m, np.int64) for m in columns)
+                for r in asks:
+                    n = min(len(name), r["at"] - int(start[0]))
+                    if n > 0:
+                        ok = np.flatnonzero(_filters(size[:n], pos[:n], parity[:n].view(np.uint64), r["length"], r["pos"], np.uint64(r["parity"] & 0xFFFFFFFFFFFFFFFF)))
+                        yield pd.DataFrame({"x": name[ok], "y": r["y"], "doc": r["doc"], "line": r["line"]})
 
     asked = _unpacked(found, 4, _ASKED).withColumnRenamed("size", "length").join(open_, "y", "left_semi")
-    rows = asked.join(found.where(F.col("kind") == 3).select("word", "columns"), "word")
-    return rows.select("y", "doc", "line", "length", "pos", "parity", "at", "columns").mapInPandas(pairs, "x long, y long, doc long, line long").distinct()
+    blocks = asked.groupBy("word", F.floor(F.col("at") / ASKS).alias("block")).agg(F.collect_list(F.struct("y", "doc", "line", "length", "pos", "parity", "at")).alias("asks"))
+    rows = blocks.join(found.where(F.col("kind") == 3).select("word", "columns"), "word")
+    return rows.select("asks", "columns").mapInPandas(pairs, "x long, y long, doc long, line long").distinct()
 
 
 def _wide_parity(words: np.ndarray, begins: np.ndarray) -> np.ndarray:
@@ -320,9 +359,9 @@ def _wide_parity(words: np.ndarray, begins: np.ndarray) -> np.ndarray:
     return np.stack([np.bitwise_xor.reduceat(np.where(own == k, bit, np.uint64(0)), begins) for k in range(WIDE)], axis=1)
 
 
-def _sets(rows: DataFrame, rarity, found: DataFrame) -> DataFrame:
+def _sets(rows: DataFrame, rarity, found: DataFrame, size: int) -> DataFrame:
     """set, n, parity, words: size, wide parity and full set of all lines that may match one."""
-    wanted = found.sparkSession.sparkContext.broadcast(_bloom(found))
+    wanted = found.sparkSession.sparkContext.broadcast(_bloom(found, size))
 
     def emit(batches):
         rank, bits = rarity.value, wanted.value
@@ -371,13 +410,16 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def later_matches(docs: DataFrame) -> DataFrame:
-    """doc, line of every line that has a match at an earlier place; doc is the largest long for a null doc_id."""
-    context = docs.sparkSession.sparkContext
+    """doc, line of every line that has a match at an earlier place; doc is the largest long for a null doc_id.
+
+    A null text has no lines and blank lines have no match. Other columns are ignored; an empty table gives an empty result.
+    """
+    context = lean(docs).sparkSession.sparkContext
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc"), F.coalesce("text", F.lit("")).alias("text"))
     ranks, size = _rarity(rows)
     rarity = context.broadcast(ranks)
-    found = cut(_joined(rows, rarity, max(1, -(-size // GROUP_BYTES))))
-    sets = cut(_sets(rows, rarity, found))
+    found = cut(_joined(rows, rarity, max(1, -(-size // BUCKET_BYTES))))
+    sets = cut(_sets(rows, rarity, found, size))
     pairs = cut(_likely(_unpacked(found, 0, _PAIRS).select("x", "y", "doc", "line").distinct(), sets))
     # a later set is compared with the likeliest earlier one first, with others only if that doesn't hold
     best = pairs.groupBy("y").agg(F.min(F.struct("apart", "x", "doc", "line")).alias("_b")).select("y", "_b.x", "_b.doc", "_b.line")
@@ -389,23 +431,37 @@ def later_matches(docs: DataFrame) -> DataFrame:
     return _unpacked(found, 1, _PLACES).union(more.select("doc", "line")).distinct()
 
 
-def remove_lines(docs: DataFrame) -> DataFrame:
-    """The documents without their later lines, with n_lines, n_removed and removed_lines (numbers from 0, ascending).
+def with_findings(docs: DataFrame) -> tuple[DataFrame, str]:
+    """All columns of docs and one more, whose name is returned: text (what is left), n_lines, removed_lines.
 
     Lines are parted by line feeds; words by ASCII white space, A to Z in lower case. Blank lines
     stay. Lines are judged on the input. A null text stays null with no lines; an empty one has
     one line. A null doc_id comes after all others; rows with one doc_id share their places, so what is removed of
-    one is removed of all. Columns of the input keep their values, but for text; an empty table stays empty.
+    one is removed of all. Columns of the input keep their values; an empty table stays empty.
     """
-    gone = later_matches(docs).groupBy(F.col("doc").alias("_doc")).agg(F.sort_array(F.collect_set(F.col("line").cast("int"))).alias("_gone"))
-    own = docs.drop("n_lines", "n_removed", "removed_lines")
-    joined = own.join(gone, F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)) == F.col("_doc"), "left")
+    doc, gone, found = fresh(docs, "doc", "gone", "found")
+    lists = later_matches(docs).groupBy(F.col("doc").alias(doc)).agg(F.sort_array(F.collect_set(F.col("line").cast("int"))).alias(gone))
+    joined = docs.join(lists, F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)) == F.col(doc), "left")
     lines = F.split("text", "\n", -1)
-    left = F.filter(lines, lambda _, i: ~F.array_contains("_gone", i))
-    text = F.when(F.col("_gone").isNull() | F.col("text").isNull(), F.col("text")).otherwise(F.array_join(left, "\n"))
-    numbers = F.filter(F.coalesce("_gone", F.array().cast("array<int>")), lambda i: i < F.size(lines))
-    counted = joined.withColumn("n_lines", F.when(F.col("text").isNull(), 0).otherwise(F.size(lines)).cast("long")).withColumn("removed_lines", F.when(F.col("text").isNull(), F.array().cast("array<int>")).otherwise(numbers))
-    return counted.withColumn("n_removed", F.size("removed_lines").cast("long")).withColumn("text", text).drop("_doc", "_gone")
+    left = F.filter(lines, lambda _, i: ~F.array_contains(gone, i))
+    text = F.when(F.col(gone).isNull() | F.col("text").isNull(), F.col("text")).otherwise(F.array_join(left, "\n"))
+    numbers = F.filter(F.coalesce(gone, F.array().cast("array<int>")), lambda i: i < F.size(lines))
+    empty = F.col("text").isNull()
+    out = F.struct(text.alias("text"), F.when(empty, 0).otherwise(F.size(lines)).cast("long").alias("n_lines"), F.when(empty, F.array().cast("array<int>")).otherwise(numbers).alias("removed_lines"))
+    return joined.select(*[F.col(c) for c in docs.columns], out.alias(found)), found
+
+
+def remove_lines(docs: DataFrame) -> DataFrame:
+    """The documents without their later lines, with n_lines, n_removed and removed_lines (numbers from 0, ascending).
+
+    Texts are treated as ``with_findings`` says. Columns of the input keep their values, but for text and those that have one
+    of the three names, which give way.
+    """
+    out, found = with_findings(docs)
+    new = ("n_lines", "n_removed", "removed_lines")
+    kept = [F.col(f"{found}.text").alias("text") if c == "text" else F.col(c) for c in docs.columns if c.lower() not in new]
+    numbers = F.col(f"{found}.removed_lines")
+    return out.select(*kept, F.col(f"{found}.n_lines").alias("n_lines"), numbers.alias("removed_lines"), F.size(numbers).cast("long").alias("n_removed"))
 
 
 def digest(docs: DataFrame) -> DataFrame:

@@ -70,8 +70,8 @@ class Group:
         self.data = np.frombuffer(self.bytes, np.uint8)
 
 
-def by_bucket(buckets: np.ndarray, n: int) -> list[tuple[int, np.ndarray]]:
+def by_bucket(buckets: np.ndarray) -> list[tuple[int, np.ndarray]]:
     """(bucket, indices) of every bucket that occurs."""
     order = np.argsort(buckets, kind="stable")
-    cuts = np.searchsorted(buckets[order], np.arange(n + 1))
-    return [(k, order[cuts[k] : cuts[k + 1]]) for k in range(n) if cuts[k + 1] > cuts[k]]
+    cuts = np.flatnonzero(np.diff(buckets[order], prepend=-1))
+    return [(int(buckets[part[0]]), part) for part in np.split(order, cuts[1:])] if len(order) else []

@@ -27,7 +27,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import total_bytes
+from .common import lean, total_bytes
 from .hashing import Windows, mix64
 from .packed import GROUP_BYTES, NO_ID, Group, by_bucket, dense, loose, pack
 
@@ -75,7 +75,7 @@ def _names(rows: pd.DataFrame, buckets: int) -> pd.DataFrame:
     g = int(rows["g"].iloc[0])
     parts = [np.unique(name) for _, name, _ in sampled(Group(rows), False)]
     names = np.unique(np.concatenate(parts)) if parts else np.zeros(0, np.uint64)
-    out = [(k, g, names[at].tobytes()) for k, at in by_bucket((names % np.uint64(buckets)).astype(np.int64), buckets)]
+    out = [(k, g, names[at].tobytes()) for k, at in by_bucket((names % np.uint64(buckets)).astype(np.int64))]
     return pd.DataFrame(out, columns=["bucket", "g", "names"])
 
 
@@ -108,7 +108,7 @@ def _tuples(rows: pd.DataFrame, shared: pd.DataFrame, buckets: int) -> pd.DataFr
     one = order[np.concatenate([[True], context[order][1:] != context[order][:-1]])] if len(order) else order
     place, name, owner, context, front, onward = (x[one] for x in (place, name, owner, context, front, onward))
     doc, offset, out = group.ids[owner], np.arange(-_LEAD, LENGTH), []
-    for k, at in by_bucket((name % np.uint64(buckets)).astype(np.int64), buckets):
+    for k, at in by_bucket((name % np.uint64(buckets)).astype(np.int64)):
         inside = (offset >= -front[at, None]) & (offset < onward[at, None])
         text = np.where(inside, group.data[np.clip(place[at, None] + offset, 0, len(group.data) - 1)], np.uint8(0))
         out.append((k, g, dense(np.stack([front[at], onward[at]], axis=1).astype(np.uint8)), dense(doc[at]), dense(text)))
@@ -222,7 +222,7 @@ def remove_repeats(docs: DataFrame, with_text: bool = False) -> DataFrame:
     columns are ignored; an empty table gives an empty result.
     """
     groups = max(1, -(-total_bytes(docs) // GROUP_BYTES))
-    packed = pack(docs, groups)
+    packed = pack(lean(docs), groups)
     names = packed.groupBy("g").applyInPandas(lambda rows: _names(rows, groups), "bucket int, g int, names binary")
     shared = names.groupBy("bucket").applyInPandas(_shared, "g int, names binary")
     schema = "bucket int, g int, sides binary, doc binary, text binary"
