@@ -4,15 +4,16 @@ A word's emission scores come from hashed affix, character n-gram and lexicon fe
 between labels are learned with them. The forward-backward algorithm gives each word's label
 probabilities; a text's language is the label with the largest sum over all its words.
 
-The model is fitted on the driver from a bounded sample: at most ``DOCS_PER_LABEL`` labelled documents
-of each of at most ``LABELS`` languages, ``WORDS_PER_DOC`` consecutive words of each. Training
-sequences switch between documents of different languages. Prediction is map-only over whole texts.
+The model is fitted on the driver from a bounded sample: at most ``DOCS_PER_LABEL`` labelled documents of
+each language and about ``DOCS`` in all, but one of each at least, ``WORDS_PER_DOC`` consecutive words of each.
+Training sequences switch between documents of different languages. Prediction is map-only over whole texts.
 """
 
 from __future__ import annotations
 
 import re
 import zlib
+from itertools import groupby
 
 import numpy as np
 import pandas as pd
@@ -20,20 +21,30 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import lean
+
 DOCS_PER_LABEL = 300
 WORDS_PER_DOC = 400
-LABELS = 64
+DOCS = 20_000
 UNKNOWN = "und"
 FEATURES = 1 << 16
 SEQUENCES, SEQUENCE_WORDS, STEPS = 3000, 24, 40
+#: The counts of so many languages are sent to all executors; those of more are joined by shuffling.
+SMALL_TABLE = 10_000
 #: A worker labels so many documents or characters together, and keeps the scores of so many words.
-BATCH_DOCS, BATCH_CHARS, CACHE = 2048, 4 << 20, 250_000
+BATCH_DOCS, BATCH_CHARS, CACHE = 2048, 2 << 20, 250_000
+#: Words whose features are looked up together.
+FRESH = 4096
 
+#: Letters, but also numerals that aren't decimal digits, which part words as well.
 _WORD = re.compile(r"[^\W\d_]+")
 
 
 def words(text: str | None) -> list[str]:
-    return _WORD.findall(text.lower()) if text else []
+    found = _WORD.findall(text.lower()) if text else []
+    if found and not "".join(found).isalpha():
+        found = ["".join(run) for word in found for letters, run in groupby(word, str.isalpha) if letters]
+    return found
 
 
 def features(word: str) -> list[int]:
@@ -46,11 +57,12 @@ def features(word: str) -> list[int]:
 
 
 def emissions(vocabulary: list[str], weights: np.ndarray) -> np.ndarray:
-    rows = [features(w) for w in vocabulary]
-    if not rows:
-        return np.zeros((0, weights.shape[1]), weights.dtype)
-    starts = np.cumsum([0, *map(len, rows[:-1])])
-    return np.add.reduceat(weights[np.concatenate(rows)], starts, axis=0)
+    out = np.zeros((len(vocabulary), weights.shape[1]), weights.dtype)
+    for at in range(0, len(vocabulary), FRESH):
+        rows = [features(w) for w in vocabulary[at : at + FRESH]]
+        starts = np.cumsum([0, *map(len, rows[:-1])])
+        out[at : at + FRESH] = np.add.reduceat(weights[np.concatenate(rows)], starts, axis=0)
+    return out
 
 
 def marginal_sums(ids: np.ndarray, lengths: np.ndarray, scores: np.ndarray, transition: np.ndarray, each: bool = False):
@@ -88,8 +100,8 @@ def marginal_sums(ids: np.ndarray, lengths: np.ndarray, scores: np.ndarray, tran
             m = active[t + 1]
             back = emit[at[t + 1] : at[t + 2]] * behind[:m]
             if each:
-                joint = ahead[at[t] : at[t] + m, :, None] * move * back[:, None, :]
-                pairs += (joint / joint.sum(axis=(1, 2), keepdims=True)).sum(axis=0)
+                here = ahead[at[t] : at[t] + m]
+                pairs += move * ((here / ((here @ move) * back).sum(axis=1, keepdims=True)).T @ back)
             back = back @ move.T
             behind[:m] = back / back.sum(axis=1, keepdims=True)
         share = ahead[at[t] : at[t + 1]] * behind[:k]
@@ -112,7 +124,7 @@ def fit(texts: list[list[str]], labels: list[str], seed: int = 7) -> tuple[list[
     rng = np.random.default_rng(seed)
     pools = [[t for t, y in zip(texts, labels, strict=True) if y == name] for name in names]
     sequences, gold = [], []
-    for _ in range(SEQUENCES):
+    for _ in range(max(SEQUENCES, 40 * len(names))):
         seq, tags = [], []
         while len(seq) < SEQUENCE_WORDS:
             y = int(rng.integers(len(names)))
@@ -154,15 +166,17 @@ def fit(texts: list[list[str]], labels: list[str], seed: int = 7) -> tuple[list[
 
 
 def _sample(docs: DataFrame) -> pd.DataFrame:
-    """At most DOCS_PER_LABEL rows (lang, words) of each language, chosen by a hash of doc_id."""
+    """At most DOCS_PER_LABEL rows (lang, words) of each language, chosen by a hash of doc_id. The languages of a corpus are few."""
     known = docs.where(F.col("text").isNotNull() & F.col("lang").isNotNull() & (F.crc32(F.col("doc_id").cast("string")) % 3 != 1))
-    counts = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LABELS).collect()
-    if not counts:
-        return pd.DataFrame({"lang": [], "words": []})
+    counts = known.groupBy("lang").agg(F.count("*").alias("known"))
+    labels = counts.count()
+    each = max(1, min(DOCS_PER_LABEL, DOCS // max(1, labels)))
     place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / float(1 << 30)
-    rate = F.coalesce(*[F.when(F.col("lang") == r["lang"], F.lit(min(1.0, 3 * DOCS_PER_LABEL / r["count"]))) for r in counts], F.lit(0.0))
     nearest = Window.partitionBy("lang").orderBy("place", "doc_id", "text")
-    chosen = known.select("doc_id", "lang", "text", place.alias("place")).where(F.col("place") < rate).withColumn("nth", F.row_number().over(nearest)).where(F.col("nth") <= DOCS_PER_LABEL)
+    # a large language is thinned before it is sorted, to some times what is wanted of it
+    counts = F.broadcast(counts) if labels <= SMALL_TABLE else counts
+    thinned = known.select("doc_id", "lang", "text", place.alias("place")).join(counts, "lang").where(F.col("place") * F.col("known") < 3 * each + 30)
+    chosen = thinned.withColumn("nth", F.row_number().over(nearest)).where(F.col("nth") <= each)
 
     def shorten(batches):
         for batch in batches:
@@ -177,7 +191,7 @@ def _sample(docs: DataFrame) -> pd.DataFrame:
 
 
 def _model(docs: DataFrame):
-    sample = _sample(docs.select("doc_id", "text", "lang"))
+    sample = _sample(lean(docs).select("doc_id", "text", "lang"))
     split = [w.split() for w in sample["words"]]
     known = [(w, y) for w, y in zip(split, sample["lang"], strict=True) if w]
     return docs.sparkSession.sparkContext.broadcast(fit([w for w, _ in known], [y for _, y in known]))
@@ -257,12 +271,10 @@ def in_a_language(docs: DataFrame, least: float) -> DataFrame:
 
     def run(batches):
         labeller = Labeller(*model.value)
-        for whole in batches:
-            for at in range(0, whole.num_rows, 1000):
-                batch = whole.slice(at, 1000)
-                texts = batch.column(batch.schema.get_field_index("text")).to_pylist()
-                lang, score = labeller.texts(texts)
-                keep = (lang != UNKNOWN) & (score >= least) if labeller.names else np.array([bool(words(t)) for t in texts], bool)
-                yield batch.filter(pa.array(keep.tolist(), pa.bool_()))
+        for batch in batches:
+            texts = batch.column(batch.schema.get_field_index("text")).to_pylist()
+            lang, score = labeller.texts(texts)
+            keep = (lang != UNKNOWN) & (score >= least) if labeller.names else np.array([bool(words(t)) for t in texts], bool)
+            yield batch.filter(pa.array(keep.tolist(), pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

@@ -19,6 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import lean
 from .tokens import bytes_of, default_path, worker_cache
 
 CAPACITY = 4096
@@ -128,5 +129,5 @@ def pack_documents(docs: DataFrame, path: str | None = None, capacity: int = CAP
             yield block()
 
     schema = "doc_id string, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
-    out = docs.select(F.col("doc_id").cast("string").alias("doc_id"), "text").mapInPandas(run, schema)
+    out = lean(docs).select(F.col("doc_id").cast("string").alias("doc_id"), "text").mapInPandas(run, schema)
     return out.withColumn("doc_id", F.col("doc_id").cast(docs.schema["doc_id"].dataType))

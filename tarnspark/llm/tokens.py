@@ -21,13 +21,15 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import lean
+
 TOKENIZER = "word_bpe_49k.json"
 TOKEN_LIMIT = 2048
 #: The frequent tier is counted on so many documents at most, and holds so many pre-tokens at most.
 SAMPLE_DOCUMENTS = 2000
 FREQUENT = 40_000
 #: Entries of a generation of a worker's cache; it holds two, and the older one goes when the newer is full.
-CACHE = 500_000
+CACHE = 250_000
 
 _OTHER = re.compile(r"[^\t\n\r\x20-\x7e\xa1-\xff]|<\|")
 _PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zªµºß-öø-ÿ]+|[0-9²³¹¼½¾]|[^\sa-zªµºß-öø-ÿ0-9²³¹¼½¾]+")
@@ -157,7 +159,7 @@ def token_counts(docs: DataFrame, path: str | None = None, limit: int = TOKEN_LI
     an empty table gives an empty result. Other columns are ignored.
     """
     path = path or default_path()
-    docs = docs.select("doc_id", "text")
+    docs = lean(docs).select("doc_id", "text")
     table = docs.sparkSession.sparkContext.broadcast(_frequent(docs, path))
 
     def run(batches):
