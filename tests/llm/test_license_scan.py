@@ -52,3 +52,12 @@ def test_overlaps(spark):
     check(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
     labels = {r.doc_id: r.labels for r in license_scan.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
     assert labels[0] == "apache-2.0,gpl-2.0" and labels[3] == "gpl-2.0-or-later" and labels[4] == "mit"
+
+
+def test_keywords_are_forced_by_their_patterns():
+    for r in license_rules.rules():
+        sure = re.sub(r"\([^()]*\)\??", "|", r.pattern)
+        every = all(r.keyword in way for way in re.findall(r"\(([^()]*)\)(?!\?)", r.pattern)[:1] for way in way.split("|")) and "(" in r.pattern
+        assert r.keyword in sure or every, r
+    tables = (license_rules._NOTICES, license_rules._NAMES, license_rules._BARE, license_rules._HINTS)
+    assert sum(len(t.strip().splitlines()) for t in tables) >= 200
