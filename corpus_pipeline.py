@@ -21,9 +21,11 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without lines that came before; one that had words and is left with none goes."""
     words = lambda c: F.coalesce(F.col(c).rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
-    found = line_dedup.remove_lines(docs)
-    found = found.where(words("text") | (F.col("n_removed") == 0))
-    return found.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    out, found = line_dedup.with_findings(docs)
+    out = out.where(words(f"{found}.text") | (F.size(f"{found}.removed_lines") == 0))
+    text = F.col(f"{found}.text")
+    new = {"text": text, "n_chars": F.length(text).cast(docs.schema["n_chars"].dataType)}
+    return out.select(*[new.get(c, F.col(c)).alias(c) for c in docs.columns])
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
