@@ -8,10 +8,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import geo, scores, text, times
-from ..operators import batches, catalog, lands, ledger, ml, pages, predicates, progress, raster, updates, visits
+from ..operators import batches, catalog, lands, ledger, ml, pages, predicates, progress, queue, raster, updates, visits
 from ..session import cut
 from ..sources import readers, sinks
 from ..sources.readers import table
+from ..streaming import events as streams
 from . import lens
 from .queries import _hav, _r, query
 
@@ -569,3 +570,40 @@ def summit_zones(spark, d):
 def verified_sites(spark, d):
     p = lens.places(spark, d).withColumn("snapped_distance_m", F.when(F.col("elevation").isNotNull(), (F.col("key") % 16).cast("double")))
     return ml.verified(p, 2000.0).select("site_id")
+
+
+_WEIGHTS = "k AS (SELECT i, exp(-(i*i)/(2*0.3e0*0.3e0)) AS w FROM (SELECT unnest([-1, 0, 1]) AS i)), n AS (SELECT i, w/(SELECT sum(w) FROM k) AS w FROM k)"
+
+
+@query(f"WITH {lens.TILES}, {_WEIGHTS} SELECT a.tile_id, a.row, a.col, round(sum(x.w*y.w*b.elev),6) AS elev FROM tiles a CROSS JOIN n x CROSS JOIN n y JOIN tiles b ON b.tile_id=a.tile_id AND b.row=greatest(0,least(7,a.row+x.i)) AND b.col=greatest(0,least(7,a.col+y.i)) GROUP BY 1,2,3")
+def raster_smooth(spark, d):
+    """A Gaussian over three cells; at an edge the cell itself stands in for the one beyond."""
+    return raster.smooth(lens.tiles(spark, d), 0.3).select("tile_id", "row", "col", _r("elev"))
+
+
+@query(f"WITH {lens.PLACES} SELECT site_id, round(500e0/111320e0,9) AS half_lat, round(500e0/(111320e0*greatest(0.1e0, cos(radians(lat*2)))),9) AS half_lng FROM places")
+def degree_windows(spark, d):
+    lat, lng = geo.raster_window(500.0, F.col("lat") * 2)
+    return lens.places(spark, d).select("site_id", F.round(lat, 9).alias("half_lat"), F.round(lng, 9).alias("half_lng"))
+
+
+@query("SELECT event_id, CAST(event_id%600 AS INTEGER) AS short, CASE WHEN event_id%5<>0 THEN CAST(event_id%6000 AS INTEGER) END AS daily FROM events")
+def header_usage(spark, d):
+    e = F.col("event_id")
+    header = F.concat((e % 600).cast("string"), F.lit(","), F.when(e % 5 != 0, (e % 6000).cast("string")).otherwise("x"))
+    short, daily = queue.usage(header)
+    return table(spark, d, "events", ["event_id"]).select("event_id", short.alias("short"), daily.alias("daily"))
+
+
+@query("SELECT event_id, CASE event_id%3 WHEN 0 THEN 'America/Denver' ELSE 'UTC' END AS zone FROM events")
+def time_zones(spark, d):
+    e = F.col("event_id")
+    written = F.when(e % 3 == 0, "(GMT-07:00) America/Denver").when(e % 3 == 1, "(GMT+00:00)")
+    return table(spark, d, "events", ["event_id"]).select("event_id", times.time_zone(written).alias("zone"))
+
+
+@query("SELECT date_trunc('day', ts)::TIMESTAMP AS start, count(*) AS used FROM events GROUP BY 1")
+def daily_usage(spark, d):
+    """Requests of each day; a new day begins at nought."""
+    out = streams.rate_windows(table(spark, d, "events", ["ts"]), "ts", "1 day")
+    return out.select(F.col("start").cast("timestamp_ntz").alias("start"), "used")
