@@ -91,79 +91,6 @@ sspl-1.0|server|server side public license version 1
 proprietary|proprietary|this software is proprietary and confidential
 proprietary|copying|unauthorized copying of this (file|software) via any medium is strictly prohibited
 proprietary|reproduced|no part of this (publication|work) may be reproduced
-apache-2.0|compliance|you may not use this file except in compliance with the license
-apache-2.0|apache|(http|https) www apache org licenses license 2 0
-mit|substantial|shall be included in all copies or substantial portions of the software
-mit-0|permission|permission is hereby granted free of charge .{0,200}to do so the software is provided as is
-bsd|redistributions|redistributions of source code must retain the above copyright notice this list of conditions
-bsd|redistributions|redistributions in binary form must reproduce the above copyright notice
-bsd|disclaimed|any express or implied warranties including but not limited to .{0,160} are disclaimed
-bsd-3-clause-clear|patent|no express or implied licenses to any party s patent rights are granted by this license
-zlib|misrepresented|the origin of this software must not be misrepresented
-zlib|altered|altered source versions must be plainly marked as such
-libpng|png|the png reference library is supplied as is
-curl|permission|permission to use copy modify and distribute this software for any purpose with or without fee is hereby granted provided that
-hpnd|advertising|and that the name of .{1,60} not be used in advertising or publicity pertaining to distribution of the software
-ntp|supporting|and that both the copyright notice and this permission notice appear in supporting documentation
-x11|consortium|except as contained in this notice the name of the x consortium shall not be used in advertising
-unicode|unicode|permission is hereby granted free of charge to any person obtaining a copy of the unicode data files
-icu|icu|icu license icu 1 8 1 and later
-lgpl-2.1-or-later|version|gnu lesser general public license .{0,80}either version 2 1 of the license or( at your option)? any later version
-lgpl-3.0-or-later|version|gnu lesser general public license .{0,80}either version 3 of the license or( at your option)? any later version
-lgpl-2.0-or-later|library|gnu library general public license .{0,80}either version 2 of the license or( at your option)? any later version
-agpl-3.0-or-later|affero|gnu affero general public license .{0,80}either version 3 of the license or( at your option)? any later version
-gpl-2.0-only|version|gnu general public license version 2 only
-gpl-3.0-only|version|gnu general public license version 3 only
-gpl|merchantability|implied warranty of merchantability or fitness for a particular purpose see the gnu general public license
-lgpl|merchantability|implied warranty of merchantability or fitness for a particular purpose see the gnu (lesser|library) general public license
-gpl|temple|free software foundation inc 59 temple place
-gpl|franklin|free software foundation inc 51 franklin (street|st)
-gpl-classpath|statically|linking this library statically or dynamically with other modules is making a combined work
-gpl-font-exception|font|as a special exception if you create a document which uses this font
-gcc-exception|gcc|gcc runtime library exception
-mpl-2.0|mozilla|this source code form is subject to the terms of the mozilla public license
-mpl-2.0|incompatible|incompatible with secondary licenses
-epl-2.0|eclipse|this program and the accompanying materials are made available under the terms of the eclipse public license v? ?2 0
-edl-1.0|eclipse|eclipse distribution license v ?1 0
-cddl|development|the contents of this file are subject to the terms of the common development and distribution license
-apsl-2.0|apple|subject to the apple public source license version 2 0
-ipl-1.0|ibm|made available under the terms of the ibm public license v1 0
-cpl-1.0|common|made available under the terms of the common public license v1 0
-osl-3.0|open|licensed under the open software license version 3 0
-afl-3.0|academic|licensed under the academic free license version 3 0
-ecl-2.0|educational|licensed under the educational community license version 2 0
-upl-1.0|universal|licensed under the universal permissive license v ?1 0
-bsl-1.0|organization|permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation
-cecill|cecill|this software is governed by the cecill( b| c)? license
-eupl-1.1|eupl|licensed under the eupl version 1 1
-mulan-2.0|mulan|licensed under mulan psl v2
-commons-clause|licensor|the software is provided to you by the licensor under the license as defined below subject to the following condition
-polyform|polyform|polyform (noncommercial|small business|shield|strict) license 1 0 0
-fair-source|source|functional source license version 1 1
-llama|llama|llama [0-9]( [0-9])? community license agreement
-openrail|rail|(creativeml|bigscience|bigcode) open rail m( license)?
-data-ca|data|community data license agreement (permissive|sharing) version [12] 0
-odc-by-1.0|commons|made available under the open data commons attribution license
-pddl-1.0|dedication|made available under the public domain dedication and license
-ogl-uk-3.0|government|licensed under the open government licence v ?3 0
-ogl-uk|sector|contains public sector information licensed under the open government licence
-etalab-2.0|licence|licence ouverte open licence version 2 0
-dl-de-by-2.0|deutschland|datenlizenz deutschland namensnennung version 2 0
-cc-by-sa-3.0|attribution|text is available under the creative commons attribution share ?alike license
-cc-by-4.0|creativecommons|creativecommons org licenses by 4 0
-cc-by-sa-4.0|creativecommons|creativecommons org licenses by sa 4 0
-cc-by-nc-4.0|creativecommons|creativecommons org licenses by nc 4 0
-cc-by-nc-sa-4.0|creativecommons|creativecommons org licenses by nc sa 4 0
-cc-by-nc-nd-4.0|creativecommons|creativecommons org licenses by nc nd 4 0
-cc0-1.0|creativecommons|creativecommons org publicdomain zero 1 0
-public-domain|domain|(hereby )?(dedicate|release)s? .{0,60} to the public domain
-public-domain|copyright|no copyright( is)? claimed
-us-government|government|work of the united states government
-proprietary|trade|contains (confidential|proprietary) .{0,40}trade secrets
-proprietary|disclosure|use duplication or disclosure by the government is subject to restrictions
-proprietary|engineer|you may not (copy )?reverse engineer decompile or disassemble
-proprietary|evaluation|for evaluation (purposes )?only
-proprietary|prior|without the prior written (consent|permission) of
 """
 
 _NAMES = """
@@ -208,26 +135,6 @@ ms-rl|microsoft|microsoft reciprocal licen[sc]e
 odbl-1.0|database|open database licen[sc]e
 pddl-1.0|domain|public domain dedication and licen[sc]e
 cc0-1.0|cc0|cc0( 1 0)?
-gfdl-1.1|documentation|free documentation licen[sc]e( version| v)? ?1 1
-gfdl-1.2|documentation|free documentation licen[sc]e( version| v)? ?1 2
-gfdl-1.3|documentation|free documentation licen[sc]e( version| v)? ?1 3
-gpl-1.0|general|general public licen[sc]e( version| v)? ?1( 0)?
-ipl-1.0|ibm|ibm public licen[sc]e( version| v)? ?1 0
-ecl-2.0|educational|educational community licen[sc]e( version| v)? ?2 0
-upl-1.0|permissive|universal permissive licen[sc]e( version| v)? ?1 0
-apsl-2.0|apple|apple public source licen[sc]e( version| v)? ?2 0
-lppl-1.3c|latex|latex project public licen[sc]e( version| v)? ?1 3c?
-qpl-1.0|qpl|qpl( version| v)? ?1 0
-psf-2.0|python|python software foundation licen[sc]e( version| v)? ?2( 0)?
-php-3.01|php|php licen[sc]e( version| v)? ?3 01
-w3c|w3c|w3c software( notice and)? licen[sc]e
-sspl-1.0|sspl|sspl( version| v)? ?1( 0)?
-busl-1.1|busl|busl( version| v)? ?1 1
-mulan-2.0|mulan|mulan permissive software licen[sc]e( version| v)? ?2
-ncsa|ncsa|(university of illinois )?ncsa open source licen[sc]e
-cecill-2.1|cecill|cecill( version| v)? ?2 1
-ogl-uk-3.0|government|open government licen[sc]e( version| v)? ?3 0
-cc-pdm|creative|creative commons public domain mark( 1 0)?
 """
 
 _BARE = """
@@ -261,16 +168,6 @@ ruby|ruby|ruby licen[sc]e
 openssl|openssl|openssl licen[sc]e
 postgresql|postgresql|postgresql licen[sc]e
 ncsa|illinois|university of illinois ncsa open source licen[sc]e
-curl|curl|curl licen[sc]e
-lppl|latex|latex project public licen[sc]e
-sspl|server|server side public licen[sc]e
-busl|business|business source licen[sc]e
-elastic|elastic|elastic licen[sc]e
-ogl|government|open government licen[sc]e
-cecill|cecill|cecill( b| c)?
-mulan|mulan|mulan (psl|permissive software licen[sc]e)
-polyform|polyform|polyform licen[sc]e
-openrail|openrail|openrail( m)?
 """
 
 _HINTS = """
