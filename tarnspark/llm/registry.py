@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import common, edit_embedding, embedding_dedup, langid, license_rules, license_scan, line_dedup, mixing, near_dedup, packing, substring_dedup, tokens
+from . import common, edit_embedding, embedding_dedup, fim, langid, license_rules, license_scan, line_dedup, mixing, near_dedup, packing, resampling, substring_dedup, tokens
 
 
 def op1_license_scan(spark, sf_dir):
@@ -45,6 +45,14 @@ def op10_packing(spark, sf_dir):
     return packing.pack_documents(common.documents(spark, sf_dir))
 
 
+def op11_fill_in_middle(spark, sf_dir):
+    return fim.digest(common.documents(spark, sf_dir))
+
+
+def op12_resampling(spark, sf_dir):
+    return resampling.resample(common.documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def pipeline(spark, sf_dir):
     import corpus_pipeline
 
@@ -52,7 +60,7 @@ def pipeline(spark, sf_dir):
 
 
 def queries():
-    found = (op1_license_scan, op2_language_id, op3_substring_dedup, op4_mixing, op5_edit_embedding, op6_embedding_dedup, op7_near_dedup, op8_token_counts, op9_line_dedup, op10_packing, pipeline)
+    found = (op1_license_scan, op2_language_id, op3_substring_dedup, op4_mixing, op5_edit_embedding, op6_embedding_dedup, op7_near_dedup, op8_token_counts, op9_line_dedup, op10_packing, op11_fill_in_middle, op12_resampling, pipeline)
     return {f.__name__: f for f in found}
 
 
