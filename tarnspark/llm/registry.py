@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from . import common, edit_embedding, embedding_dedup, fim, langid, license_rules, license_scan, line_dedup, mixing, near_dedup, packing, resampling, substring_dedup, tokens
+from pyspark.sql import functions as F
+
+from . import common, edit_embedding, embedding_dedup, fim, langid, license_rules, license_scan, line_dedup, mixing, near_dedup, packing, pivot_index, resampling, substring_dedup, tokens
 
 
 def op1_license_scan(spark, sf_dir):
@@ -53,6 +55,10 @@ def op12_resampling(spark, sf_dir):
     return resampling.resample(common.documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+def op13_nearest_neighbours(spark, sf_dir):
+    return pivot_index.nearest(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), F.col("vec_id") % 100 == 0)
+
+
 def pipeline(spark, sf_dir):
     import corpus_pipeline
 
@@ -60,7 +66,7 @@ def pipeline(spark, sf_dir):
 
 
 def queries():
-    found = (op1_license_scan, op2_language_id, op3_substring_dedup, op4_mixing, op5_edit_embedding, op6_embedding_dedup, op7_near_dedup, op8_token_counts, op9_line_dedup, op10_packing, op11_fill_in_middle, op12_resampling, pipeline)
+    found = (op1_license_scan, op2_language_id, op3_substring_dedup, op4_mixing, op5_edit_embedding, op6_embedding_dedup, op7_near_dedup, op8_token_counts, op9_line_dedup, op10_packing, op11_fill_in_middle, op12_resampling, op13_nearest_neighbours, pipeline)
     return {f.__name__: f for f in found}
 
 
