@@ -109,5 +109,42 @@ both_ways AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links), nodes AS
 SELECT v.vec_id, (SELECT count(*) FROM both_ways WHERE a = v.vec_id) AS n_links, m AS component_id, m = v.vec_id AS kept FROM v JOIN (SELECT d, min(r) AS m FROM reach GROUP BY 1) ON d = v.vec_id"""
 
 
+_FIM_SQL = r"""WITH u AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') AS units, sha256('42:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS x FROM documents),
+h AS (SELECT *, len(units) AS n, CAST('0x' || substr(x, 1, 8) AS BIGINT) AS h1, CAST('0x' || substr(x, 9, 8) AS BIGINT) AS h2, CAST('0x' || substr(x, 17, 8) AS BIGINT) AS h3, CAST('0x' || substr(x, 25, 8) AS BIGINT) AS h4 FROM u),
+f AS (SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b,
+  CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h3 % 100 >= 50 THEN 'plain' WHEN h4 % 100 < 80 THEN 'spm' ELSE 'psm' END AS form FROM h),
+p AS (SELECT *, array_to_string(list_slice(units, 1, a), '') AS prefix, array_to_string(list_slice(units, a + 1, b), '') AS middle, array_to_string(list_slice(units, b + 1, n), '') AS suffix FROM f)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(prefix) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(middle) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256, sha256(text) AS restored_sha256 FROM p"""
+
+
+def _crc32(text: str) -> str:
+    """SQL of the unsigned crc32 of a text's UTF-8 bytes."""
+    table = []
+    for x in range(256):
+        for _ in range(8):
+            x = x >> 1 ^ (0xEDB88320 if x & 1 else 0)
+        table.append(str(x))
+    data = f"list_transform(range(0, octet_length(encode({text}))), lambda i: CAST('0x' || substr(hex(encode({text})), 2 * i + 1, 2) AS BIGINT))"
+    return f"xor(list_reduce(list_prepend(4294967295::BIGINT, {data}), lambda c, b: xor(c >> 8, list_extract([{', '.join(table)}], xor(c & 255, b) + 1))), 4294967295)"
+
+
+_RESAMPLING_SQL = f"""WITH t AS (SELECT true AS own, doc_id, text FROM documents UNION ALL SELECT false, item_id, text FROM benchmark),
+w AS (SELECT row_number() OVER () AS r, own, doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM t),
+o AS (SELECT r, own, unnest(w) AS a, unnest(list_slice(w, 2, len(w))) AS b, unnest(list_slice(w, 3, len(w))) AS c FROM w),
+f AS (SELECT r, own, unnest([a, a || ' ' || b, a || ' ' || b || ' ' || c]) AS g FROM o),
+n AS (SELECT r, own, g, count(*) AS n FROM f WHERE g IS NOT NULL GROUP BY 1, 2, 3),
+d AS (SELECT g, {_crc32('g')} % 10000 AS bucket FROM (SELECT DISTINCT g FROM n)),
+k AS (SELECT r, own, bucket, sum(n) AS n FROM n JOIN d USING (g) GROUP BY 1, 2, 3),
+s AS (SELECT bucket, sum(n) FILTER (WHERE own) AS s, coalesce(sum(n) FILTER (WHERE NOT own), 0) AS t FROM k GROUP BY 1),
+z AS (SELECT CAST(sum(s) AS DOUBLE) AS s, CAST(sum(t) AS DOUBLE) AS t FROM s),
+q AS (SELECT bucket, CAST(floor(1000 * ln((s.t + 1e0) * (z.s + 10000) / ((s.s + 1e0) * (z.t + 10000)))) AS BIGINT) AS gain FROM s, z WHERE s.s IS NOT NULL),
+v AS (SELECT r, sum(n) AS n, sum(n * gain) AS weight FROM k JOIN q USING (bucket) WHERE own GROUP BY 1),
+x AS (SELECT doc_id, len(w) >= 20 AS able, CAST(coalesce(v.n, 0) AS BIGINT) AS n_features, CAST(coalesce(weight, 0) AS BIGINT) AS weight, CAST('0x' || substr(sha256('42:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 8) AS BIGINT) AS h FROM w LEFT JOIN v USING (r) WHERE own),
+y AS (SELECT *, weight + CAST(floor(-1000 * ln(-ln((h + 0.5e0) / 4294967296e0))) AS BIGINT) AS score FROM x),
+ranks AS (SELECT *, row_number() OVER (PARTITION BY able ORDER BY score DESC, doc_id) AS p, count(*) OVER (PARTITION BY able) * 5 // 100 AS m FROM y)
+SELECT doc_id, n_features, weight, score, CASE WHEN able AND p <= m THEN p END AS rank FROM ranks"""
+
+
 def oracle_sql():
-    return {"op1_license_scan": _license_sql(), "op6_embedding_dedup": _VECTOR_SQL, "op7_near_dedup": _NEAR_SQL}
+    return {"op1_license_scan": _license_sql(), "op6_embedding_dedup": _VECTOR_SQL, "op7_near_dedup": _NEAR_SQL, "op11_fill_in_middle": _FIM_SQL, "op12_resampling": _RESAMPLING_SQL}
