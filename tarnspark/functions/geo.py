@@ -132,10 +132,13 @@ def in_rings(lng, lat, rings) -> Column:
     return F.size(F.filter(F.flatten(F.transform(_c(rings), _edges)), crosses)) % 2 == 1
 
 
+def signed_area(ring) -> Column:
+    """Planar area in square degrees, by the shoelace formula; negative for a ring that goes clockwise."""
+    return F.aggregate(_edges(_c(ring)), F.lit(0.0), lambda s, e: s + e["a"]["lng"] * e["b"]["lat"] - e["b"]["lng"] * e["a"]["lat"]) / 2
+
+
 def ring_area(ring) -> Column:
-    """Planar area in square degrees, by the shoelace formula."""
-    total = F.aggregate(_edges(_c(ring)), F.lit(0.0), lambda s, e: s + e["a"]["lng"] * e["b"]["lat"] - e["b"]["lng"] * e["a"]["lat"])
-    return F.abs(total) / 2
+    return F.abs(signed_area(ring))
 
 
 def area_sq_m(ring, lat) -> Column:

@@ -7,11 +7,11 @@ from pyspark.sql import functions as F
 
 from ..functions.geo import ring_area, spheroid_distance
 from ..functions.text import percent, state_of
-from .cells import in_polygons
+from .cover import in_polygons
 from .ledger import insert_ignore
 
 
-def geocode(sites: DataFrame, polygons: DataFrame, column: str, size: float = 0.5, where: Column | None = None, batch: int | None = None) -> DataFrame:
+def geocode(sites: DataFrame, polygons: DataFrame, column: str, where: Column | None = None, batch: int | None = None) -> DataFrame:
     """sites with ``column`` filled from the polygon around them where it is null; of several the smallest, then by code.
 
     ``where`` restricts the sites that may be filled. With ``batch`` only so many of them are, the first by id.
@@ -19,7 +19,7 @@ def geocode(sites: DataFrame, polygons: DataFrame, column: str, size: float = 0.
     area = F.aggregate(F.transform("rings", ring_area), F.lit(0.0), lambda s, a: s + a)
     open_ = sites.where(F.col(column).isNull() & F.col("lat").isNotNull() & (F.lit(True) if where is None else F.coalesce(where, F.lit(False)))).select("site_id", "lat", "lng")
     open_ = open_.orderBy("site_id").limit(batch) if batch else open_
-    found = in_polygons(open_, polygons.withColumn("_area", area), size).groupBy("site_id").agg(F.min(F.struct("_area", "code")).alias("_p"))
+    found = in_polygons(open_, polygons.withColumn("_area", area)).groupBy("site_id").agg(F.min(F.struct("_area", "code")).alias("_p"))
     joined = sites.join(found, "site_id", "left")
     return joined.withColumn(column, F.coalesce(column, "_p.code")).drop("_p").select(*sites.columns)
 
@@ -33,15 +33,15 @@ def state_code(code: Column, postal: Column, name: Column) -> Column:
 COUNTIES_IN = ("US", "United States", "USA")
 
 
-def geocode_levels(sites: DataFrame, countries: DataFrame, states: DataFrame, counties: DataFrame, size: float = 0.5, batch: int | None = None) -> DataFrame:
+def geocode_levels(sites: DataFrame, countries: DataFrame, states: DataFrame, counties: DataFrame, batch: int | None = None) -> DataFrame:
     """sites with country, state and county filled in this order where they are null.
 
     countries: rings, code. states: rings, iso, postal, name. counties: rings, longer, name; they are looked up for sites of one
     country only, by what the first step found.
     """
-    out = geocode(sites, countries, "country", size, batch=batch)
-    out = geocode(out, states.withColumn("code", state_code(F.col("iso"), F.col("postal"), F.col("name"))), "state", size, batch=batch)
-    return geocode(out, counties.withColumn("code", F.coalesce("longer", "name")), "county", size, F.col("country").isin(*COUNTIES_IN), batch)
+    out = geocode(sites, countries, "country", batch=batch)
+    out = geocode(out, states.withColumn("code", state_code(F.col("iso"), F.col("postal"), F.col("name"))), "state", batch=batch)
+    return geocode(out, counties.withColumn("code", F.coalesce("longer", "name")), "county", F.col("country").isin(*COUNTIES_IN), batch)
 
 
 def attempted(sites: DataFrame, found: DataFrame, column: str, now: Column) -> DataFrame:
@@ -56,10 +56,10 @@ def attempted(sites: DataFrame, found: DataFrame, column: str, now: Column) -> D
     return out.withColumn(column, F.coalesce(column, F.col("_value"))).drop("_value", "_asked")
 
 
-def tag_lands(sites: DataFrame, lands: DataFrame, tagged: DataFrame, size: float = 0.5) -> DataFrame:
+def tag_lands(sites: DataFrame, lands: DataFrame, tagged: DataFrame) -> DataFrame:
     """(site_id, poly_id) of sites that have no tag yet and the lands around them."""
     fresh = sites.join(tagged.select("site_id").distinct(), "site_id", "left_anti")
-    return in_polygons(fresh.select("site_id", "lat", "lng"), lands, size).select("site_id", "poly_id").distinct()
+    return in_polygons(fresh.select("site_id", "lat", "lng"), lands).select("site_id", "poly_id").distinct()
 
 
 def provenance(site_id: Column, known: Column) -> Column:

@@ -64,6 +64,34 @@ POLYGONS = """polygons AS (SELECT CAST(n_nationkey AS VARCHAR) AS poly_id, n_nam
   37e0 + (n_nationkey//5)*0.8e0 AS south, -109e0 + (n_nationkey%5)*1.4e0 + 1.4e0 AS east, 37e0 + (n_nationkey//5)*0.8e0 + 0.8e0 AS north, n_nationkey AS key FROM nation)"""
 
 
+def coasts(spark: SparkSession, d: str) -> DataFrame:
+    """A wavy polygon with a hole for each hundred customers, a corner for each of their orders; the hole goes the other way."""
+    k = F.floor(F.col("o_custkey") / 100).cast("long")
+    own = Window.partitionBy("coast_id")
+    rows = table(spark, d, "orders", ["o_orderkey", "o_custkey"]).select(k.alias("coast_id"), "o_orderkey")
+    rows = rows.withColumn("i", F.row_number().over(own.orderBy("o_orderkey"))).withColumn("n", F.count("*").over(own))
+    a = 2 * 3.141592653589793 * (F.col("i") - 0.5) / F.col("n")
+    r = 0.6 + 0.15 * F.cos(3 * a) + F.col("o_orderkey") % 10 / 10.0 / F.col("n")
+    at = lambda size: F.struct(F.col("i"), F.round(-109.0 + (F.col("coast_id") * 53) % 70 / 10.0 + size * r * F.cos(a), 9).alias("lng"), F.round(37.0 + (F.col("coast_id") * 37) % 40 / 10.0 + size * r * F.sin(a), 9).alias("lat"))
+    rings = rows.groupBy("coast_id").agg(*[F.array_sort(F.collect_list(at(size))).alias(name) for name, size in (("_outer", 1.0), ("_hole", 0.4))])
+    closed = lambda c: F.transform(F.concat(c, F.slice(c, 1, 1)), lambda p: F.struct(p["lng"].alias("lng"), p["lat"].alias("lat")))
+    return rings.select("coast_id", F.array(closed(F.col("_outer")), F.reverse(closed(F.col("_hole")))).alias("rings"))
+
+
+COASTS = """numbered AS (SELECT o_custkey//100 AS coast_id, o_orderkey, row_number() OVER (PARTITION BY o_custkey//100 ORDER BY o_orderkey) AS i, count(*) OVER (PARTITION BY o_custkey//100) AS n FROM orders),
+turns AS (SELECT *, 2*3.141592653589793e0*(i-0.5e0)/n AS a FROM numbered), waves AS (SELECT *, 0.6e0+0.15e0*cos(3*a)+o_orderkey%10/10e0/n AS r FROM turns),
+corners AS (SELECT coast_id, ring, i, round(-109e0+(coast_id*53)%70/10e0+size*r*cos(a), 9) AS lng, round(37e0+(coast_id*37)%40/10e0+size*r*sin(a), 9) AS lat FROM waves, (VALUES (1, 1e0), (2, 0.4e0)) AS s(ring, size))"""
+
+
+def spots(spark: SparkSession, d: str) -> DataFrame:
+    """A place for each customer."""
+    c = F.col("c_custkey")
+    return table(spark, d, "customer", ["c_custkey"]).select(c.alias("spot_id"), (37.0031 + (c * 379) % 4001 / 1000.0).alias("lat"), (-108.9967 + (c * 547) % 7001 / 1000.0).alias("lng"))
+
+
+SPOTS = "spots AS (SELECT c_custkey AS spot_id, 37.0031e0 + ((c_custkey*379)%4001)/1000e0 AS lat, -108.9967e0 + ((c_custkey*547)%7001)/1000e0 AS lng FROM customer)"
+
+
 def places(spark: SparkSession, d: str) -> DataFrame:
     """A point for each supplier, away from the polygons' edges."""
     s = F.col("s_suppkey")

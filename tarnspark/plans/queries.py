@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import geo, scores, text, times
-from ..operators import catalog, cells, claims, ledger, matching, ml, progress, queue, raster, visits
+from ..operators import catalog, cells, claims, cover, ledger, matching, ml, progress, queue, raster, visits
 from ..sources.readers import table
 from ..streaming import events as streams
 from . import lens
@@ -133,7 +133,25 @@ def site_within_exists(spark, d):
 
 @query(f"WITH {lens.PLACES}, {lens.POLYGONS} SELECT site_id, poly_id, code FROM places p JOIN polygons g ON p.lng>g.west AND p.lng<g.east AND p.lat>g.south AND p.lat<g.north")
 def point_in_polygon(spark, d):
-    return cells.in_polygons(lens.places(spark, d), lens.polygons(spark, d)).select("site_id", "poly_id", "code")
+    return cover.in_polygons(lens.places(spark, d), lens.polygons(spark, d)).select("site_id", "poly_id", "code")
+
+
+@query(f"""WITH {lens.COASTS}, {lens.SPOTS}, ends AS (SELECT *, coalesce(lead(lng) OVER w, first(lng) OVER w) AS lng2, coalesce(lead(lat) OVER w, first(lat) OVER w) AS lat2 FROM corners WINDOW w AS (PARTITION BY coast_id, ring ORDER BY i)),
+hits AS (SELECT spot_id, coast_id, count(*) AS n FROM spots p JOIN ends e ON (e.lat>p.lat)<>(e.lat2>p.lat) AND p.lng<(e.lng2-e.lng)*(p.lat-e.lat)/(e.lat2-e.lat)+e.lng GROUP BY 1,2)
+SELECT spot_id, coast_id FROM hits WHERE n%2=1""")
+def point_in_large_polygon(spark, d):
+    """Places in polygons of a thousand corners or so, with holes."""
+    return cover.in_polygons(lens.spots(spark, d), lens.coasts(spark, d)).select("spot_id", "coast_id")
+
+
+@query(f"""WITH {lens.COASTS} SELECT coast_id, round(abs(sum(CASE WHEN ring=1 THEN a ELSE -a END)),6) AS area FROM (SELECT coast_id, ring, abs(sum(lng*lat2-lng2*lat))/2 AS a FROM
+  (SELECT *, coalesce(lead(lng) OVER w, first(lng) OVER w) AS lng2, coalesce(lead(lat) OVER w, first(lat) OVER w) AS lat2 FROM corners WINDOW w AS (PARTITION BY coast_id, ring ORDER BY i)) GROUP BY 1,2) GROUP BY 1""")
+def polygon_cover_area(spark, d):
+    """A cover's whole cells and the clipped rings of the others have the polygon's area."""
+    cells_of = cover.cover(lens.coasts(spark, d))
+    clipped = F.aggregate("rings", F.lit(0.0), lambda s, r: s + geo.signed_area(r))
+    own = cells_of.withColumn("_a", F.when(F.col("whole"), F.pow(360.0 / F.pow(F.lit(2.0), F.col("level")), 2)).otherwise(clipped))
+    return own.groupBy("coast_id").agg(F.round(F.sum("_a"), 6).alias("area"))
 
 
 @query(f"WITH {lens.PLACES}, {lens.POLYGONS} SELECT p.site_id, coalesce(p.country, min(g.code)) AS country FROM places p LEFT JOIN polygons g ON p.lng>g.west AND p.lng<g.east AND p.lat>g.south AND p.lat<g.north GROUP BY p.site_id, p.country")

@@ -5,7 +5,7 @@ import random
 from pyspark.sql import functions as F
 
 from tarnspark.functions import geo, text
-from tarnspark.operators import cells, claims, ledger, matching, ml, raster
+from tarnspark.operators import cells, claims, cover, ledger, matching, ml, raster
 
 
 def test_cells_meet_every_pair(spark):
@@ -74,7 +74,7 @@ def test_polygon_with_a_hole(spark):
     ring = lambda a, b: [(a, a), (b, a), (b, b), (a, b), (a, a)]
     polygon = spark.createDataFrame([("p", [ring(0.0, 4.0), ring(1.0, 2.0)])], "poly_id string, rings array<array<struct<lng:double,lat:double>>>")
     points = spark.createDataFrame([(1, 0.5, 0.5), (2, 1.5, 1.5), (3, 3.0, 3.5), (4, 5.0, 1.0)], "id int, lat double, lng double")
-    assert sorted(r.id for r in cells.in_polygons(points, polygon, 1.0).collect()) == [1, 3]
+    assert sorted(r.id for r in cover.in_polygons(points, polygon).collect()) == [1, 3]
 
 
 def test_names(spark):
