@@ -35,29 +35,42 @@ def _mean(a: Column) -> Column:
     return F.aggregate(a, F.lit(0.0), lambda s, x: s + x) / F.size(a)
 
 
+def approach_shape(n: Column, before: Column, after: Column, here: Column) -> Column:
+    """By the mean altitudes in front of and behind the closest point, and the one there; ``n`` altitudes in all."""
+    rise = here - F.least(before, after)
+    shape = F.when(rise >= 5, F.least(F.lit(1.15), 1 + rise / 100)).when(rise >= 0, 0.85).otherwise(0.6)
+    return F.when(n < 3, 0.85).otherwise(shape)
+
+
+def approach_split(n: Column, nearest: Column) -> Column:
+    """How many of n altitudes count as in front of the closest point."""
+    return F.least(F.greatest(F.lit(1), nearest), n - 1)
+
+
 def approach_score(altitudes: Column, nearest: Column) -> Column:
     """``altitudes``: samples within reach in order; ``nearest``: the closest point's index behind the visit's first."""
     n = F.size(altitudes)
-    at = F.least(F.greatest(F.lit(1), nearest), n - 1)
+    at = approach_split(n, nearest)
     before, after = _mean(F.slice(altitudes, F.lit(1), at)), _mean(F.slice(altitudes, at + 1, n))
     here = F.when((nearest >= 0) & (nearest < n), F.get(altitudes, nearest)).otherwise((before + after) / 2)
-    rise = here - F.least(before, after)
-    shape = F.when(rise >= 5, F.least(F.lit(1.15), 1 + rise / 100)).when(rise >= 0, 0.85).otherwise(0.6)
-    return F.when(n < 3, 0.85).otherwise(shape)
+    return approach_shape(n, before, after, here)
 
 
 def dwell_score(samples: Column, seconds: Column) -> Column:
     return 0.7 + 0.3 * F.greatest(F.least(F.lit(1.0), samples / 5.0), F.least(F.lit(1.0), seconds / 45.0))
 
 
-def confidence(mode_column: Column, metres: Column, samples: Column, seconds: Column, altitudes: Column, nearest: Column, elevation: Column) -> Column:
+def confidence_of(mode_column: Column, metres: Column, samples: Column, seconds: Column, mean: Column, approach: Column, elevation: Column) -> Column:
     base = distance_score(metres) * dwell_score(samples, seconds)
-    approach = approach_score(altitudes, nearest)
-    mean = F.when(F.size(altitudes) > 0, _mean(altitudes))
     full = F.when(mode_column == "A", base * elevation_score(mean, elevation) * approach).when(mode_column == "B", base * approach).otherwise(base)
     return F.least(F.lit(1.0), full)
 
 
+def confidence(mode_column: Column, metres: Column, samples: Column, seconds: Column, altitudes: Column, nearest: Column, elevation: Column) -> Column:
+    mean = F.when(F.size(altitudes) > 0, _mean(altitudes))
+    return confidence_of(mode_column, metres, samples, seconds, mean, approach_score(altitudes, nearest), elevation)
+
+
 def visit_class(score: Column, mode_column: Column) -> Column:
     return F.when(score < REJECT, "reject").when(score < by_mode(mode_column, ACCEPT), "confirm").otherwise("accept")
 
