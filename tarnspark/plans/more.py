@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 
 from pyspark.sql import DataFrame
@@ -9,8 +10,8 @@ from pyspark.sql import functions as F
 
 from ..functions import geo, scores, text, times
 from ..operators import batches, catalog, lands, ledger, ml, pages, predicates, progress, queue, raster, updates, visits
-from ..session import cut
-from ..sources import readers, sinks
+from ..session import cut, shared_folder
+from ..sources import commits, readers, sinks
 from ..sources.readers import table
 from ..streaming import events as streams
 from . import lens
@@ -348,6 +349,25 @@ def collection_load(spark, d):
     return one.unionByName(own.agg(F.lit("members").alias("tbl"), F.count("*").alias("n"), F.lit(None).cast("long").alias("in_state"), F.lit(None).cast("double").alias("lats")))
 
 
+@query(f"""WITH {_REVIEWED}, n AS (SELECT *, CASE WHEN use='matched' THEN site_id ELSE 'x'||substr(sha256('Colorado:'||name),1,24) END AS id FROM u WHERE use<>'left_out')
+SELECT 'sites' AS tbl, p.site_id, 'n' AS name, coalesce(nullif(n.lat,0e0),1e0) AS lat, CASE WHEN n.id IS NULL THEN 1e0 ELSE 1000e0 END AS elevation, CAST(NULL AS VARCHAR) AS state FROM (SELECT CAST(p_partkey AS VARCHAR) AS site_id FROM part) p LEFT JOIN n ON n.id=p.site_id
+UNION ALL SELECT 'sites', id, name, lat, 1000e0, 'CO' FROM n WHERE use='created' UNION ALL SELECT 'members', id, NULL, NULL, NULL, NULL FROM n UNION ALL SELECT 'members', 'other', NULL, NULL, NULL, NULL""")
+def collection_load_committed(spark, d):
+    """The same load, as one commit of both tables, read back row by row."""
+    catalogue = table(spark, d, "part", ["p_partkey"]).select(F.col("p_partkey").cast("string").alias("site_id"), F.lit("n").alias("name"), F.lit(1.0).alias("lat"), F.lit(1.0).alias("lng"), F.lit(1.0).alias("elevation"), F.lit(None).cast("string").alias("state"))
+    members = spark.createDataFrame([(7, "old"), (8, "other")], "collection_id long, site_id string")
+    store = commits.Store(spark, f"{shared_folder(spark)}/store-{uuid.uuid4().hex}")
+    store.commit(lambda view: {"sites": commits.Change(catalogue), "members": commits.Change(members)})
+
+    def load(view):
+        sites, own = catalog.load_collection(view.read("sites"), view.read("members"), 7, _reviewed(spark, d), "Colorado", move=True)
+        return {"sites": commits.Change(sites), "members": commits.Change(own)}
+
+    store.commit(load)
+    sites = store.read("sites").select(F.lit("sites").alias("tbl"), "site_id", "name", "lat", "elevation", "state")
+    return sites.unionByName(store.read("members").select(F.lit("members").alias("tbl"), "site_id"), allowMissingColumns=True)
+
+
 @query(f"WITH {_REVIEWED} SELECT count(*) AS total, count(*) FILTER (WHERE confidence='high') AS high, count(*) FILTER (WHERE confidence='medium') AS medium, count(*) FILTER (WHERE confidence='low') AS low, count(*) FILTER (WHERE confidence='none') AS none, round(100e0*count(*) FILTER (WHERE confidence<>'none')/count(*),1) AS matched_percent FROM m")
 def review_counts(spark, d):
     return catalog.review_counts(_reviewed(spark, d))

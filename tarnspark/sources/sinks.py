@@ -1,29 +1,11 @@
-"""Sinks: new versions of tables, appends, files by outcome."""
+"""Sinks: files by outcome, CSV, JSON lines, messages in batches, bucketed tables. Appends and new versions are in commits.py."""
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
-def append(df: DataFrame, path: str) -> None:
-    df.write.mode("append").parquet(path)
-
-
-def replace_partitions(df: DataFrame, path: str, by: list[str]) -> None:
-    """Overwrite only the partitions that df has rows of."""
-    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by).parquet(path)
-
-
-def new_version(df: DataFrame, root: str) -> str:
-    """Write a table's next version next to the one it may be read from; the caller moves its pointer to the returned path."""
-    path = f"{root}/v-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return path
-
-
 def by_outcome(df: DataFrame, path: str, column: str = "outcome") -> None:
     df.write.mode("overwrite").partitionBy(column).json(path)
 
