@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import geo, scores, text, times
-from ..operators import batches, catalog, lands, ledger, ml, pages, predicates, progress, queue, raster, updates, visits
+from ..operators import batches, catalog, lands, ledger, ml, pages, predicates, progress, queue, raster, repair, updates, visits
 from ..session import cut, shared_folder
 from ..sources import commits, readers, sinks
 from ..sources.readers import table
@@ -17,6 +17,33 @@ from ..streaming import events as streams
 from . import lens
 from .queries import _hav, _r, query
 
+# --- geometry -----------------------------------------------------------------------------------
+
+
+def _broken(spark, d) -> DataFrame:
+    """A polygon for each part: a square, a bow tie, a square with two holes that overlap, squares with a common edge, or one with repeated corners."""
+    k = F.col("p_partkey")
+    size, west, south = (1 + k % 3).cast("double"), (k % 300 - 150).cast("double"), (k % 160 - 80).cast("double")
+
+    def ring(*corners):
+        return F.array(*[F.struct((west + size * x).alias("lng"), (south + size * y).alias("lat")) for x, y in corners])
+
+    square = lambda x, y, side: ring((x, y), (x + side, y), (x + side, y + side), (x, y + side), (x, y))
+    shapes = [F.array(square(0, 0, 1)), F.array(ring((0, 0), (1, 1), (1, 0), (0, 1), (0, 0))), F.array(square(0, 0, 1), square(0.25, 0.25, 0.5), square(0.5, 0.5, 0.25)), F.array(square(0, 0, 0.5), square(0.5, 0, 0.5)), F.array(ring((0, 0), (0, 0), (1, 0), (1, 0), (1, 1), (0, 1), (0, 0)))]
+    rings = shapes[-1]
+    for i, shape in enumerate(shapes[:-1]):
+        rings = F.when(k % 5 == i, shape).otherwise(rings)
+    return table(spark, d, "part", ["p_partkey"]).select(k.alias("poly_id"), rings.alias("rings"))
+
+
+@query("SELECT p_partkey AS poly_id, CASE WHEN p_partkey%5=0 THEN 'valid' ELSE 'repaired' END AS repair, CAST(CASE p_partkey%5 WHEN 1 THEN 2 WHEN 2 THEN 2 ELSE 1 END AS INTEGER) AS rings, round((1+p_partkey%3)*(1+p_partkey%3)*(CASE p_partkey%5 WHEN 1 THEN 0.5e0 WHEN 2 THEN 0.8125e0 WHEN 3 THEN 0.5e0 ELSE 1e0 END),5) AS area FROM part")
+def repair_geometries(spark, d):
+    """Areas of what the even-odd rule fills; holes of the results go the other way and count against it."""
+    found = repair.repair(_broken(spark, d))
+    area = F.aggregate("rings", F.lit(0.0), lambda s, r: s + geo.signed_area(r))
+    return found.select("poly_id", "repair", F.size("rings").alias("rings"), F.round(area, 5).alias("area"))
+
+
 # --- places in text -----------------------------------------------------------------------------
 
 _LAT, _LNG = "(37+(s_suppkey*37)%40)", "(100+(s_suppkey*53)%70)"
