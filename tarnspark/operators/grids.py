@@ -3,7 +3,7 @@
 A raster (tile_id) is cut into square blocks. For an operator that looks ``halo`` cells far each block sends its neighbours the strip
 of its border that they need: one exchange by block, in which a cell of the border travels up to four times and all others once.
 A task then has a block with its halo as one array and works on whole arrays. Results are those of the operators in ``raster``
-over the whole raster, to the last cell, and no group is larger than a block with its halo.
+over the whole raster, to the last cell, and no group is larger than a block with its halo. For many small rasters ``raster`` is the faster: a block costs some milliseconds.
 """
 
 from __future__ import annotations
@@ -87,7 +87,9 @@ def focal(cells: DataFrame, halo: int, work: Callable[[np.ndarray, dict], dict[s
         return pd.DataFrame(out | {name: made[name][r, c] for name in columns})
 
     sent = blocks(cells, side).mapInPandas(send, f"tile_id {kind}, br int, bc int, at_row int, at_col int, height int, width int, elev binary, there binary")
-    found = sent.join(bounds, "tile_id").groupBy("tile_id", "br", "bc").applyInPandas(run, f"tile_id {kind}, row int, col int, {', '.join(f'{c} double' for c in ['elev', *columns])}")
+    # strips for blocks beyond the raster's bounds go nowhere
+    inside = [F.col(f"b{c[0]}").between(F.floor(F.col(f"first_{c}") / side), F.floor(F.col(f"last_{c}") / side)) for c in ("row", "col")]
+    found = sent.join(bounds, "tile_id").where(inside[0] & inside[1]).groupBy("tile_id", "br", "bc").applyInPandas(run, f"tile_id {kind}, row int, col int, {', '.join(f'{c} double' for c in ['elev', *columns])}")
     return found.select(*CELL, *[F.when(~F.isnan(c), F.col(c)).alias(c) for c in ["elev", *columns]])
 
 
