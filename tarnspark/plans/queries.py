@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import geo, scores, text, times
-from ..operators import catalog, cells, claims, cover, grids, ledger, long_visits, matching, ml, progress, queue, raster, visits
+from ..operators import catalog, cells, claims, cover, grids, knn, ledger, long_visits, matching, ml, progress, queue, raster, visits
 from ..sources.readers import table
 from ..streaming import events as streams
 from . import lens
@@ -134,6 +134,14 @@ def site_topk_nearest(spark, d):
     return near.withColumn("rank", F.row_number().over(ranked).cast("long")).where("rank <= 3").select("site_id", "near_id", _r("distance_m", 3), "rank")
 
 
+@query(f"WITH {lens.SUPPLIERS}, {lens.SPOTS}, near AS (SELECT spot_id, site_id, {_hav('p.lat', 'p.lng', 's.lat', 's.lng')} AS distance_m FROM spots p CROSS JOIN suppliers s), ranked AS (SELECT *, row_number() OVER (PARTITION BY spot_id ORDER BY distance_m, site_id) AS rank FROM near) SELECT spot_id, site_id, round(distance_m,3) AS distance_m, rank FROM ranked WHERE rank<=3")
+def site_nearest_any_distance(spark, d):
+    """The three nearest sites of each place, however far."""
+    spots = lens.spots(spark, d).withColumnRenamed("spot_id", "point_id")
+    near = knn.nearest(spots, lens.suppliers(spark, d).select("site_id", "lat", "lng"), 3)
+    return near.select(F.col("point_id").alias("spot_id"), "site_id", _r("distance_m", 3), F.col("rank").cast("long").alias("rank"))
+
+
 @query(f"WITH {lens.SUPPLIERS} SELECT a.site_id FROM suppliers a WHERE EXISTS (SELECT 1 FROM suppliers b WHERE b.key%10=1 AND {_hav('a.lat', 'a.lng', 'b.lat', 'b.lng')}<=40000)")
 def site_within_exists(spark, d):
     s = lens.suppliers(spark, d)
