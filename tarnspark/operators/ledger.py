@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.times import iso, micros
+from ..session import cut
 
 
 def _on(keys: list[str], left: str = "l", right: str = "r") -> Column:
@@ -86,26 +87,60 @@ def duplicate_pairs(visits: DataFrame, seconds: float = 300) -> DataFrame:
     return joined.select(F.col("l.visit_id").alias("id1"), F.col("r.visit_id").alias("id2"), F.col("l.activity_id").alias("activity_id"), F.col("l.site_id").alias("site_id"))
 
 
+def _next_starts(times: DataFrame, limit: int) -> DataFrame:
+    """times (_k, _us, _slot) with ``_jump``: the first time more than ``limit`` behind, null behind the last.
+
+    Slots are as wide as the limit, so it lies in the next slot, or is the first time of the first slot after that which has any.
+    """
+    slots = times.groupBy("_k", "_slot").agg(F.min("_us").alias("_first"))
+    by_slot = Window.partitionBy("_k").orderBy("_slot")
+    after = F.when(F.lead("_slot").over(by_slot) == F.col("_slot") + 1, F.lead("_first", 2).over(by_slot)).otherwise(F.lead("_first").over(by_slot))
+    slots = slots.select("_k", "_slot", after.alias("_after"))
+    # what is asked of a slot stands in front of equal times of it, as only later ones count
+    asked = times.select("_k", (F.col("_slot") + 1).alias("_slot"), (F.col("_us") + limit).alias("_at"), F.lit(0).alias("_kind"))
+    there = times.select("_k", "_slot", F.col("_us").alias("_at"), F.lit(1).alias("_kind"))
+    down = Window.partitionBy("_k", "_slot").orderBy(F.desc("_at"), "_kind").rowsBetween(Window.unboundedPreceding, -1)
+    met = asked.unionByName(there).withColumn("_next", F.last(F.when(F.col("_kind") == 1, F.col("_at")), ignorenulls=True).over(down)).where("_kind = 0")
+    near = met.select("_k", (F.col("_slot") - 1).alias("_slot"), (F.col("_at") - limit).alias("_us"), "_next")
+    return near.join(slots, ["_k", "_slot"]).select("_k", "_us", F.coalesce("_next", "_after").alias("_jump"))
+
+
+def window_starts(times: DataFrame, limit: int) -> DataFrame:
+    """(_k, _us) of the times that start a window: a key's first, and from each start the first more than ``limit`` behind it.
+
+    Starts are found by doubling: who is reached in so many jumps reaches as many more in one, so a key's rounds are the logarithm of its
+    windows. Jumps that lead nowhere go, and so does what no start of this round can use.
+    """
+    jumps = cut(_next_starts(times, limit))
+    starts = cut(jumps.groupBy("_k").agg(F.min("_us").alias("_us")))
+    while True:
+        found = starts.join(jumps, ["_k", "_us"]).where(F.col("_jump").isNotNull()).select("_k", F.col("_jump").alias("_us"))
+        more = cut(starts.unionByName(found).distinct())
+        if more.count() == starts.count():
+            return more
+        starts = more
+        onward = jumps.select("_k", F.col("_us").alias("_jump"), F.col("_jump").alias("_then"))
+        jumps = cut(jumps.where(F.col("_jump").isNotNull()).join(onward, ["_k", "_jump"]).where(F.col("_then").isNotNull()).select("_k", "_us", F.col("_then").alias("_jump")))
+
+
 def windows_from_first(visits: DataFrame, keys: list[str], seconds: float = 300) -> DataFrame:
     """visits with ``window``: a new window starts at the first row more than ``seconds`` behind its window's start.
 
-    The start of a window depends on the one before, but a row more than ``seconds`` behind the row before it starts
-    one in any case. So only the distinct times of such a run are folded, and the fold keeps the windows' starts alone.
+    Whatever a key's rows, no task or array gets more of them than those of one slot of time, but for a row for each slot. A row
+    without a time has no window; a null key is a key.
     """
-    limit = int(seconds * 1e6)
-    in_time = Window.partitionBy(*keys).orderBy("_us")
-    rows = visits.withColumn("_us", micros("ts"))
-    gap = F.coalesce((F.col("_us") - F.lag("_us").over(in_time) > limit).cast("int"), F.lit(0))
-    rows = rows.withColumn("_gap", gap).withColumn("_run", F.sum("_gap").over(in_time.rowsBetween(Window.unboundedPreceding, 0)))
-
-    def step(starts: Column, us: Column) -> Column:
-        return F.when((F.size(starts) == 0) | (us - F.element_at(starts, -1) > limit), F.concat(starts, F.array(us))).otherwise(starts)
-
-    folded = F.aggregate(F.array_sort(F.collect_set("_us")), F.array().cast("array<bigint>"), step)
-    runs = rows.groupBy(*keys, "_run").agg(folded.alias("_starts"))
-    out = rows.join(runs, [*keys, "_run"]).withColumn("_start", F.array_max(F.filter("_starts", lambda s: s <= F.col("_us"))))
-    numbered = out.withColumn("window", F.dense_rank().over(Window.partitionBy(*keys).orderBy("_start")))
-    return numbered.select(*visits.columns, "window")
+    limit = max(1, int(seconds * 1e6))
+    us = micros("ts")
+    rows = visits.withColumn("_k", F.struct(*keys)).withColumn("_us", us).withColumn("_slot", F.floor(us / limit).cast("long"))
+    times = cut(rows.where(F.col("_us").isNotNull()).select("_k", "_us", "_slot").distinct())
+    starts = window_starts(times, limit)
+    numbered = starts.withColumn("window", F.row_number().over(Window.partitionBy("_k").orderBy("_us")))
+    # starts lie more than a slot apart, so a slot has one at most, and a row's is in its own slot or in the one before
+    numbered = cut(numbered.select("_k", F.floor(F.col("_us") / limit).cast("long").alias("_slot"), F.col("_us").alias("_start"), "window"))
+    before = numbered.select("_k", (F.col("_slot") + 1).alias("_slot"), F.col("window").alias("_earlier"))
+    out = rows.join(numbered, ["_k", "_slot"], "left").join(before, ["_k", "_slot"], "left")
+    window = F.when(F.col("_start") <= F.col("_us"), F.col("window")).otherwise(F.col("_earlier"))
+    return out.select(*visits.columns, window.alias("window"))
 
 
 def keep_best(visits: DataFrame, keys: list[str], preferences: list[Column], seconds: float = 300) -> DataFrame:
