@@ -79,17 +79,17 @@ def in_rounds(rows: DataFrame, radius: float) -> DataFrame:
     return done.select("seed_id", "rank", "collided")
 
 
-def assign_unclaimed(seeds: DataFrame, candidates: DataFrame, radius: float = 50.0) -> DataFrame:
+def assign_unclaimed(seeds: DataFrame, candidates: DataFrame, radius: float = 50.0, most: int = GROUP) -> DataFrame:
     """seed_id, rank, collided of every seed with a candidate: the first by rank with no claim within ``radius``.
 
     seeds: seed_id, elevation. candidates: seed_id, rank, lat, lng. Seeds claim from the highest on, those without an
     elevation last, then by id. If all of a seed's candidates collide it keeps the first and says so. Seeds that
-    can't meet are in different groups; a group is settled in one task, or in rounds if it has more than GROUP seeds.
+    can't meet are in different groups; a group is settled in one task, or in rounds if it has more than ``most`` seeds.
     """
     rows = candidates.join(groups(candidates, radius), "seed_id").join(seeds.select("seed_id", F.col("elevation").cast("double").alias("elevation")), "seed_id")
     rows = cut(rows.withColumn("rank", F.col("rank").cast("int")))
     sizes = rows.groupBy("group").agg(F.countDistinct("seed_id").alias("members"))
-    large = sizes.where(F.col("members") > GROUP).select("group")
+    large = sizes.where(F.col("members") > most).select("group")
     kind = candidates.schema["seed_id"].dataType.simpleString()
     out = rows.join(large, "group", "left_anti").groupBy("group").applyInPandas(lambda batch: _settle(batch, radius), f"seed_id {kind}, rank int, collided boolean")
     crowded = rows.join(large, "group", "left_semi")

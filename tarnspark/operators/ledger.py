@@ -105,12 +105,31 @@ def _next_starts(times: DataFrame, limit: int) -> DataFrame:
     return near.join(slots, ["_k", "_slot"]).select("_k", "_us", F.coalesce("_next", "_after").alias("_jump"))
 
 
+#: Distinct times of a key that may be folded as one array.
+FOLD = 5000
+
+
 def window_starts(times: DataFrame, limit: int) -> DataFrame:
     """(_k, _us) of the times that start a window: a key's first, and from each start the first more than ``limit`` behind it.
 
-    Starts are found by doubling: who is reached in so many jumps reaches as many more in one, so a key's rounds are the logarithm of its
-    windows. Jumps that lead nowhere go, and so does what no start of this round can use.
+    times: _k, _us, _slot, each once. Keys of up to FOLD times are folded, each as one array; of others the starts
+    are found by doubling.
     """
+    sizes = times.groupBy("_k").agg(F.count("*").alias("_n"))
+    sized = cut(times.join(sizes, "_k"))
+
+    def step(starts: Column, us: Column) -> Column:
+        return F.when((F.size(starts) == 0) | (us - F.element_at(starts, -1) > limit), F.concat(starts, F.array(us))).otherwise(starts)
+
+    folded = F.aggregate(F.array_sort(F.collect_list("_us")), F.array().cast("array<bigint>"), step)
+    few = sized.where(F.col("_n") <= FOLD).groupBy("_k").agg(folded.alias("_starts")).select("_k", F.explode("_starts").alias("_us"))
+    many = sized.where(F.col("_n") > FOLD).drop("_n")
+    return few if many.isEmpty() else few.unionByName(doubled_starts(many, limit))
+
+
+def doubled_starts(times: DataFrame, limit: int) -> DataFrame:
+    """The same for keys of any size: who is reached in so many jumps reaches as many more in one, so the rounds are the logarithm of
+    a key's windows. Jumps that lead nowhere go."""
     jumps = cut(_next_starts(times, limit))
     starts = cut(jumps.groupBy("_k").agg(F.min("_us").alias("_us")))
     while True:
@@ -132,7 +151,7 @@ def windows_from_first(visits: DataFrame, keys: list[str], seconds: float = 300)
     limit = max(1, int(seconds * 1e6))
     us = micros("ts")
     rows = visits.withColumn("_k", F.struct(*keys)).withColumn("_us", us).withColumn("_slot", F.floor(us / limit).cast("long"))
-    times = cut(rows.where(F.col("_us").isNotNull()).select("_k", "_us", "_slot").distinct())
+    times = rows.where(F.col("_us").isNotNull()).select("_k", "_us", "_slot").distinct()
     starts = window_starts(times, limit)
     numbered = starts.withColumn("window", F.row_number().over(Window.partitionBy("_k").orderBy("_us")))
     # starts lie more than a slot apart, so a slot has one at most, and a row's is in its own slot or in the one before

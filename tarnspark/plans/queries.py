@@ -661,6 +661,25 @@ def claim_assignment(spark, d):
     return claims.assign_unclaimed(s.select("site_id", "elevation").withColumnRenamed("site_id", "seed_id"), crowded.select(F.col("site_id").alias("seed_id"), F.inline(moves)))
 
 
+_PLACES = "(lat+(r*7+k%3)/20000e0)"
+
+
+@query(f"""WITH RECURSIVE c AS (SELECT c_custkey AS k, CAST(c_custkey AS VARCHAR) AS seed_id, CASE WHEN c_custkey%9<>0 THEN c_acctbal END AS elevation,
+  CASE WHEN c_custkey%10=0 THEN 20e0+c_custkey/16000e0 ELSE 30e0+(c_custkey//7)%4000/100e0+c_custkey%7/5000e0 END AS lat, -100e0-(c_custkey//28000)/10e0 AS lng FROM customer),
+s AS (SELECT *, row_number() OVER (ORDER BY elevation DESC NULLS LAST, seed_id) AS i FROM c),
+step AS (SELECT CAST(0 AS BIGINT) AS i, CAST(NULL AS VARCHAR) AS seed_id, 0 AS rank, false AS collided, CAST([] AS STRUCT(lat DOUBLE, lng DOUBLE)[]) AS taken
+UNION ALL SELECT i, seed_id, coalesce(f, 1), f IS NULL, list_append(taken, {{'lat': lat+(coalesce(f, 1)*7+k%3)/20000e0, 'lng': lng}}) FROM (SELECT s.*, taken,
+  list_filter([1, 2, 3], lambda r: len(list_filter(taken, lambda p: {_hav(_PLACES, "lng", "p.lat", "p.lng")}<=50))=0)[1] AS f FROM step JOIN s ON s.i=step.i+1))
+SELECT seed_id, rank, collided FROM step WHERE i>0""")
+def claim_assignment_spread(spark, d):
+    """Customers in many small groups and one long chain of a tenth of them, which is settled in rounds."""
+    k = F.col("c_custkey")
+    lat = F.when(k % 10 == 0, 20.0 + k / 16000.0).otherwise(30.0 + F.floor(k / 7) % 4000 / 100.0 + k % 7 / 5000.0)
+    c = table(spark, d, "customer", ["c_custkey", "c_acctbal"]).select(k.cast("string").alias("seed_id"), k.alias("k"), F.when(k % 9 != 0, F.col("c_acctbal")).alias("elevation"), lat.alias("lat"), (-100.0 - F.floor(k / 28000) / 10.0).alias("lng"))
+    moves = F.array(*[F.struct(F.lit(r).alias("rank"), (F.col("lat") + (r * 7 + F.col("k") % 3) / 20000.0).alias("lat"), F.col("lng").alias("lng")) for r in (1, 2, 3)])
+    return claims.assign_unclaimed(c.select("seed_id", "elevation"), c.select("seed_id", F.inline(moves)), most=50)
+
+
 @query()
 def train_eval_forest(spark, d):
     """Cross-validated forest on terrain features of tiles."""
