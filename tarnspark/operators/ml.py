@@ -9,7 +9,7 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import raster
@@ -29,10 +29,18 @@ def balanced(df: DataFrame, label: str = "label") -> DataFrame:
 
 
 def fit_forest(df: DataFrame, columns: list[str], label: str = "label", trees: int = 50, depth: int = 6, leaf: int = 5, seed: int = 42) -> PipelineModel:
+    """A forest on balanced classes. Both sides of a split have ``leaf`` rows at least, so no node of fewer than twice as many is split."""
     forest = RandomForestClassifier(labelCol=label, featuresCol="_features", weightCol="weight", numTrees=trees, maxDepth=depth, minInstancesPerNode=leaf, seed=seed)
     return Pipeline(stages=[VectorAssembler(inputCols=columns, outputCol="_features"), forest]).fit(balanced(finite(df, columns), label))
 
 
+def importances(model: PipelineModel, columns: list[str]) -> DataFrame:
+    """feature, importance (their sum is 1), rank of a fitted forest."""
+    forest = model.stages[-1]
+    found = sorted(zip(forest.featureImportances.toArray().tolist(), columns, strict=True), key=lambda x: (-x[0], x[1]))
+    return SparkSession.active().createDataFrame([(name, value, i) for i, (value, name) in enumerate(found, 1)], "feature string, importance double, rank int")
+
+
 def predict(model: PipelineModel, df: DataFrame, columns: list[str]) -> DataFrame:
     out = model.transform(finite(df, columns))
     return out.withColumn("probability", vector_to_array("probability")[1]).withColumn("prediction", F.col("prediction").cast("int")).drop("_features", "rawPrediction")

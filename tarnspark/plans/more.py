@@ -340,8 +340,7 @@ def link_policies(spark, d):
     return out.select("site_id", F.round("lat", 9).alias("lat"), F.round("lng", 9).alias("lng"), "elevation", "elevation_source", "lands_checked")
 
 
-@query("WITH e AS (SELECT c_custkey, c_custkey%4 AS m FROM customer WHERE c_custkey%5<>0) SELECT 'sites' AS tbl, (SELECT count(*) FROM supplier)+(SELECT count(*) FROM e WHERE m=1) AS n UNION ALL SELECT 'links', (SELECT count(*) FROM e WHERE m=1)+(SELECT count(*) FROM e WHERE m=0 AND c_custkey<(SELECT count(*) FROM supplier))")
-def ingest_external(spark, d):
+def _ingested(spark, d):
     """A reviewed import: approved rows are linked, rejected ones become sites, pending ones wait, those without an id are left out."""
     c = F.col("c_custkey")
     sites = lens.suppliers(spark, d).select("site_id", "name", "lat", "lng", "elevation")
@@ -349,10 +348,25 @@ def ingest_external(spark, d):
     n = sites.count()
     decisions = table(spark, d, "customer", ["c_custkey"]).where((c % 4 != 2) & ((c % 4 != 0) | (c < n))).select(c.cast("string").alias("ext_id"), c.cast("string").alias("site_id"), F.when(c % 4 == 0, True).when(c % 4 == 1, False).alias("approved"))
     links = spark.createDataFrame([], "site_id string, source string, ext_id string")
-    after, linked = catalog.ingest(sites, links, ext, decisions)
+    return catalog.ingest(sites, links, ext, decisions)
+
+
+@query("WITH e AS (SELECT c_custkey, c_custkey%4 AS m FROM customer WHERE c_custkey%5<>0) SELECT 'sites' AS tbl, (SELECT count(*) FROM supplier)+(SELECT count(*) FROM e WHERE m=1) AS n UNION ALL SELECT 'links', (SELECT count(*) FROM e WHERE m=1)+(SELECT count(*) FROM e WHERE m=0 AND c_custkey<(SELECT count(*) FROM supplier))")
+def ingest_external(spark, d):
+    """How many rows the tables of a reviewed import have."""
+    after, linked = _ingested(spark, d)
     return after.agg(F.lit("sites").alias("tbl"), F.count("*").alias("n")).unionByName(linked.agg(F.lit("links").alias("tbl"), F.count("*").alias("n")))
 
 
+@query("""WITH e AS (SELECT CAST(c_custkey AS VARCHAR) AS ext_id, c_custkey AS k, c_name FROM customer WHERE c_custkey%5<>0), f AS (SELECT *, 'x'||substr(sha256('list:'||ext_id),1,24) AS id FROM e WHERE k%4=1)
+SELECT 'sites' AS tbl, CAST(s_suppkey AS VARCHAR) AS site_id, s_name AS name, CAST(NULL AS VARCHAR) AS ext_id FROM supplier UNION ALL SELECT 'sites', id, c_name, NULL FROM f
+UNION ALL SELECT 'links', id, NULL, ext_id FROM f UNION ALL SELECT 'links', ext_id, NULL, ext_id FROM e WHERE k%4=0 AND k<(SELECT count(*) FROM supplier)""")
+def ingest_external_rows(spark, d):
+    """The same import, row by row."""
+    after, linked = _ingested(spark, d)
+    return after.select(F.lit("sites").alias("tbl"), "site_id", "name", F.lit(None).cast("string").alias("ext_id")).unionByName(linked.select(F.lit("links").alias("tbl"), "site_id", F.lit(None).cast("string").alias("name"), "ext_id"))
+
+
 _REVIEWED = "m AS (SELECT p_partkey, p_name||' '||p_partkey AS name, CASE WHEN p_partkey%6=0 THEN 0e0 ELSE 39e0+p_partkey/1e4 END AS lat, -105e0 AS lng, CAST(p_partkey AS VARCHAR) AS site_id, CASE p_partkey%5 WHEN 0 THEN 'high' WHEN 1 THEN 'medium' WHEN 2 THEN 'low' ELSE 'none' END AS confidence, p_partkey%10=1 AS create_new FROM part), u AS (SELECT *, CASE WHEN NOT create_new AND confidence IN ('high','medium') THEN 'matched' WHEN (confidence='none' OR create_new) AND lat<>0 THEN 'created' ELSE 'left_out' END AS use FROM m)"
 
 
@@ -505,24 +519,28 @@ def stream_points(spark, d):
     return out.select(F.col("track_id").cast("long").alias("o_custkey"), "idx", "t", "lat", "lng")
 
 
-@query(f"WITH {lens.SUPPLIERS} SELECT a.site_id, round({_hav('a.lat', 'a.lng', 'a.lat', 'a.lng+0.01e0')},4) AS sphere, true AS close FROM suppliers a")
+@query(f"""WITH {lens.SUPPLIERS}, p AS (SELECT site_id, lat AS a, lng AS o, lat+0.003e0*(key%7) AS b, lng+0.01e0 AS u FROM suppliers),
+r AS (SELECT *, atan((1-f)*tan(radians(a))) AS ra, atan((1-f)*tan(radians(b))) AS rb FROM p, (SELECT (6378137e0-6356752.314245e0)/6378137e0 AS f)),
+c AS (SELECT *, pow(sin((rb-ra)/2),2)+cos(ra)*cos(rb)*pow(sin(radians(u-o)/2),2) AS h FROM r), s AS (SELECT *, 2*atan2(sqrt(h), sqrt(1-h)) AS g, (ra+rb)/2 AS m, (rb-ra)/2 AS q FROM c)
+SELECT site_id, round({_hav('a', 'o', 'b', 'u')},4) AS sphere, round(2*6371000e0*asin(sqrt(pow(sin(radians(b-a)/2),2)+cos(radians(a))*cos(radians(b))*pow(sin(radians(u-o)/2),2))),4) AS by_sine,
+  round(6378137e0*(g-f/2*((g-sin(g))*pow(sin(m)*cos(q)/cos(g/2),2)+(g+sin(g))*pow(cos(m)*sin(q)/sin(g/2),2))),3) AS spheroid FROM s""")
 def distance_forms(spark, d):
-    """The arc sine form says the same as the arc tangent; the spheroid's distance is within half a percent."""
-    s = lens.suppliers(spark, d)
-    there = F.col("lng") + 0.01
-    sphere, same, real = (f("lat", "lng", "lat", there) for f in (geo.haversine, geo.haversine_asin, geo.spheroid_distance))
-    return s.select("site_id", F.round(sphere, 4).alias("sphere"), ((F.abs(sphere - same) < 1e-6) & (F.abs(real / sphere - 1) < 0.005)).alias("close"))
+    """Metres by the arc tangent, by the arc sine, and on the spheroid."""
+    s = lens.suppliers(spark, d).withColumn("to_lat", F.col("lat") + 0.003 * (F.col("key") % 7)).withColumn("to_lng", F.col("lng") + 0.01)
+    sphere, sine, real = (f("lat", "lng", "to_lat", "to_lng") for f in (geo.haversine, geo.haversine_asin, geo.spheroid_distance))
+    return s.select("site_id", F.round(sphere, 4).alias("sphere"), F.round(sine, 4).alias("by_sine"), F.round(real, 3).alias("spheroid"))
 
 
-@query("SELECT n_nationkey, CAST(81 AS BIGINT) AS points, true AS inside FROM nation")
+@query(f"""WITH n AS (SELECT n_nationkey AS k, 10e0+n_nationkey AS lat, n_nationkey-120e0 AS lng FROM nation), g AS (SELECT k, lat, lng, lat+i*5/111320e0 AS a, lng+j*5/(111320e0*cos(radians(lat))) AS o FROM n, range(-5, 6) x(i), range(-5, 6) y(j))
+SELECT k AS n_nationkey, 'grid' AS kind, round(a,9) AS lat, round(o,9) AS lng FROM g WHERE {_hav('lat', 'lng', 'a', 'o')}<=25.01e0
+UNION ALL SELECT k, 'far', round(lat+100*cos(k*0.7e0)/111320e0,9), round(lng+100*sin(k*0.7e0)/(111320e0*cos(radians(lat))),9) FROM n""")
 def candidate_grid(spark, d):
-    """Grid points within 25 m, five metres apart, and a point at a random angle whose distance is as asked for."""
+    """Grid points within 25 m, five metres apart, and a point 100 m away at an angle."""
     k = F.col("n_nationkey")
-    n = table(spark, d, "nation", ["n_nationkey"])
-    grid = geo.grid_around((10.0 + k).cast("double"), (k - 120.0).cast("double"), 25.01, 5.0)
-    lat, lng = geo.offset_point((10.0 + k), (k - 120.0), F.lit(100.0), k * 0.7)
-    far = geo.haversine(10.0 + k, k - 120.0, lat, lng)
-    return n.select("n_nationkey", F.size(grid).cast("long").alias("points"), (F.abs(far - 100) < 0.3).alias("inside"))
+    n = table(spark, d, "nation", ["n_nationkey"]).select(k, (10.0 + k).alias("lat"), (k - 120.0).alias("lng"))
+    grid = n.select(k, F.lit("grid").alias("kind"), F.explode(geo.grid_around("lat", "lng", 25.01, 5.0)).alias("p")).select(k, "kind", _r("p.lat", 9).alias("lat"), _r("p.lng", 9).alias("lng"))
+    lat, lng = geo.offset_point("lat", "lng", F.lit(100.0), k * 0.7)
+    return grid.unionByName(n.select(k, F.lit("far").alias("kind"), F.round(lat, 9).alias("lat"), F.round(lng, 9).alias("lng")))
 
 
 @query(f"WITH {lens.POLYGONS} SELECT poly_id, round((south+north)/2,9) AS lat, round((west+east)/2,9) AS lng, true AS sound, true AS same FROM polygons")

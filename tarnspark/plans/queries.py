@@ -235,9 +235,22 @@ def match_best_candidate(spark, d):
     return out.select("ext_id", "site_id", _r("distance_m", 3), _r("name_similarity"), _r("score"), "confidence")
 
 
-@query()
+_ONE_TO_ONE = (
+    _EDGES.format(radius="2000e0", most=25).replace("WITH ", "WITH RECURSIVE ", 1)
+    + """, free AS (SELECT * FROM scored WHERE ext_id%17<>0),
+tops AS (SELECT ext_id, max(CASE WHEN n=1 THEN score END) AS best_score, max(CASE WHEN n=2 THEN score END) AS second_score FROM (SELECT *, row_number() OVER (PARTITION BY ext_id ORDER BY score DESC, cand_rank) AS n FROM free) GROUP BY 1),
+line AS (SELECT *, row_number() OVER (ORDER BY score DESC, ext_id, cand_rank) AS i FROM free WHERE score>=0.35e0),
+step AS (SELECT CAST(0 AS BIGINT) AS i, CAST([] AS BIGINT[]) AS exts, CAST([] AS VARCHAR[]) AS sites, false AS took UNION ALL
+  SELECT i, CASE WHEN ok THEN list_append(exts, ext_id) ELSE exts END, CASE WHEN ok THEN list_append(sites, site_id) ELSE sites END, ok FROM (SELECT l.i, l.ext_id, l.site_id, exts, sites, NOT list_contains(exts, l.ext_id) AND NOT list_contains(sites, l.site_id) AS ok FROM step s JOIN line l ON l.i=s.i+1)),
+pairs AS (SELECT line.* FROM line JOIN step USING (i) WHERE took)
+SELECT e.ext_id, CASE WHEN e.ext_id%17=0 THEN 'skipped' WHEN p.site_id IS NULL THEN 'unmatched' WHEN score>=0.75e0 AND distance_m<=150 AND sim>=0.7e0 AND (second_score IS NULL OR best_score-second_score>=0.12e0) THEN 'high' ELSE 'review' END AS outcome,
+  site_id, round(distance_m,3) AS distance_m, round(score,6) AS score, round(second_score,6) AS second_score FROM ext e LEFT JOIN pairs p USING (ext_id) LEFT JOIN tops USING (ext_id)"""
+)
+
+
+@query(_ONE_TO_ONE)
 def match_one_to_one(spark, d):
-    """One-to-one assignment; iterative, so tests hold it against a plain greedy pass."""
+    """One-to-one assignment; the SQL goes through the edges one by one."""
     ext = _external(spark, d)
     out = matching.match_one_to_one(ext, lens.suppliers(spark, d), ext.where(F.col("ext_id") % 17 == 0).select("ext_id"))
     return out.select("ext_id", "outcome", "site_id", _r("distance_m", 3), _r("score"), _r("second_score"))
@@ -645,32 +658,37 @@ def summit_zone_cells(spark, d):
     return z.groupBy("tile_id").agg(F.count("*").alias("cells"), F.sum("row").alias("rows_sum"), F.sum("col").alias("cols_sum"))
 
 
-@query()
+_FAR = "(({a}.row-{b}.row)*({a}.row-{b}.row)+({a}.col-{b}.col)*({a}.col-{b}.col))>=4"
+_NEAR = "tiles a JOIN tiles b ON a.tile_id=b.tile_id AND "
+
+
+@query(f"""WITH {lens.TILES}, peaks AS (SELECT a.tile_id, a.row, a.col, a.elev FROM {_NEAR} abs(a.row-b.row)<=2 AND abs(a.col-b.col)<=2 GROUP BY 1,2,3,4 HAVING max(b.elev)=a.elev),
+radial AS (SELECT a.tile_id, a.row, a.col, avg(CASE WHEN b.elev<a.elev THEN 1e0 ELSE 0e0 END) AS radial FROM {_NEAR} abs(a.row-b.row) IN (0,2) AND abs(a.col-b.col) IN (0,2) AND (a.row<>b.row OR a.col<>b.col) GROUP BY 1,2,3),
+near AS (SELECT a.tile_id, a.row, a.col, count(*) FILTER (WHERE b.elev<a.elev)*1e0/(count(*)-1) AS near FROM {_NEAR} abs(a.row-b.row)<=3 AND abs(a.col-b.col)<=3 GROUP BY 1,2,3),
+c AS (SELECT *, round_even(0.6e0*radial+0.4e0*near, 3) AS confidence, sqrt((row-3)*(row-3)+(col-4)*(col-4)) AS distance FROM peaks JOIN radial USING (tile_id, row, col) JOIN near USING (tile_id, row, col)),
+o AS (SELECT *, row_number() OVER (PARTITION BY tile_id ORDER BY -floor(confidence*10), -floor(elev/2), distance, row, col) AS n FROM c),
+one AS (SELECT * FROM o WHERE n=1),
+two AS (SELECT o.* FROM o JOIN one USING (tile_id) WHERE {_FAR.format(a="o", b="one")} QUALIFY row_number() OVER (PARTITION BY o.tile_id ORDER BY o.n)=1),
+three AS (SELECT o.* FROM o JOIN one USING (tile_id) JOIN two USING (tile_id) WHERE {_FAR.format(a="o", b="one")} AND {_FAR.format(a="o", b="two")} AND o.n>two.n QUALIFY row_number() OVER (PARTITION BY o.tile_id ORDER BY o.n)=1)
+SELECT tile_id, row, col, elev, confidence, distance, CAST(rank AS INTEGER) AS rank FROM (SELECT *, 1 AS rank FROM one UNION ALL SELECT *, 2 FROM two UNION ALL SELECT *, 3 FROM three)""")
 def raster_topk_separated(spark, d):
-    """Greedy choice with a least distance; tests hold it against a plain loop."""
+    """Greedy choice with a least distance."""
     seeds = table(spark, d, "embeddings", ["vec_id"]).select(F.col("vec_id").alias("tile_id"), F.lit(3).alias("seed_row"), F.lit(4).alias("seed_col"))
     return raster.snap(lens.tiles(spark, d), seeds)
 
 
-@query()
-def claim_assignment(spark, d):
-    """Claims in the order of elevation; tests hold it against a plain loop."""
-    s = lens.suppliers(spark, d)
-    moves = F.array(*[F.struct(F.lit(r).alias("rank"), (F.col("lat") + (r * 7 + F.col("key") % 3) / 20000.0).alias("lat"), F.col("lng").alias("lng")) for r in (1, 2, 3)])
-    crowded = s.withColumn("lat", 37.0 + F.col("key") % 40 / 5000.0).withColumn("lng", -109.0 + F.floor(F.col("key") / 40) / 5000.0)
-    return claims.assign_unclaimed(s.select("site_id", "elevation").withColumnRenamed("site_id", "seed_id"), crowded.select(F.col("site_id").alias("seed_id"), F.inline(moves)))
-
-
-_PLACES = "(lat+(r*7+k%3)/20000e0)"
-
-
-@query(f"""WITH RECURSIVE c AS (SELECT c_custkey AS k, CAST(c_custkey AS VARCHAR) AS seed_id, CASE WHEN c_custkey%9<>0 THEN c_acctbal END AS elevation,
-  CASE WHEN c_custkey%10=0 THEN 20e0+c_custkey/16000e0 ELSE 30e0+(c_custkey//7)%4000/100e0+c_custkey%7/5000e0 END AS lat, -100e0-(c_custkey//28000)/10e0 AS lng FROM customer),
-s AS (SELECT *, row_number() OVER (ORDER BY elevation DESC NULLS LAST, seed_id) AS i FROM c),
+def _claims_sql(seeds: str) -> str:
+    """Seeds (k, seed_id, elevation, lat, lng) one after the other, with the places taken so far."""
+    place = _hav("(lat+(r*7+k%3)/20000e0)", "lng", "p.lat", "p.lng")
+    return f"""WITH RECURSIVE {seeds}, s AS (SELECT *, row_number() OVER (ORDER BY elevation DESC NULLS LAST, seed_id) AS i FROM c),
 step AS (SELECT CAST(0 AS BIGINT) AS i, CAST(NULL AS VARCHAR) AS seed_id, 0 AS rank, false AS collided, CAST([] AS STRUCT(lat DOUBLE, lng DOUBLE)[]) AS taken
 UNION ALL SELECT i, seed_id, coalesce(f, 1), f IS NULL, list_append(taken, {{'lat': lat+(coalesce(f, 1)*7+k%3)/20000e0, 'lng': lng}}) FROM (SELECT s.*, taken,
-  list_filter([1, 2, 3], lambda r: len(list_filter(taken, lambda p: {_hav(_PLACES, "lng", "p.lat", "p.lng")}<=50))=0)[1] AS f FROM step JOIN s ON s.i=step.i+1))
-SELECT seed_id, rank, collided FROM step WHERE i>0""")
+  list_filter([1, 2, 3], lambda r: len(list_filter(taken, lambda p: {place}<=50))=0)[1] AS f FROM step JOIN s ON s.i=step.i+1))
+SELECT seed_id, rank, collided FROM step WHERE i>0"""
+
+
+@query(_claims_sql("""c AS (SELECT c_custkey AS k, CAST(c_custkey AS VARCHAR) AS seed_id, CASE WHEN c_custkey%9<>0 THEN c_acctbal END AS elevation,
+  CASE WHEN c_custkey%10=0 THEN 20e0+c_custkey/16000e0 ELSE 30e0+(c_custkey//7)%4000/100e0+c_custkey%7/5000e0 END AS lat, -100e0-(c_custkey//28000)/10e0 AS lng FROM customer)"""))
 def claim_assignment_spread(spark, d):
     """Customers in many small groups and one long chain of a tenth of them, which is settled in rounds."""
     k = F.col("c_custkey")
@@ -680,9 +698,27 @@ def claim_assignment_spread(spark, d):
     return claims.assign_unclaimed(c.select("seed_id", "elevation"), c.select("seed_id", F.inline(moves)), most=50)
 
 
+@query(_claims_sql(f"{lens.SUPPLIERS}, c AS (SELECT key AS k, site_id AS seed_id, elevation, 37e0+key%40/5000e0 AS lat, -109e0+(key//40)/5000e0 AS lng FROM suppliers)"))
+def claim_assignment(spark, d):
+    """Claims in the order of elevation, all in one crowd."""
+    s = lens.suppliers(spark, d)
+    moves = F.array(*[F.struct(F.lit(r).alias("rank"), (F.col("lat") + (r * 7 + F.col("key") % 3) / 20000.0).alias("lat"), F.col("lng").alias("lng")) for r in (1, 2, 3)])
+    crowded = s.withColumn("lat", 37.0 + F.col("key") % 40 / 5000.0).withColumn("lng", -109.0 + F.floor(F.col("key") / 40) / 5000.0)
+    return claims.assign_unclaimed(s.select("site_id", "elevation").withColumnRenamed("site_id", "seed_id"), crowded.select(F.col("site_id").alias("seed_id"), F.inline(moves)))
+
+
 @query()
 def train_eval_forest(spark, d):
     """Cross-validated forest on terrain features of tiles."""
     seeds = table(spark, d, "embeddings", ["vec_id"]).select(F.col("vec_id").alias("tile_id"), F.lit(3).alias("row"), F.lit(4).alias("col"))
     rows = raster.terrain_features(lens.tiles(spark, d), seeds).withColumn("label", (F.col("percentile") > 0.7).cast("int"))
     return ml.cross_validate(rows, ["gradient_min", "gradient_mean", "gradient_var", "curvature", "relief", "lower_share"], "tile_id", k=3, trees=20)
+
+
+@query()
+def forest_importances(spark, d):
+    """What a forest learns a tile's high cells from, without any feature that tells their rank; tests hold it against a feature of noise."""
+    seeds = lens.tiles(spark, d).where((F.col("row") >= 2) & (F.col("row") <= 5) & (F.col("col") >= 2) & (F.col("col") <= 5)).select("tile_id", "row", "col")
+    rows = raster.terrain_features(lens.tiles(spark, d), seeds).withColumn("label", (F.col("percentile") > 0.7).cast("int"))
+    columns = ["gradient_min", "gradient_mean", "gradient_var", "curvature", "relief"]
+    return ml.importances(ml.fit_forest(rows, columns, trees=10), columns)

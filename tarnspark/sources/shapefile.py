@@ -10,9 +10,12 @@ import struct
 from collections.abc import Iterator
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from ..functions.projections import parse_prj, rings_in_degrees
+
 SCHEMA = "file string, record int, properties map<string,string>, rings array<array<struct<lng:double,lat:double>>>"
 #: Records of a task. Shape types of the format: points 1, 11, 21; polygons 5, 15, 25.
 RECORDS = 20_000
@@ -95,3 +98,18 @@ def shapefiles(spark: SparkSession, path: str):
     """Features of shapefiles under a path that all executors can open."""
     spark.dataSource.register(Shapefile)
     return spark.read.format("shapefile").load(path)
+
+
+def in_degrees(spark: SparkSession, path: str, where: str | None = None, select: list[str] | None = None, limit: int | None = None, longest: float = 1000.0) -> DataFrame:
+    """Features of one shapefile with their rings in degrees, by the .prj beside it (none: they are in degrees).
+
+    ``where`` is a condition in SQL over ``properties`` and ``record``; ``select`` are the properties to keep as columns (all stay
+    in the map if None); with ``limit`` only the first records. Edges longer than ``longest`` metres are cut first.
+    """
+    prj = Path(path).with_suffix(".prj")
+    rows = shapefiles(spark, path)
+    rows = rows.where(where) if where else rows
+    rows = rows.orderBy("record").limit(limit) if limit is not None else rows
+    columns = ["properties"] if select is None else [F.col("properties")[c].alias(c) for c in select]
+    rings = rings_in_degrees(F.col("rings"), parse_prj(prj.read_text()), longest) if prj.exists() else F.col("rings")
+    return rows.select("file", "record", *columns, rings.alias("rings"))
