@@ -82,6 +82,6 @@ def test_a_projected_layer(spark, tmp_path):
     path.with_suffix(".prj").write_text(EXAMPLES["lambert"][0])
     found = shapefile.in_degrees(spark, str(path), "properties['ACRES'] > 5", ["NAME"], 1).collect()
     assert [(r.record, r.NAME, len(r.rings)) for r in found] == [(1, "two", 2)]
-    # the square's third corner is 3 km east and 3 km north of the origin
+    # the third corner is 3 km east and 3 km north of the origin on the map, whose scale there is some 3 % too large
     far = max(found[0].rings[0], key=lambda c: c.lat)
-    assert abs((far.lat - 23) * 110_750 - 3000) < 60 and abs((far.lng + 96) * 102_500 - 3000) < 60
+    assert abs((far.lat - 23) * 110_750 - 3000) < 150 and abs((far.lng + 96) * 102_500 - 3000) < 150
