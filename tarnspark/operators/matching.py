@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from collections.abc import Mapping
+from dataclasses import dataclass, fields
+from functools import reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -26,6 +28,24 @@ class MatchOptions:
     accept_margin: float = 0.12
 
 
+def options_of(settings: Mapping[str, str], prefix: str) -> MatchOptions:
+    """The options of one import, from settings such as ``<prefix>radius_m``; what isn't set, or is empty, keeps its default.
+
+    A setting of the prefix that is no option, or no number, is an error.
+    """
+    own = {k[len(prefix) :]: v for k, v in settings.items() if k.startswith(prefix)}
+    known = {f.name: type(f.default) for f in fields(MatchOptions)}
+    if unknown := own.keys() - known.keys():
+        raise ValueError(f"no options: {', '.join(sorted(unknown))}")
+    return MatchOptions(**{k: known[k](v) for k, v in own.items() if v not in (None, "")})
+
+
+def imported(external: DataFrame, catalogue: DataFrame, presets: Mapping[str, MatchOptions], linked: DataFrame | None = None) -> DataFrame:
+    """``match_one_to_one`` of each source's own sites (external has ``source``) by its own options; sources without options are left out."""
+    each = [match_one_to_one(external.where(F.col("source") == name).drop("source"), catalogue, linked, options).withColumn("source", F.lit(name)) for name, options in presets.items()]
+    return reduce(DataFrame.unionByName, each)
+
+
 def candidates(external: DataFrame, catalogue: DataFrame, radius: float, most: int) -> DataFrame:
     """external (ext_id, name, lat, lng, elevation) x catalogue (site_id, ...) within the radius, nearest first, scored."""
     ext = external.select("ext_id", "lat", "lng", F.col("elevation").alias("ext_elevation"), name_words("name").alias("_ext"))

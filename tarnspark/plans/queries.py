@@ -235,20 +235,22 @@ def match_best_candidate(spark, d):
     return out.select("ext_id", "site_id", _r("distance_m", 3), _r("name_similarity"), _r("score"), "confidence")
 
 
-_ONE_TO_ONE = (
-    _EDGES.format(radius="2000e0", most=25).replace("WITH ", "WITH RECURSIVE ", 1)
-    + """, free AS (SELECT * FROM scored WHERE ext_id%17<>0),
+def _one_to_one(radius: str = "2000e0", most: int = 25, least: str = "0.35e0", accept: str = "0.75e0", metres: str = "150", name: str = "0.7e0", margin: str = "0.12e0", own: str = "true", mine: str = "true") -> str:
+    """Edges one by one, the best first, with the ends taken so far; ``own`` and ``mine`` restrict the external sites."""
+    return (
+        _EDGES.format(radius=radius, most=most).replace("WITH ", "WITH RECURSIVE ", 1)
+        + f""", free AS (SELECT * FROM scored WHERE ext_id%17<>0 AND {own}),
 tops AS (SELECT ext_id, max(CASE WHEN n=1 THEN score END) AS best_score, max(CASE WHEN n=2 THEN score END) AS second_score FROM (SELECT *, row_number() OVER (PARTITION BY ext_id ORDER BY score DESC, cand_rank) AS n FROM free) GROUP BY 1),
-line AS (SELECT *, row_number() OVER (ORDER BY score DESC, ext_id, cand_rank) AS i FROM free WHERE score>=0.35e0),
+line AS (SELECT *, row_number() OVER (ORDER BY score DESC, ext_id, cand_rank) AS i FROM free WHERE score>={least}),
 step AS (SELECT CAST(0 AS BIGINT) AS i, CAST([] AS BIGINT[]) AS exts, CAST([] AS VARCHAR[]) AS sites, false AS took UNION ALL
   SELECT i, CASE WHEN ok THEN list_append(exts, ext_id) ELSE exts END, CASE WHEN ok THEN list_append(sites, site_id) ELSE sites END, ok FROM (SELECT l.i, l.ext_id, l.site_id, exts, sites, NOT list_contains(exts, l.ext_id) AND NOT list_contains(sites, l.site_id) AS ok FROM step s JOIN line l ON l.i=s.i+1)),
 pairs AS (SELECT line.* FROM line JOIN step USING (i) WHERE took)
-SELECT e.ext_id, CASE WHEN e.ext_id%17=0 THEN 'skipped' WHEN p.site_id IS NULL THEN 'unmatched' WHEN score>=0.75e0 AND distance_m<=150 AND sim>=0.7e0 AND (second_score IS NULL OR best_score-second_score>=0.12e0) THEN 'high' ELSE 'review' END AS outcome,
-  site_id, round(distance_m,3) AS distance_m, round(score,6) AS score, round(second_score,6) AS second_score FROM ext e LEFT JOIN pairs p USING (ext_id) LEFT JOIN tops USING (ext_id)"""
-)
+SELECT e.ext_id, CASE WHEN e.ext_id%17=0 THEN 'skipped' WHEN p.site_id IS NULL THEN 'unmatched' WHEN score>={accept} AND distance_m<={metres} AND sim>={name} AND (second_score IS NULL OR best_score-second_score>={margin}) THEN 'high' ELSE 'review' END AS outcome,
+  site_id, round(distance_m,3) AS distance_m, round(score,6) AS score, round(second_score,6) AS second_score FROM ext e LEFT JOIN pairs p USING (ext_id) LEFT JOIN tops USING (ext_id) WHERE {mine}"""
+    )
 
 
-@query(_ONE_TO_ONE)
+@query(_one_to_one())
 def match_one_to_one(spark, d):
     """One-to-one assignment; the SQL goes through the edges one by one."""
     ext = _external(spark, d)
@@ -256,6 +258,19 @@ def match_one_to_one(spark, d):
     return out.select("ext_id", "outcome", "site_id", _r("distance_m", 3), _r("score"), _r("second_score"))
 
 
+_NEAR_SETTINGS = {"near.radius_m": "1000", "near.candidates": "5", "near.least_score": "0.3", "near.accept_score": "0.6", "near.accept_distance_m": "300", "near.accept_name": "0.5", "near.accept_margin": ""}
+
+
+@query(f"""SELECT *, 'far' AS source FROM ({_one_to_one(own='ext_id%2=0', mine='e.ext_id%2=0')})
+UNION ALL SELECT *, 'near' FROM ({_one_to_one("1000e0", 5, "0.3e0", "0.6e0", "300", "0.5e0", own='ext_id%2=1', mine='e.ext_id%2=1')})""")
+def match_by_source(spark, d):
+    """Two sources, each with its own thresholds."""
+    ext = _external(spark, d).withColumn("source", F.when(F.col("ext_id") % 2 == 0, "far").otherwise("near"))
+    presets = {name: matching.options_of(_NEAR_SETTINGS, f"{name}.") for name in ("far", "near")}
+    out = matching.imported(ext, lens.suppliers(spark, d), presets, ext.where(F.col("ext_id") % 17 == 0).select("ext_id"))
+    return out.select("ext_id", "outcome", "site_id", _r("distance_m", 3), _r("score"), _r("second_score"), "source")
+
+
 # --- progress -----------------------------------------------------------------------------------
 
 
