@@ -11,7 +11,7 @@ def session(name: str = "tarnspark", master: str | None = None, **conf: str) ->
     builder = SparkSession.builder.appName(name)
     if master:
         builder = builder.master(master)
-    settings = {"spark.sql.session.timeZone": "UTC", "spark.sql.adaptive.enabled": "true", "spark.sql.adaptive.skewJoin.enabled": "true", **conf}
+    settings = {"spark.sql.session.timeZone": "UTC", "spark.sql.adaptive.enabled": "true", "spark.sql.adaptive.skewJoin.enabled": "true", "spark.cleaner.referenceTracking.cleanCheckpoints": "true", **conf}
     for key, value in settings.items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
