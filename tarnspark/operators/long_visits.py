@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from ..functions import scores
 from ..functions.geo import coarse_box, haversine
 from ..session import cut
-from .visits import pairs_near
+from .visits import each_site, pairs_near, spots
 
 #: Points of a chunk.
 CHUNK = 100_000
@@ -70,8 +70,8 @@ def visit_rows(points: DataFrame, sites: DataFrame, size: int = CHUNK) -> DataFr
     return cut(found.drop("_in", "_box", "_end", "_cuts", "_before", "_open"))
 
 
-def score_visits(rows: DataFrame) -> DataFrame:
-    """One row for each visit, as ``visits.score_visits`` has it, without its altitudes ever being an array."""
+def measure_visits(rows: DataFrame) -> DataFrame:
+    """One row for each visit, as ``visits.measure_visits`` has it, without its altitudes ever being an array."""
     visit = [*PAIR, "visit"]
     # ranks of the samples with an altitude: those of the chunks before and those before in the chunk
     high = rows.where(F.col("alt").isNotNull()).select(*visit, "_chunk", "idx", "alt")
@@ -98,9 +98,7 @@ def score_visits(rows: DataFrame) -> DataFrame:
     joined = grouped.join(sides, visit, "left")
     here = F.coalesce("_here", (F.col("_ahead") + F.col("_behind")) / 2)
     approach = scores.approach_shape(F.col("_n"), F.col("_ahead"), F.col("_behind"), here)
-    sure = scores.confidence_of(F.col("mode"), F.col("_near.dist"), F.col("samples"), F.col("seconds"), F.col("_mean"), approach, F.col("elevation"))
-    scored = joined.withColumn("confidence", sure).withColumn("class", scores.visit_class(F.col("confidence"), F.col("mode")))
-    return scored.select(*visit, "mode", F.col("_near.lat").alias("lat"), F.col("_near.lng").alias("lng"), "elevation", F.col("_near.idx").alias("idx"), F.col("_near.t").alias("t"), F.col("_near.dist").alias("min_dist"), "samples", "seconds", "confidence", "class")
+    return joined.select(*visit, "mode", F.col("_near.lat").alias("lat"), F.col("_near.lng").alias("lng"), "elevation", F.col("_near.idx").alias("idx"), F.col("_near.t").alias("t"), F.col("_near.dist").alias("min_dist"), "samples", "seconds", "_mean", approach.alias("_approach"))
 
 
 def detect_visits(points: DataFrame, sites: DataFrame, size: int = CHUNK) -> DataFrame:
@@ -108,5 +106,6 @@ def detect_visits(points: DataFrame, sites: DataFrame, size: int = CHUNK) -> Dat
 
     idx is a point's number in its track, unique there. No points or no sites give no visits.
     """
-    found = score_visits(visit_rows(points, sites, size)).where(F.col("class") != "reject")
+    at, members = spots(sites)
+    found = each_site(measure_visits(visit_rows(points, at, size)), members).where(F.col("class") != "reject")
     return found.withColumn("needs_confirmation", F.col("class") == "confirm")
