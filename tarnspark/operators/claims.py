@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import math
+from collections import defaultdict
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.geo import EARTH_RADIUS_M, haversine
+from ..functions.geo import EARTH_RADIUS_M
 from ..session import cut
 from .cells import cell, cells_around
 
@@ -19,25 +20,9 @@ def _metres(a, b) -> float:
     return 2 * EARTH_RADIUS_M * math.atan2(math.sqrt(chord), math.sqrt(1 - chord))
 
 
-def groups(candidates: DataFrame, radius: float) -> DataFrame:
-    """seed_id -> group: seeds whose candidates may collide share one, by rounds of the smallest seed in reach."""
-    a = candidates.select("seed_id", "lat", "lng", cell(F.col("lat"), F.col("lng"), radius).alias("_cell"))
-    b = candidates.select(F.col("seed_id").alias("other"), F.col("lat").alias("r_lat"), F.col("lng").alias("r_lng")).withColumn("_cell", F.explode(cells_around(F.col("r_lat"), F.col("r_lng"), radius)))
-    edges = cut(a.join(b, "_cell").where((F.col("seed_id") != F.col("other")) & (haversine("lat", "lng", "r_lat", "r_lng") <= radius)).select("seed_id", "other").distinct())
-    label = cut(candidates.select("seed_id").distinct().withColumn("group", F.col("seed_id")))
-    while True:
-        near = edges.join(label.select(F.col("seed_id").alias("other"), F.col("group").alias("_g")), "other").groupBy("seed_id").agg(F.min("_g").alias("_g"))
-        step = label.join(near, "seed_id", "left").withColumn("_new", F.least("group", F.coalesce("_g", "group")))
-        # jump to the label's own label, so long chains take few rounds
-        jump = step.select("seed_id", F.col("_new"), F.col("group")).join(label.select(F.col("seed_id").alias("_new"), F.col("group").alias("_j")), "_new", "left")
-        after = cut(jump.select("seed_id", F.least("_new", F.coalesce("_j", "_new")).alias("_next"), "group"))
-        if after.where(F.col("_next") != F.col("group")).isEmpty():
-            return label
-        label = after.select("seed_id", F.col("_next").alias("group"))
-
-
-#: Groups of more seeds are settled in rounds.
-GROUP = 5000
+#: A tile's side as a multiple of the radius; seeds of a tile that one task settles at once, beyond which a tile is quartered; tilings,
+#: each moved against the others, so that what lies at a border of one lies inside a tile of another.
+SIDE, TILE, TILINGS = 64, 5000, 3
 
 
 def _settle(batch: pd.DataFrame, radius: float) -> pd.DataFrame:
@@ -53,44 +38,109 @@ def _settle(batch: pd.DataFrame, radius: float) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["seed_id", "rank", "collided"])
 
 
-def in_rounds(rows: DataFrame, radius: float) -> DataFrame:
-    """seed_id, rank, collided of all seeds (rows: seed_id, elevation, rank, lat, lng), by rounds of those that come first.
+class _Ground:
+    """Places by squares, so that what is within the radius of a place is looked for among its neighbours only."""
+
+    def __init__(self, radius: float):
+        self.radius, self.places = radius, defaultdict(dict)
+
+    def _square(self, place) -> tuple[int, int, int]:
+        """The cube of the sphere's space that a place lies in, a little wider than the radius."""
+        lat, lng = math.radians(place[0]), math.radians(place[1])
+        side = self.radius * 1.0001 + 1e-3
+        return tuple(math.floor(EARTH_RADIUS_M * x / side) for x in (math.cos(lat) * math.cos(lng), math.cos(lat) * math.sin(lng), math.sin(lat)))
+
+    def add(self, place) -> None:
+        if all(map(math.isfinite, place)):
+            self.places[self._square(place)][place] = None  # a place that is taken twice is one
+
+    def met(self, place) -> bool:
+        """A place without coordinates meets nothing."""
+        if not all(map(math.isfinite, place)):
+            return False
+        x, y, z = self._square(place)
+        near = (self.places.get((x + i, y + j, z + k), ()) for i in (0, -1, 1) for j in (0, -1, 1) for k in (0, -1, 1))
+        return any(_metres(place, other) <= self.radius for own in near for other in own)
+
+
+def _pass(batch: pd.DataFrame, radius: float) -> pd.DataFrame:
+    """One pass over a tile in the order of turns: what its own seeds claim, as far as no seed before them that isn't settled can reach them.
+
+    Seeds of other tiles are there for their claims; without one they are unsettled. Rows: seed_id, ranks, lats, lngs, home, claim.
+    """
+    taken, unsettled, out = _Ground(radius), _Ground(radius), []
+    batch = batch.sort_values(["low", "height", "seed_id"])
+    for seed, ranks, lats, lngs, home, claim in zip(*(batch[c] for c in ("seed_id", "ranks", "lats", "lngs", "home", "claim")), strict=True):
+        places = [(float("nan") if a is None else float(a), float("nan") if b is None else float(b)) for a, b in zip(lats, lngs, strict=True)]
+        if claim >= 0:
+            taken.add(places[int(claim)])
+        elif not home or any(map(unsettled.met, places)):
+            for p in places:
+                unsettled.add(p)
+        else:
+            free = next((i for i, p in enumerate(places) if not taken.met(p)), None)
+            taken.add(places[free or 0])
+            out.append((seed, free or 0, free is None))
+    return pd.DataFrame(out, columns=["seed_id", "now", "missed"])
+
+
+def _tiles(seeds: DataFrame, radius: float, most: int, shift: float) -> DataFrame:
+    """seed_id -> tile: seeds by the square in which their first candidate lies; a square of more than ``most`` seeds is cut into quarters, down to a few radii. ``shift``: by what part of a square the squares are moved."""
+    side, tiles, crowded = SIDE * radius, None, seeds
+    while True:
+        own = crowded.select("seed_id", "lat", "lng", F.struct(F.lit(side).alias("side"), cell(F.col("lat") + shift * side / 110000.0, F.col("lng") + shift * side / 110000.0, side).alias("at")).alias("tile"))
+        full = own.groupBy("tile").count().where(F.col("count") > most).select("tile") if side > 8 * radius else own.select("tile").limit(0)
+        fits = own.join(full, "tile", "left_anti").select("seed_id", "tile")
+        tiles = fits if tiles is None else tiles.unionByName(fits)
+        if full.isEmpty():
+            return tiles
+        crowded, side = cut(own.join(full, "tile", "left_semi").select("seed_id", "lat", "lng")), side / 2
+
+
+def in_rounds(rows: DataFrame, radius: float, most: int | None = None) -> DataFrame:
+    """seed_id, rank, collided of all seeds (rows: seed_id, elevation, rank, lat, lng), by rounds over tiles.
 
-    In a round those seeds claim for which every seed in reach that comes before them has claimed. The claims in reach of a
-    candidate are looked up by cells, so a round is a few equi-joins however the seeds hang together.
+    In a round each tile settles, in one pass over its seeds, all those that wait for no unsettled seed of another tile. Seeds that
+    can reach a tile's are known there with what they have claimed. So a round is needed for each border that a chain of waiting
+    seeds crosses, not for each link of it. No edges are made, so seeds that crowd at one place cost no more than their number.
     """
-    kind = rows.schema["seed_id"].dataType
-    first = F.struct(F.col("elevation").isNull().alias("low"), (-F.coalesce("elevation", F.lit(0.0))).alias("height"), "seed_id")
-    rows = cut(rows.select("seed_id", "rank", "lat", "lng", first.alias("turn")))
-    a = rows.select("seed_id", "turn", "lat", "lng", cell(F.col("lat"), F.col("lng"), radius).alias("_cell"))
-    b = rows.select(F.col("seed_id").alias("other"), F.col("turn").alias("_turn"), F.col("lat").alias("r_lat"), F.col("lng").alias("r_lng")).withColumn("_cell", F.explode(cells_around(F.col("r_lat"), F.col("r_lng"), radius)))
-    waits = cut(a.join(b, "_cell").where((F.col("_turn") < F.col("turn")) & (haversine("lat", "lng", "r_lat", "r_lng") <= radius)).select("seed_id", "other").distinct())
-    left, done = rows, rows.sparkSession.createDataFrame([], f"seed_id {kind.simpleString()}, rank int, lat double, lng double, collided boolean")
-    while not left.isEmpty():
-        open_ = left.select(F.col("seed_id").alias("other")).distinct()
-        now = left.join(waits.join(open_, "other", "left_semi").select("seed_id").distinct(), "seed_id", "left_anti")
-        claims = done.select(F.col("lat").alias("r_lat"), F.col("lng").alias("r_lng")).withColumn("_at", F.explode(cells_around(F.col("r_lat"), F.col("r_lng"), radius)))
-        free = now.withColumn("_cell", cell(F.col("lat"), F.col("lng"), radius)).join(claims, (F.col("_cell") == F.col("_at")) & (haversine("lat", "lng", "r_lat", "r_lng") <= radius), "left_anti")
-        best = now.groupBy("seed_id").agg(F.min(F.struct("rank", "lat", "lng")).alias("_any")).join(free.groupBy("seed_id").agg(F.min(F.struct("rank", "lat", "lng")).alias("_free")), "seed_id", "left")
-        place = F.coalesce("_free", "_any")
-        got = best.select("seed_id", place["rank"].cast("int").alias("rank"), place["lat"].alias("lat"), place["lng"].alias("lng"), F.col("_free").isNull().alias("collided"))
-        done = cut(done.unionByName(got))
-        left = cut(left.join(done.select("seed_id"), "seed_id", "left_anti"))
-    return done.select("seed_id", "rank", "collided")
-
-
-def assign_unclaimed(seeds: DataFrame, candidates: DataFrame, radius: float = 50.0, most: int = GROUP) -> DataFrame:
+    kind = rows.schema["seed_id"].dataType.simpleString()
+    place = F.array_sort(F.collect_list(F.struct("rank", "lat", "lng")))
+    low, height = F.col("elevation").isNull(), -F.coalesce("elevation", F.lit(0.0))
+    seeds = rows.groupBy("seed_id").agg(F.first(low).alias("low"), F.first(height).alias("height"), place.alias("_p"))
+    seeds = cut(seeds.select("seed_id", "low", "height", *[F.col("_p")[c].alias(f"{c}s") for c in ("rank", "lat", "lng")]))
+    at = seeds.select("seed_id", F.inline(F.arrays_zip("lats", "lngs"))).toDF("seed_id", "lat", "lng")
+
+    def tiling(shift: float) -> DataFrame:
+        """Each tile's seeds, and those that can reach them."""
+        tiles = cut(_tiles(seeds.select("seed_id", F.col("lats")[0].alias("lat"), F.col("lngs")[0].alias("lng")), radius, most or TILE, shift))
+        reach = at.join(tiles, "seed_id").select("tile", F.explode(cells_around(F.col("lat"), F.col("lng"), radius)).alias("_cell")).distinct()
+        near = at.select("seed_id", cell(F.col("lat"), F.col("lng"), radius).alias("_cell")).distinct().join(reach, "_cell").select("seed_id", "tile")
+        known = near.withColumn("home", F.lit(False)).unionByName(tiles.withColumn("home", F.lit(True))).groupBy("seed_id", "tile").agg(F.max("home").alias("home"))
+        return cut(known)
+
+    parts, state = [], seeds.select("seed_id", F.lit(-1).alias("claim"), F.lit(None).cast("boolean").alias("collided"))
+    turn = 0
+    while not state.where("claim < 0").isEmpty():
+        if turn < TILINGS:
+            parts.append(tiling(turn / TILINGS))
+        part = parts[turn % TILINGS]
+        # only tiles with unsettled seeds go on
+        open_ = part.where("home").join(state.where("claim < 0"), "seed_id", "left_semi").select("tile").distinct()
+        now = part.join(open_, "tile", "left_semi").join(state.select("seed_id", "claim"), "seed_id").join(seeds, "seed_id")
+        got = now.groupBy("tile").applyInPandas(lambda batch: _pass(batch, radius), f"seed_id {kind}, now int, missed boolean")
+        state = cut(state.join(got, "seed_id", "left").select("seed_id", F.coalesce("now", "claim").alias("claim"), F.coalesce("missed", "collided").alias("collided")))
+        turn += 1
+    chosen = state.join(seeds.select("seed_id", "ranks"), "seed_id")
+    return chosen.select("seed_id", F.get("ranks", F.col("claim")).cast("int").alias("rank"), "collided")
+
+
+def assign_unclaimed(seeds: DataFrame, candidates: DataFrame, radius: float = 50.0, most: int = TILE) -> DataFrame:
     """seed_id, rank, collided of every seed with a candidate: the first by rank with no claim within ``radius``.
 
     seeds: seed_id, elevation. candidates: seed_id, rank, lat, lng. Seeds claim from the highest on, those without an
-    elevation last, then by id. If all of a seed's candidates collide it keeps the first and says so. Seeds that
-    can't meet are in different groups; a group is settled in one task, or in rounds if it has more than ``most`` seeds.
+    elevation last, then by id. If all of a seed's candidates collide it keeps the first and says so. ``most``: seeds
+    of a tile, about.
     """
-    rows = candidates.join(groups(candidates, radius), "seed_id").join(seeds.select("seed_id", F.col("elevation").cast("double").alias("elevation")), "seed_id")
-    rows = cut(rows.withColumn("rank", F.col("rank").cast("int")))
-    sizes = rows.groupBy("group").agg(F.countDistinct("seed_id").alias("members"))
-    large = sizes.where(F.col("members") > most).select("group")
-    kind = candidates.schema["seed_id"].dataType.simpleString()
-    out = rows.join(large, "group", "left_anti").groupBy("group").applyInPandas(lambda batch: _settle(batch, radius), f"seed_id {kind}, rank int, collided boolean")
-    crowded = rows.join(large, "group", "left_semi")
-    return out if crowded.isEmpty() else out.unionByName(in_rounds(crowded, radius))
+    rows = candidates.join(seeds.select("seed_id", F.col("elevation").cast("double").alias("elevation")), "seed_id")
+    return in_rounds(rows.withColumn("rank", F.col("rank").cast("int")), radius, most)
