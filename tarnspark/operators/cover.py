@@ -17,9 +17,12 @@ from heapq import heappop, heappush
 from itertools import count
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import udtf
+from pyspark.sql.types import StructType
 
 from ..functions.geo import in_rings
 from ..session import cut
@@ -28,6 +31,8 @@ from ..session import cut
 CORNERS, LEVELS, FINEST = 96, 2, 23
 #: Corners of all cells as a multiple of the polygon's, and the least that it comes to.
 SPREAD, LEAST = 8, 10_000
+#: Points x corners of a cell from which rays are cast in blocks; points and cells of a block; points met by edges at a time.
+CROWD, BLOCK, PAIRS = 100_000, (10_000, 200), 2_000_000
 
 
 def width(level: int) -> float:
@@ -149,10 +154,66 @@ def cell_on(level: int, lng: Column, lat: Column) -> Column:
     return F.struct(F.lit(level).alias("level"), at(lng).alias("x"), at(lat).alias("y"))
 
 
+def _edges(rings: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, first corner and last corner (lng, lat) of each edge of rows of closed rings."""
+    parts = rings.flatten()
+    n_rings, n_corners = (pc.fill_null(pc.list_value_length(x), 0).to_numpy(zero_copy_only=False) for x in (rings, parts))
+    corners = parts.flatten()
+    at = np.stack([corners.field(c).to_numpy(zero_copy_only=False) for c in ("lng", "lat")], axis=1)
+    ring = np.repeat(np.arange(len(n_corners)), n_corners)
+    joined = np.flatnonzero(ring[:-1] == ring[1:])
+    return np.repeat(np.arange(len(n_rings)), n_rings)[ring[joined]], at[joined], at[joined + 1]
+
+
+def _rays(lng: np.ndarray, lat: np.ndarray, owner: np.ndarray, a: np.ndarray, b: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Points and polygons (0 to n - 1) of the pairs in which an odd number of the polygon's edges lies east of the point.
+
+    Points in the order of latitude: those that an edge's latitudes hold are neighbours, and no other is compared with it.
+    """
+    order = np.argsort(lat, kind="stable")
+    x, y = lng[order], lat[order]
+    first, last = (np.searchsorted(y, f(a[:, 1], b[:, 1])) for f in (np.minimum, np.maximum))
+    met, crossed = last - first, np.zeros(n * len(y), np.int32)
+    # so many edges at a time that they meet PAIRS points or so
+    bounds = np.searchsorted(np.cumsum(met), np.arange(PAIRS, int(met.sum()) + PAIRS, PAIRS), side="left") + 1
+    start = 0
+    for end in bounds.tolist():
+        e = np.repeat(np.arange(start, min(end, len(met))), met[start:end])
+        k = np.arange(len(e)) - np.repeat(np.cumsum(met[start:end]) - met[start:end], met[start:end]) + first[e]
+        east = x[k] < (b[e, 0] - a[e, 0]) * (y[k] - a[e, 1]) / (b[e, 1] - a[e, 1]) + a[e, 0]
+        crossed += np.bincount(owner[e[east]] * len(y) + k[east], minlength=len(crossed)).astype(np.int32)
+        start = end
+    polygon, point = np.divmod(np.flatnonzero(crossed % 2), max(1, len(y)))
+    return order[point], polygon
+
+
+def _dealt(points: DataFrame, cells: DataFrame, crowds: DataFrame) -> DataFrame:
+    """points inside cut cells (_cell, _rings) of crowds (_cell, _n, _m): blocks of BLOCK points meet blocks of cells, each pair in one task."""
+    shares = crowds.select("_cell", F.ceil(F.col("_n") / BLOCK[0]).cast("int").alias("_k"), F.ceil(F.col("_m") / BLOCK[1]).cast("int").alias("_l"))
+    plain = [c for c in points.columns if c != "_cell" and points.schema[c].dataType.typeName() not in ("map", "variant")]
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    p = points.join(F.broadcast(shares), "_cell").withColumn("_i", F.pmod(F.xxhash64(*plain), F.col("_k")).cast("int")).withColumn("_j", every("_l")).drop("_k", "_l")
+    c = cells.withColumn("_id", F.monotonically_increasing_id()).join(F.broadcast(shares), "_cell")
+    c = c.withColumn("_j", F.pmod("_id", F.col("_l")).cast("int")).withColumn("_i", every("_k")).drop("_id", "_k", "_l")
+    here = [x for x in points.columns if x != "_cell"]
+    there = [x for x in cells.columns if x not in ("_cell", "_rings")]
+
+    def meet(left: pa.Table, right: pa.Table) -> pa.Table:
+        left, right = left.combine_chunks(), right.combine_chunks()
+        owner, a, b = _edges(pa.concat_arrays(right["_rings"].chunks))
+        point, polygon = _rays(*(left[x].to_numpy().astype(float) for x in ("lng", "lat")), owner, a, b, len(right))
+        return pa.table([*(left[x].take(pa.array(point)) for x in here), *(right[x].take(pa.array(polygon)) for x in there)], names=[*here, *there])
+
+    schema = StructType([*(points.schema[x] for x in here), *(cells.schema[x] for x in there)])
+    keys = ["_cell", "_i", "_j"]
+    return p.groupBy(*keys).cogroup(c.groupBy(*keys)).applyInArrow(meet, schema)
+
+
 def in_cover(points: DataFrame, cells: DataFrame) -> DataFrame:
     """points (lat, lng) with the columns of the polygons whose cover's cells they lie in, once for each polygon.
 
-    ``cells`` is read twice and should be written or cached; its levels, a dozen at most, come to the driver.
+    ``cells`` is read a few times and should be written or cached; its levels, a dozen at most, come to the driver. Whole cells need
+    an equi-join only. Where many points meet many corners rays are cast block by block, elsewhere pair by pair.
     """
     levels = sorted(r["level"] for r in cells.select("level").distinct().collect())
     if not levels:
@@ -161,7 +222,14 @@ def in_cover(points: DataFrame, cells: DataFrame) -> DataFrame:
     sound = F.col("lng").isNotNull() & F.col("lat").isNotNull() & ~F.isnan("lng") & ~F.isnan("lat")
     p = points.where(sound).withColumn("_cell", F.explode(looks))
     c = cells.select(F.struct("level", "x", "y").alias("_cell"), F.col("whole").alias("_whole"), F.col("rings").alias("_rings"), *[x for x in cells.columns if x not in ("level", "x", "y", "whole", "rings")])
-    return p.join(c, "_cell").where(F.col("_whole") | in_rings("lng", "lat", "_rings")).drop("_cell", "_whole", "_rings")
+    sizes = c.where(~F.col("_whole")).groupBy("_cell").agg(F.count("*").alias("_m"), F.sum(F.size(F.flatten("_rings"))).alias("_corners"))
+    counts = p.groupBy("_cell").agg(F.count("*").alias("_n"))
+    crowds = cut(sizes.join(counts, "_cell").where(F.col("_n") * F.col("_corners") >= CROWD).select("_cell", "_n", "_m"))
+    if crowds.isEmpty():
+        return p.join(c, "_cell").where(F.col("_whole") | in_rings("lng", "lat", "_rings")).drop("_cell", "_whole", "_rings")
+    rest = c.join(F.broadcast(crowds.select("_cell", F.lit(True).alias("_crowd"))), "_cell", "left").where(F.col("_whole") | F.col("_crowd").isNull()).drop("_crowd")
+    apart = p.join(rest, "_cell").where(F.col("_whole") | in_rings("lng", "lat", "_rings")).drop("_cell", "_whole", "_rings")
+    return apart.unionByName(_dealt(p, c.where(~F.col("_whole")).drop("_whole"), crowds))
 
 
 def in_polygons(points: DataFrame, polygons: DataFrame) -> DataFrame:

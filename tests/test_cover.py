@@ -89,3 +89,22 @@ def test_no_polygons(spark):
     points = spark.createDataFrame([(1, 1.0, 1.0)], "n int, lat double, lng double")
     assert cover.in_polygons(points, spark.createDataFrame([], RINGS)).collect() == []
     assert cover.in_polygons(points.limit(0), spark.createDataFrame([(1, [[(0.0, 0.0), (2.0, 0.0), (1.0, 2.0)]])], RINGS)).collect() == []
+
+
+def test_crowds_are_met_in_blocks(spark, monkeypatch):
+    """Many places in the same cut cells of many polygons: a block of each at a time, and the same pairs."""
+    shapes = [[wave(300, -105.0 + i / 50, 39.0, 1.0, i), wave(100, -105.0 + i / 50, 39.0, 0.4, i + 50)] for i in range(9)]
+    as_rows = lambda parts: [[(float(x), float(y)) for x, y in r] for r in parts]
+    polygons = spark.createDataFrame([(i, as_rows(s)) for i, s in enumerate(shapes)], RINGS)
+    places = np.random.default_rng(4).uniform([-106.2, 37.8], [-103.6, 40.2], (3000, 2)).round(2)
+    points = spark.createDataFrame([(i, float(y), float(x), {"a": i}) for i, (x, y) in enumerate(places)], "n int, lat double, lng double, more map<string,int>")
+    cells = cover.cover(polygons).persist()
+    want = sorted((i, k) for k, s in enumerate(shapes) for i in np.flatnonzero(inside(s, places)).tolist())
+    for crowd in (1, 20_000):
+        monkeypatch.setattr(cover, "CROWD", crowd)
+        monkeypatch.setattr(cover, "BLOCK", (100, 2))
+        monkeypatch.setattr(cover, "PAIRS", 500)
+        met = cover.in_cover(points, cells)
+        assert "CoGroups" in met._jdf.queryExecution().executedPlan().toString()
+        assert sorted((r.n, r.id) for r in met.where("more['a'] = n").collect()) == want
+    cells.unpersist()
