@@ -72,7 +72,9 @@ def random_cells(cells: DataFrame, seeds: DataFrame, n: int = 2, near: float = 2
     tries = seeds.withColumn("try", F.explode(F.sequence(F.lit(1), F.lit(3 * n))))
     angle, metres = 2 * math.pi * u(0), near + (far - near) * u(1)
     places = tries.select("tile_id", "try", F.round(F.col("seed_row") - metres * F.cos(angle)).cast("int").alias("row"), F.round(F.col("seed_col") + metres * F.sin(angle)).cast("int").alias("col"))
-    inside = places.join(cells.where(F.col("elev").isNotNull()).select(*raster.CELL), raster.CELL, "left_semi").dropDuplicates(raster.CELL)
+    lists = places.groupBy("tile_id").agg(F.collect_list(F.struct("row", "col", "try")).alias("_tries"))
+    own = F.transform(F.filter("_tries", lambda x: (x["row"] == F.col("row")) & (x["col"] == F.col("col"))), lambda x: x["try"])
+    inside = cells.where(F.col("elev").isNotNull()).select(*raster.CELL).join(lists, "tile_id").withColumn("try", F.array_min(own)).where(F.col("try").isNotNull())
     ranked = inside.withColumn("_n", F.row_number().over(Window.partitionBy("tile_id").orderBy("try")))
     return ranked.where(F.col("_n") <= n).select(*raster.CELL)
 
