@@ -117,7 +117,19 @@ def rank_table(spark, d):
     return found.select(F.col("page_id").alias("p_brand"), number.alias("p_partkey"), "name", "overall_rank", "rank", _r("elevation"))
 
 
-@query(r"SELECT page_id, len(regexp_extract_all(html, '<li>')) AS items, trim(replace(regexp_extract(html, '<h1>([^<]*)</h1>', 1),'&amp;','&')) AS name FROM pages")
+def _text_sql(html: str) -> str:
+    """Text of a piece of HTML as ``strip_tags`` has it: without scripts, styles and tags, entities read, blanks as one."""
+    out = f"regexp_replace(regexp_replace({html}, '<script\\b.*?</script>|<style\\b.*?</style>', ' ', 'gis'), '<[^>]*>', ' ', 'g')"
+    for written, char in (("&#0?39;|&apos;", "''"), ("&quot;", '"'), ("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&deg;", "°"), ("&amp;", "&")):
+        out = f"regexp_replace({out}, '{written}', '{char}', 'g')"
+    return f"nullif(trim(regexp_replace({out}, '\\s+', ' ', 'g')), '')"
+
+
+def _heading_sql(tag: str) -> str:
+    return _text_sql(f"regexp_extract(html, '<{tag}\\b[^>]*>(.*?)</{tag}>', 1, 'is')")
+
+
+@query(f"SELECT page_id, len(regexp_extract_all(html, '<li>')) AS items, coalesce({_heading_sql('h1')}, {_heading_sql('title')}) AS name FROM pages")
 def page_headings(spark, d):
     """Headings of the pages as they are."""
     return table(spark, d, "pages").select("page_id", F.size(F.regexp_extract_all("html", F.lit("<li>"), F.lit(0))).cast("long").alias("items"), text.heading("html").alias("name"))

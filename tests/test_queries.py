@@ -50,3 +50,15 @@ def test_one_to_one_takes_all_customers(spark):
     keys = [r.c_custkey for r in spark.read.parquet(f"{d}/customer.parquet").select("c_custkey").collect()]
     assert len(keys) > 500 and sorted(r.ext_id for r in got) == sorted(keys)
     assert {r.ext_id for r in got if r.outcome == "skipped"} == {k for k in keys if k % 17 == 0}
+
+
+def test_headings_with_entities_equal_sql(spark, tmp_path):
+    """Entities of all kinds, tags within a heading, and pages without one."""
+    heads = ["<h1>a &amp; b</h1>", "<h1>say &quot;x&quot; &lt;y&gt; &apos;z&#39;</h1>", '<H1 class="t">\n two <b>words</b>&nbsp;</H1>', "<title>only &deg; this</title>", "<h1> </h1><title>t</title>", "<p>none</p>", "<h1>x<script>var a = 1;</script>y &amp;quot;</h1>", "<h1>first</h1><h1>second</h1>"]
+    spark.createDataFrame([(i, f"<ul><li>1</li></ul>{h}") for i, h in enumerate(heads)], "page_id long, html string").coalesce(1).write.parquet(str(tmp_path / "pages.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
+    want = sorted(con.execute(plans.SQL["page_headings"]).fetchall())
+    got = sorted((r.page_id, r["items"], r["name"]) for r in plans.QUERIES["page_headings"](spark, str(tmp_path)).collect())
+    assert got == want
+    assert [r[2] for r in got] == ["a & b", "say \"x\" <y> 'z'", "two words", "only ° this", "t", None, "x y &quot;", "first"]
