@@ -17,20 +17,20 @@ def history(ledger: DataFrame, manual: DataFrame) -> DataFrame:
 
 
 def before(seen: DataFrame, activities: DataFrame) -> DataFrame:
-    """(user, activity) of ``activities`` x the user's visits of other activities or of none, distinct by site."""
+    """(user, activity) of ``activities`` x the user's visits of other activities or of none, a site as often as it was visited."""
     a = activities.select("user_id", F.col("activity_id").alias("current_id"))
     other = F.col("activity_id").isNull() | (F.col("activity_id") != F.col("current_id"))
-    return seen.join(a, "user_id").where(other).select("user_id", "current_id", "site_id").distinct()
+    return seen.join(a, "user_id").where(other).select("user_id", "current_id", "site_id")
 
 
 def prior_highest(seen: DataFrame, activities: DataFrame, sites: DataFrame) -> DataFrame:
-    known = before(seen, activities).join(sites.where(F.col("elevation").isNotNull()), "site_id")
+    known = before(seen, activities).join(sites.where(F.col("elevation").isNotNull()).select("site_id", "elevation"), "site_id")
     return known.groupBy("user_id", "current_id").agg(F.max("elevation").alias("max_elevation"))
 
 
 def prior_places(seen: DataFrame, activities: DataFrame, sites: DataFrame) -> DataFrame:
-    known = before(seen, activities).join(sites, "site_id").where(F.col("state").isNotNull() | F.col("country").isNotNull())
-    return known.select("user_id", "current_id", "state", "country").distinct()
+    placed = sites.where(F.col("state").isNotNull() | F.col("country").isNotNull()).select("site_id", "state", "country")
+    return before(seen, activities).join(placed, "site_id").select("user_id", "current_id", "state", "country").distinct()
 
 
 def site_stats(seen: DataFrame, activities: DataFrame) -> DataFrame:
