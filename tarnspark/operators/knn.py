@@ -1,10 +1,10 @@
 """The k nearest sites of every point, however far, by a quadtree that follows the sites' density.
 
-The tree's nodes are cells of degrees on every other level with their numbers of sites; a node with at most LEAF sites is not split. All
-points go down the tree together, a level a round: a point keeps the nodes that can hold one of its k nearest. Of a node it knows
+Sites at one place are equally far from any point, so a place stands for its k smallest ids. The tree's nodes are cells of degrees on
+every other level with their numbers of sites; a node with at most LEAF places is not split. All points go down the tree together, a level a round: a point keeps the nodes that can hold one of its k nearest. Of a node it knows
 the least and the greatest distance it can have; the nodes nearest by the greatest that have k sites between them bound the
 search, and any node whose least distance is beyond that bound goes. So a round joins points to the children of the few nodes each
-has kept, and the last step compares a point with the sites of its leaves only, near or far, dense or sparse.
+has kept, and the last step compares a point with the places of its leaves only, near or far, dense or sparse, crowded or not.
 """
 
 from __future__ import annotations
@@ -16,8 +16,9 @@ from pyspark.sql import functions as F
 
 from ..functions.geo import EARTH_RADIUS_M, haversine
 from ..session import cut
+from .cells import first_of_places, places
 
-#: Sites of a leaf at most; levels of a step; the finest level (cells of 40 m or so, which may hold more sites).
+#: Places of a leaf at most; levels of a step; the finest level (cells of 40 m or so, which may hold more places).
 LEAF, STEP, FINEST = 32, 2, 20
 #: Rows of one key that a join's task may get, about.
 HOT = 500_000
@@ -51,21 +52,20 @@ def _bounds(node: Column) -> tuple[Column, Column]:
     return F.greatest(F.lit(0.0), least - 0.01), most + 0.01
 
 
-def tree(sites: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Nodes (node, n, inner) of the tree, and the sites with the leaf they are in (site_id, lat, lng, leaf)."""
+def tree(at: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Nodes (node, n, inner) of the tree over places (lat, lng, ids) with their numbers of ids, and the places with the leaf they are in."""
     levels = list(range(0, FINEST + 1, STEP))
-    rows = sites.where(F.col("lat").isNotNull() & F.col("lng").isNotNull() & ~F.isnan("lat") & ~F.isnan("lng")).select("site_id", "lat", "lng")
-    each = rows.select("*", F.explode(F.array(*[_node(F.lit(v), F.col("lng"), F.col("lat")) for v in levels])).alias("node"))
-    nodes = cut(each.groupBy("node").agg(F.count("*").alias("n")).withColumn("inner", (F.col("n") > LEAF) & (F.col("node.level") < FINEST)))
-    # a site's leaf lies under as many inner nodes as there are; coarse nodes have many sites, which are dealt out by salt
-    largest = {r[0]: r[1] for r in nodes.groupBy("node.level").agg(F.max("n")).collect()}
+    each = at.select("lat", "lng", F.size("ids").alias("_size"), F.explode(F.array(*[_node(F.lit(v), F.col("lng"), F.col("lat")) for v in levels])).alias("node"))
+    nodes = cut(each.groupBy("node").agg(F.sum("_size").alias("n"), F.count("*").alias("_places")).withColumn("inner", (F.col("_places") > LEAF) & (F.col("node.level") < FINEST)))
+    # a place's leaf lies under as many inner nodes as there are; coarse nodes have many places, which are dealt out by salt
+    largest = {r[0]: r[1] for r in nodes.groupBy("node.level").agg(F.max("_places")).collect()}
     salts = F.create_map(*[F.lit(x) for v in levels for x in (v, max(1, -(-largest.get(v, 0) // HOT)))])
     most = F.element_at(salts, F.col("node.level"))
     inner = nodes.where("inner").select("node", F.explode(F.sequence(F.lit(0), most - 1)).alias("_salt"))
-    salted = each.withColumn("_salt", F.pmod(F.xxhash64("site_id"), most).cast("int"))
-    depth = salted.join(inner, ["node", "_salt"]).groupBy("site_id", "lat", "lng").agg((F.count_distinct("node") * STEP).alias("_level"))
-    placed = rows.join(depth, ["site_id", "lat", "lng"], "left")
-    return nodes, placed.select("site_id", "lat", "lng", _node(F.coalesce("_level", F.lit(0)), F.col("lng"), F.col("lat")).alias("leaf"))
+    salted = each.withColumn("_salt", F.pmod(F.xxhash64("lat", "lng"), most).cast("int"))
+    depth = salted.join(inner, ["node", "_salt"]).groupBy("lat", "lng").agg((F.count_distinct("node") * STEP).alias("_level"))
+    placed = at.join(depth, ["lat", "lng"], "left")
+    return nodes.drop("_places"), placed.select("lat", "lng", "ids", _node(F.coalesce("_level", F.lit(0)), F.col("lng"), F.col("lat")).alias("leaf"))
 
 
 def nearest(points: DataFrame, sites: DataFrame, k: int, others: bool = False) -> DataFrame:
@@ -74,8 +74,9 @@ def nearest(points: DataFrame, sites: DataFrame, k: int, others: bool = False) -
     With ``others`` a site of the point's own id doesn't count. Points and sites without coordinates take no part; if there are fewer
     sites, all are given.
     """
-    nodes, placed = tree(sites)
     need = k + 1 if others else k
+    sound = sites.where(F.col("lat").isNotNull() & F.col("lng").isNotNull() & ~F.isnan("lat") & ~F.isnan("lng"))
+    nodes, placed = tree(cut(places(sound, need).withColumnsRenamed({"r_lat": "lat", "r_lng": "lng"})))
     # children of a node, to go down by; a point starts at the root
     up = F.struct((F.col("node.level") - STEP).cast("int").alias("level"), F.shiftright("node.x", STEP).alias("x"), F.shiftright("node.y", STEP).alias("y"))
     below = nodes.where(F.col("node.level") > 0).select(up.alias("node"), F.struct("node", "n", "inner").alias("_child"))
@@ -98,8 +99,10 @@ def nearest(points: DataFrame, sites: DataFrame, k: int, others: bool = False) -
         met = met.withColumn("_reach", F.when(so_far >= need, F.col("_most")))
         bound = F.min("_reach").over(Window.partitionBy("point_id"))
         at = cut(met.withColumn("_bound", bound).where(F.col("_bound").isNull() | (F.col("_least") <= F.col("_bound"))).select("point_id", "lat", "lng", "node", "n", "inner"))
-    s = placed.select(F.col("leaf").alias("node"), "site_id", F.col("lat").alias("r_lat"), F.col("lng").alias("r_lng"))
-    pairs = at.join(s, "node").withColumn("distance_m", haversine("lat", "lng", "r_lat", "r_lng"))
-    pairs = pairs.where(F.col("point_id") != F.col("site_id")) if others else pairs
+    s = placed.select(F.col("leaf").alias("node"), "ids", F.col("lat").alias("r_lat"), F.col("lng").alias("r_lng"))
+    met = at.join(s, "node").select("point_id", "ids", haversine("lat", "lng", "r_lat", "r_lng").alias("distance_m"))
+    found = first_of_places(met, "point_id", "distance_m", need, "rank").select("point_id", "site_id", "distance_m", "rank")
+    if not others:
+        return found
     ranked = Window.partitionBy("point_id").orderBy("distance_m", "site_id")
-    return pairs.withColumn("rank", F.row_number().over(ranked)).where(F.col("rank") <= k).select("point_id", "site_id", "distance_m", "rank")
+    return found.where(F.col("point_id") != F.col("site_id")).withColumn("rank", F.row_number().over(ranked)).where(F.col("rank") <= k)

@@ -5,7 +5,7 @@ import random
 
 import pytest
 
-from tarnspark.operators import knn
+from tarnspark.operators import cells, knn
 
 
 def metres(a, b):
@@ -62,3 +62,16 @@ def test_not_itself(spark):
     found = knn.nearest(rows, rows.withColumnRenamed("point_id", "site_id"), 1, others=True).collect()
     assert len(found) == 50 and all(abs(r.point_id - r.site_id) == 1 for r in found)
     assert {r.rank for r in found} == {1}
+
+
+def test_a_place_of_many_sites_is_one_entry(spark):
+    """Sites that share places make no node deeper, and a point meets each place once, with as many ids as are asked for."""
+    sites = [(i, 10.0 + i % 3, 20.0) for i in range(300)]
+    at = cells.places(spark.createDataFrame(sites, "site_id long, lat double, lng double"), 4).withColumnsRenamed({"r_lat": "lat", "r_lng": "lng"})
+    nodes, placed = knn.tree(at)
+    assert nodes.where("inner").count() == 0 and placed.count() == 3 and {len(r.ids) for r in placed.collect()} == {4}
+    found = check(spark, [(1, 10.4, 20.0), (2, -50.0, 60.0)], sites, 4)
+    assert [j for _, j in found[1]] == [0, 3, 6, 9]
+    rows = spark.createDataFrame(sites, "point_id long, lat double, lng double")
+    near = knn.nearest(rows, rows.withColumnRenamed("point_id", "site_id"), 2, others=True).where("point_id in (0, 3, 299)").orderBy("point_id", "rank").collect()
+    assert [(r.point_id, r.site_id, r.rank) for r in near] == [(0, 3, 1), (0, 6, 2), (3, 0, 1), (3, 6, 2), (299, 2, 1), (299, 5, 2)]
