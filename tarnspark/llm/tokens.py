@@ -2,7 +2,7 @@
 
 Counting is map-only. A compact table with the token lengths of frequent pre-tokens is broadcast;
 what it lacks is encoded by the library, once for each distinct pre-token, and kept in a bounded cache of
-the Python worker, which takes whole words too. No pre-token is ever shuffled.
+the Python worker. No pre-token is ever shuffled.
 
 Pre-tokens are found with a plain regular expression only in texts made of the characters for which
 this expression and the library's normaliser and splitter agree by inspection (printable Latin-1 and
@@ -32,7 +32,7 @@ FREQUENT = 40_000
 CACHE = 250_000
 
 _OTHER = re.compile(r"[^\t\n\r\x20-\x7e\xa1-\xff]|<\|")
-_PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zªµºß-öø-ÿ]+|[0-9²³¹¼½¾]|[^\sa-zªµºß-öø-ÿ0-9²³¹¼½¾]+")
+_PIECES = re.compile(r"[a-zªµºß-öø-ÿ]+|'s|'t|'re|'ve|'m|'ll|'d|[0-9²³¹¼½¾]|[^\sa-zªµºß-öø-ÿ0-9²³¹¼½¾]+")
 _loaded: dict[str, object] = {}
 _ends: dict[str, np.ndarray] = {}
 _caches: dict[tuple, PieceCache] = {}
@@ -54,13 +54,9 @@ def default_path() -> str:
     return public_tokenizers.path(TOKENIZER)
 
 
-def plain_words(text: str) -> list[str] | None:
-    """The words of a plain text, between white space; None if the library has to split it. No pre-token crosses a blank."""
-    return None if _OTHER.search(text) else text.lower().split()
-
-
-def pre_tokens(word: str) -> list[str]:
-    return _PIECES.findall(word)
+def pre_tokens(text: str) -> list[str] | None:
+    """The pre-tokens of a plain text; None if the library has to split it. They are far fewer than words with their punctuation."""
+    return None if _OTHER.search(text) else _PIECES.findall(text.lower())
 
 
 def lengths_of(ids: np.ndarray, ends: np.ndarray) -> list[int]:
@@ -91,36 +87,31 @@ def encode_pieces(path: str, pieces: list[str], values) -> Iterator[object]:
 
 
 class PieceCache:
-    """Values of the words and pre-tokens met so far; ``join`` adds up the values of a word's pre-tokens or a text's words."""
+    """Values of the pre-tokens met so far; ``join`` adds up those of a text."""
 
     def __init__(self, path: str, values, join, known: dict | None = None):
         self.path, self.values, self.join = path, values, join
         self.known, self.before = {}, dict(known or {})
 
     def learn(self, split: list[list[str] | None]) -> None:
-        fresh = set().union(*(words for words in split if words is not None)).difference(self.known)
+        met = set().union(*(pieces for pieces in split if pieces is not None))
+        fresh = met.difference(self.known)
         if len(self.known) + len(fresh) > CACHE:
-            # the words of these texts move to the new generation, the one before the last goes
-            self.known, self.before = {}, self.known
-            fresh = set().union(*(words for words in split if words is not None))
+            # the pre-tokens of these texts move to the new generation, the one before the last goes
+            self.known, self.before, fresh = {}, self.known, met
         again = self.before.keys() & fresh
-        self.known.update((word, self.before[word]) for word in again)
-        fresh -= again
-        several = {word: pieces for word in fresh if not word.isalpha() and len(pieces := pre_tokens(word)) > 1}
-        missing = [word for word in fresh if word not in several]
-        missing += set().union(*several.values()).difference(self.known, missing)
+        self.known.update((piece, self.before[piece]) for piece in again)
+        missing = list(fresh - again)
         self.known.update(zip(missing, encode_pieces(self.path, missing, self.values), strict=True))
-        of = self.known.__getitem__
-        self.known.update([(word, self.join(map(of, pieces))) for word, pieces in several.items()])
 
     def texts(self, texts: list[str]) -> Iterator[object]:
         """The joined value of each text, in order."""
-        split = [plain_words(t) for t in texts]
+        split = [pre_tokens(t) for t in texts]
         self.learn(split)
         of = self.known.__getitem__
-        for text, words in zip(texts, split, strict=True):
-            if words is not None:
-                yield self.join(map(of, words))
+        for text, pieces in zip(texts, split, strict=True):
+            if pieces is not None:
+                yield self.join(map(of, pieces))
             else:
                 ids = np.array(tokenizer(self.path).encode(text, add_special_tokens=False).ids, "<u4")
                 yield self.values(ids, np.array([len(ids)]))[0]
@@ -141,9 +132,7 @@ def _frequent(docs: DataFrame, path: str) -> dict[str, int]:
         seen: Counter = Counter()
         for batch in batches:
             for text in batch["text"]:
-                for word, n in Counter(plain_words(text) or ()).items():
-                    for piece in pre_tokens(word):
-                        seen[piece] += n
+                seen.update(pre_tokens(text) or ())
         words = [w for w, _ in seen.most_common(FREQUENT)]
         yield pd.DataFrame({"piece": words, "n": list(encode_pieces(path, words, lengths_of))})
 

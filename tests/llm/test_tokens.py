@@ -71,3 +71,12 @@ def test_classes_hold_a_fixed_count():
     pieces = packing.pack_block([1300] * 30 + [900] * 8 + [10] * 400)
     first = [p for p in pieces if p[3] == 0]
     assert sum(p[2] for p in first) == 4096 and sum(p[2] == 1300 for p in first) == 3
+
+
+def test_the_cache_holds_pre_tokens_only():
+    """Words that differ in their punctuation are no entries of their own; the ids are the library's."""
+    path = tokens.default_path()
+    cache = tokens.PieceCache(path, tokens.bytes_of, b"".join)
+    texts = ["Stone. stone, (stone) stone's 12stone3 isn't", "stone!! 'REally' o'll'd ½stoneß", ""]
+    assert [np.frombuffer(b, "<u4").tolist() for b in cache.texts(texts)] == [ids(t) for t in texts]
+    assert {"stone", ".", "'s", "1"} <= cache.known.keys() and not {"stone.", "stone's", "12stone3"} & cache.known.keys()
