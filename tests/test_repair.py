@@ -102,3 +102,17 @@ def test_failures_stop_no_other(spark):
     assert all(said[n].startswith("no corners") for n in ("null", "none", "empty ring", "nan"))
     assert all(said[n] == "repaired" for n in CASES if n not in ("common corner", "twice", "line"))
     assert {r["repair_note"]: r["rings"] for r in found}["nan"][0][1]["lng"] == 1.0
+
+
+def test_equal_rings_are_repaired_once(spark):
+    """Copies under other keys cost no more repairs, and each gets the result."""
+    as_rows = lambda parts: [[(float(x), float(y)) for x, y in r] for r in parts]
+    names = ["bow tie", "hole shares an edge", "twice"]
+    frame = spark.createDataFrame([(i, as_rows(CASES[names[i % 3]][0])) for i in range(60)] + [(60, None)], "poly_id int, rings array<array<struct<lng:double,lat:double>>>")
+    assert repair._different(repair._numbered(frame)).count() == 4
+    found = {r.poly_id: r for r in repair.repair(frame).collect()}
+    assert len(found) == 61 and found[60].repair.startswith("no corners")
+    for i in range(60):
+        new, _ = repair.repaired(CASES[names[i % 3]][0])
+        assert found[i].repair == ("repaired" if new else "empty")
+        assert [[(p["lng"], p["lat"]) for p in r] for r in found[i].rings] == [[tuple(p) for p in r.tolist()] for r in new]
