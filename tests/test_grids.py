@@ -46,3 +46,19 @@ def test_bounds(cells):
     with pytest.raises(ValueError, match="halo"):
         grids.dominance(cells, 10, 15, 8)
     assert grids.focal_max(cells.limit(0)).collect() == []
+
+
+def test_missing_blocks_and_many_small_ones(spark, monkeypatch):
+    """Blocks that have no cells, batches that end within a block, and a worker that gets no group of its own for each block."""
+    monkeypatch.setattr(grids, "AT_ONCE", 300, raising=False)
+    rng = random.Random(5)
+    made = [(None if tile == 7 else tile + (1 << 53), r, c, float(rng.randint(0, 40))) for tile in range(40) for r in range(-3, 13) for c in range(13) if not (tile % 3 and 0 <= r < 5 and 5 <= c < 10)]
+    cells = spark.createDataFrame(made, "tile_id long, row int, col int, elev double")
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        found = grids.dominance(cells, 2, 3, 5)
+        assert "FlatMapGroupsInPandas" not in found._jdf.queryExecution().executedPlan().toString()
+        assert rows(found, "radial", "neighbourhood", "confidence") == rows(raster.dominance(cells.where("tile_id IS NOT NULL"), 2, 3), "radial", "neighbourhood", "confidence")
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
