@@ -16,6 +16,13 @@ def history(ledger: DataFrame, manual: DataFrame) -> DataFrame:
     return counted.select(*columns).unionByName(manual.select(*columns))
 
 
+def visit_counts(seen: DataFrame, tasks: int) -> DataFrame:
+    """user_id, n, with_activity, sites: each user's visits, those of an activity, and different sites; pairs of user and site in ``tasks`` parts."""
+    dealt = seen.select("user_id", "site_id", F.col("activity_id").isNotNull().alias("_known")).repartition(tasks, "user_id", "site_id")
+    pairs = dealt.groupBy("user_id", "site_id").agg(F.count("*").alias("n"), F.count_if("_known").alias("with_activity"))
+    return pairs.groupBy("user_id").agg(F.sum("n").alias("n"), F.sum("with_activity").alias("with_activity"), F.count("site_id").alias("sites"))
+
+
 def before(seen: DataFrame, activities: DataFrame) -> DataFrame:
     """(user, activity) of ``activities`` x the user's visits of other activities or of none, a site as often as it was visited."""
     a = activities.select("user_id", F.col("activity_id").alias("current_id"))

@@ -13,3 +13,8 @@ def test_prior_places_and_heights(spark):
     # rows of (user, activity, site) aren't aggregated on the way
     grouped = lambda df: df._jdf.queryExecution().optimizedPlan().toString().count("Aggregate")
     assert grouped(highest) == 1 and grouped(places) == 1
+
+
+def test_visit_counts(spark):
+    seen = spark.createDataFrame([(1, 10, 100), (1, 10, None), (1, 11, 100), (1, None, 7), (2, None, None)], "user_id int, site_id int, activity_id int")
+    assert sorted(map(tuple, progress.visit_counts(seen, 3).collect())) == [(1, 4, 3, 2), (2, 1, 0, 0)]

@@ -1,10 +1,12 @@
 """Every query against the SQL beside it, on the smallest tables."""
 
 import math
+import re
 
 import duckdb
 import pytest
 
+from tarnspark.plans import lens
 from tarnspark.plans import queries as plans
 
 D = "/root/testdata/sf0.001"
@@ -52,6 +54,17 @@ def test_one_to_one_takes_all_customers(spark):
     assert {r.ext_id for r in got if r.outcome == "skipped"} == {k for k in keys if k % 17 == 0}
 
 
+def test_ledger_tasks_follow_the_lines(spark, duck, monkeypatch):
+    """More lines, more tasks: joins and the pairs of user and site are in 61 parts, and results stay."""
+    lines = duck.execute("SELECT count(*) FROM lineitem").fetchall()[0][0]
+    monkeypatch.setattr(lens, "LINES", -(-lines // 61), raising=False)
+    found = plans.QUERIES["ledger_union_history"](spark, D)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert all(re.search(rf"hashpartitioning\({key}[^)]*, 61\)", plan) for key in ("l_orderkey", "o_orderkey", "user_id#\\d+L?, site_id"))
+    want = duck.execute(plans.SQL["ledger_union_history"]).fetchall()
+    assert sorted(map(tuple, found.select("user_id", "n", "with_activity", "sites").collect())) == sorted(want)
+
+
 def test_headings_with_entities_equal_sql(spark, tmp_path):
     """Entities of all kinds, tags within a heading, and pages without one."""
     heads = ["<h1>a &amp; b</h1>", "<h1>say &quot;x&quot; &lt;y&gt; &apos;z&#39;</h1>", '<H1 class="t">\n two <b>words</b>&nbsp;</H1>', "<title>only &deg; this</title>", "<h1> </h1><title>t</title>", "<p>none</p>", "<h1>x<script>var a = 1;</script>y &amp;quot;</h1>", "<h1>first</h1><h1>second</h1>"]
