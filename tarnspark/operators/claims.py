@@ -81,7 +81,7 @@ def _pass(batch: pd.DataFrame, radius: float) -> pd.DataFrame:
             free = next((i for i, p in enumerate(places) if not taken.met(p)), None)
             taken.add(places[free or 0])
             out.append((seed, free or 0, free is None))
-    return pd.DataFrame(out, columns=["seed_id", "now", "missed"])
+    return pd.DataFrame(out, columns=["seed_id", "claim", "collided"])
 
 
 def _tiles(seeds: DataFrame, radius: float, most: int, shift: float) -> DataFrame:
@@ -128,8 +128,9 @@ def in_rounds(rows: DataFrame, radius: float, most: int | None = None) -> DataFr
         # only tiles with unsettled seeds go on
         open_ = part.where("home").join(state.where("claim < 0"), "seed_id", "left_semi").select("tile").distinct()
         now = part.join(open_, "tile", "left_semi").join(state.select("seed_id", "claim"), "seed_id").join(seeds, "seed_id")
-        got = now.groupBy("tile").applyInPandas(lambda batch: _pass(batch, radius), f"seed_id {kind}, now int, missed boolean")
-        state = cut(state.join(got, "seed_id", "left").select("seed_id", F.coalesce("now", "claim").alias("claim"), F.coalesce("missed", "collided").alias("collided")))
+        got = now.groupBy("tile").applyInPandas(lambda batch: _pass(batch, radius), f"seed_id {kind}, claim int, collided boolean")
+        # a union, for a join's estimated size is a product: with the state on both sides the estimate's digits would double each round
+        state = cut(state.unionByName(got).groupBy("seed_id").agg(F.max("claim").alias("claim"), F.max("collided").alias("collided")))
         turn += 1
     chosen = state.join(seeds.select("seed_id", "ranks"), "seed_id")
     return chosen.select("seed_id", F.get("ranks", F.col("claim")).cast("int").alias("rank"), "collided")

@@ -22,3 +22,19 @@ def test_a_chain_of_waiting_seeds_takes_a_round_for_each_border(spark, monkeypat
     monkeypatch.setattr(claims, "cut", lambda df: calls.append(1) or cut(df))
     want = check(spark, rows)
     assert len(calls) <= 20 and len(set(want["rank"])) > 1
+
+
+def test_estimates_do_not_double_with_the_rounds(spark, monkeypatch):
+    # what the planner thinks of a round's rows has a few digits more than of the last one's, not twice as many
+    rows = [(f"s{i:03}", 1000.0 - i, r, 40.0 + i * 0.00036 + r * 0.0002, -105.0) for i in range(600) for r in (1, 2)]
+    digits, cut = [], claims.cut
+
+    def watched(df):
+        if df.columns == ["seed_id", "claim", "collided"]:
+            digits.append(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().bit_length())
+        return cut(df)
+
+    monkeypatch.setattr(claims, "cut", watched)
+    check(spark, rows, most=20)
+    steps = [b - a for a, b in zip(digits, digits[1:], strict=False)]
+    assert len(steps) >= 4 and max(steps) <= 2 * digits[0]
