@@ -213,23 +213,26 @@ def in_cover(points: DataFrame, cells: DataFrame) -> DataFrame:
     """points (lat, lng) with the columns of the polygons whose cover's cells they lie in, once for each polygon.
 
     ``cells`` is read a few times and should be written or cached; its levels, a dozen at most, come to the driver. Whole cells need
-    an equi-join only. Where many points meet many corners rays are cast block by block, elsewhere pair by pair.
+    an equi-join only. Where many points meet many corners rays are cast block by block, elsewhere pair by pair. A column that both
+    have comes twice, the points' first, as in a join.
     """
+    own = [x for x in cells.columns if x not in ("level", "x", "y", "whole", "rings")]
+    names = [*points.columns, *own]
     levels = sorted(r["level"] for r in cells.select("level").distinct().collect())
     if not levels:
         levels = [0]
     looks = F.array(*[cell_on(level, F.col("lng"), F.col("lat")) for level in levels])
     sound = F.col("lng").isNotNull() & F.col("lat").isNotNull() & ~F.isnan("lng") & ~F.isnan("lat")
     p = points.where(sound).withColumn("_cell", F.explode(looks))
-    c = cells.select(F.struct("level", "x", "y").alias("_cell"), F.col("whole").alias("_whole"), F.col("rings").alias("_rings"), *[x for x in cells.columns if x not in ("level", "x", "y", "whole", "rings")])
+    c = cells.select(F.struct("level", "x", "y").alias("_cell"), F.col("whole").alias("_whole"), F.col("rings").alias("_rings"), *[F.col(x).alias(f"_own{i}") for i, x in enumerate(own)])
     sizes = c.where(~F.col("_whole")).groupBy("_cell").agg(F.count("*").alias("_m"), F.sum(F.size(F.flatten("_rings"))).alias("_corners"))
     counts = p.groupBy("_cell").agg(F.count("*").alias("_n"))
     crowds = cut(sizes.join(counts, "_cell").where(F.col("_n") * F.col("_corners") >= CROWD).select("_cell", "_n", "_m"))
     if crowds.isEmpty():
-        return p.join(c, "_cell").where(F.col("_whole") | in_rings("lng", "lat", "_rings")).drop("_cell", "_whole", "_rings")
+        return p.join(c, "_cell").where(F.col("_whole") | in_rings("lng", "lat", "_rings")).drop("_cell", "_whole", "_rings").toDF(*names)
     rest = c.join(F.broadcast(crowds.select("_cell", F.lit(True).alias("_crowd"))), "_cell", "left").where(F.col("_whole") | F.col("_crowd").isNull()).drop("_crowd")
     apart = p.join(rest, "_cell").where(F.col("_whole") | in_rings("lng", "lat", "_rings")).drop("_cell", "_whole", "_rings")
-    return apart.unionByName(_dealt(p, c.where(~F.col("_whole")).drop("_whole"), crowds))
+    return apart.unionByName(_dealt(p, c.where(~F.col("_whole")).drop("_whole"), crowds)).toDF(*names)
 
 
 def in_polygons(points: DataFrame, polygons: DataFrame) -> DataFrame:

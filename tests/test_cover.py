@@ -108,3 +108,19 @@ def test_crowds_are_met_in_blocks(spark, monkeypatch):
         assert "CoGroups" in met._jdf.queryExecution().executedPlan().toString()
         assert sorted((r.n, r.id) for r in met.where("more['a'] = n").collect()) == want
     cells.unpersist()
+
+
+def test_columns_that_points_and_polygons_share(spark, monkeypatch):
+    """Both have a key, and polygons a place of their own: pairs are the same whether they meet in blocks or one by one."""
+    shapes = [wave(300, -105.0 + i / 2, 39.0, 1.0, i) for i in range(3)]
+    rows = [(10 + i, 0.0, [[(float(x), float(y)) for x, y in s]], -i) for i, s in enumerate(shapes)]
+    polygons = spark.createDataFrame(rows, f"poly int, lat double, {RINGS.removeprefix('id int, ')}, key int")
+    places = np.random.default_rng(4).uniform([-106.2, 37.8], [-102.6, 40.2], (500, 2))
+    points = spark.createDataFrame([(i, float(y), float(x), 7 * i) for i, (x, y) in enumerate(places)], "n int, lat double, lng double, key int")
+    want = sorted((i, float(places[i, 1]), float(places[i, 0]), 7 * i, 10 + k, 0.0, -k) for k, s in enumerate(shapes) for i in np.flatnonzero(inside([s], places)).tolist())
+    for crowd in (1, 10**9):
+        monkeypatch.setattr(cover, "CROWD", crowd)
+        met = cover.in_polygons(points, polygons)
+        assert met.columns == ["n", "lat", "lng", "key", "poly", "lat", "key"]
+        assert sorted(map(tuple, met.collect())) == want
+        assert met.select("n", "poly").count() == len(want)
